@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import bpe, exact_dedup, sharding, token_counts
 
 QUERIES = {
     "op2_digest_index": exact_dedup.op2_digest_index,
+    "op4_rank_queue": bpe.op4_rank_queue,
     "op9_histogram_shards": sharding.op9_histogram_shards,
+    "op10_resynchronised_counts": token_counts.op10_resynchronised_counts,
 }
 
 ORACLE_SQL = {
