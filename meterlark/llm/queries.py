@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, sharding, token_counts
+from . import bpe, exact_dedup, license_scan, sharding, simhash, token_counts
 
 QUERIES = {
+    "op1_license_join": license_scan.op1_license_join,
     "op2_digest_index": exact_dedup.op2_digest_index,
+    "op3_pivot_simhash": simhash.op3_pivot_simhash,
     "op4_rank_queue": bpe.op4_rank_queue,
     "op9_histogram_shards": sharding.op9_histogram_shards,
     "op10_resynchronised_counts": token_counts.op10_resynchronised_counts,
