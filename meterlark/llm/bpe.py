@@ -17,11 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkTable, slices
+from .chunks import ChunkTable, by_pretoken, slices
 from .common import documents, text_or_empty
 
 _NONE = -1
@@ -132,7 +131,7 @@ class Ranks:
         out[ends[single] - 1] = np.array(whole, np.int64)[single]
         if many:
             stops = np.cumsum(sizes)
-            out[np.repeat(ends[many] - stops, sizes) + np.arange(len(ids))] = ids
+            out[np.repeat(ends[many] - stops, sizes) + np.arange(len(ids))] = ids  # the places that gather() would read
         return out, counts
 
     def _merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -211,22 +210,12 @@ _RANKS: dict[str, tuple[Ranks, ChunkTable]] = {}
 def encoder(path: str) -> tuple[Ranks, ChunkTable]:
     """The worker's ranks of a file, and its table of chunks."""
     if path not in _RANKS:
-        ranks, pattern = Ranks(path), regex.compile(public_tokenizers.PATTERN)
-
-        def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            number: dict[str, int] = {}
-            rows = [[number.setdefault(p, len(number)) for p in pattern.findall(s)] for s in strings]
-            ids, sizes = ranks.encode([p.encode() for p in number])
-            sizes_of = np.fromiter((k for row in rows for k in row), np.int64)
-            counts = sizes[sizes_of]
-            stops, ends = np.cumsum(counts), np.cumsum(sizes)
-            flat = ids[np.repeat(ends[sizes_of] - stops, counts) + np.arange(int(counts.sum()))]
-            pieces = np.array([len(row) for row in rows], np.int64)
-            total = np.concatenate([[0], stops])
-            bounds = np.concatenate([[0], np.cumsum(pieces)])
-            return flat, total[bounds[1:]] - total[bounds[:-1]]
-
-        _RANKS[path] = ranks, ChunkTable(encode)
+        ranks = Ranks(path)
+
+        def encode(pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            return ranks.encode([p.encode() for p in pretokens])
+
+        _RANKS[path] = ranks, ChunkTable(by_pretoken(encode))
     return _RANKS[path]
 
 

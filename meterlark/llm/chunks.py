@@ -14,6 +14,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import public_tokenizers
+import regex
 
 #: White space beside a space, or a space at either end: not every space is then a boundary.
 _UNSAFE = re.compile(r"\s | \s|\A | \Z")
@@ -64,7 +66,7 @@ class _Numbers(dict):
 class ChunkTable:
     """Ids of distinct chunks. ``encode`` turns strings into (all their ids, ids of each)."""
 
-    def __init__(self, encode: Encode, most: int = 1_000_000):
+    def __init__(self, encode: Encode, most: int = 700_000):
         self.encode, self.most = encode, most
         self._clear()
 
@@ -115,15 +117,43 @@ class ChunkTable:
             for head, rest in t:
                 if head >= 0:
                     out.append(first_ids[first_ends[head] : first_ends[head + 1]])
-                starts, counts = ends[rest], ends[rest + 1] - ends[rest]
-                stops = np.cumsum(counts)
-                total = int(stops[-1]) if len(stops) else 0
-                out.append(ids[np.repeat(starts - stops + counts, counts) + np.arange(total)])
+                out.append(gather(ids, ends[rest + 1], ends[rest + 1] - ends[rest]))
             yield np.concatenate(out)
 
 
+def gather(ids: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``ids`` in runs: the ``counts[i]`` ids before ``ends[i]``, one run after the other."""
+    stops = np.cumsum(counts)
+    total = int(stops[-1]) if len(stops) else 0
+    return ids[np.repeat(ends - stops, counts) + np.arange(total)]
+
+
+def by_pretoken(encode: Encode, most: int = 500_000) -> Encode:
+    """Encodes strings by their pre-tokens, each of which is encoded once."""
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    numbers, ids, ends = _Numbers(), np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def run(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal numbers, ids, ends
+        if len(numbers) > most:
+            numbers, ids, ends = _Numbers(), np.empty(0, np.uint32), np.zeros(1, np.int64)
+        rows = [pattern.findall(s) for s in strings]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.fromiter((numbers[p] for row in rows for p in row), np.int64, int(sizes.sum()))
+        if numbers.new:
+            more, counts = encode(numbers.new)
+            numbers.new = []
+            ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + np.cumsum(counts)])
+        counts = ends[flat + 1] - ends[flat]
+        before = np.concatenate([[0], np.cumsum(counts)])
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        return gather(ids, ends[flat + 1], counts), before[bounds[1:]] - before[bounds[:-1]]
+
+    return run
+
+
 def library_encode(path: str) -> Encode:
-    """The tokenizers library over many strings at once, divided by the vocabulary's special token."""
+    """The tokenizers library over pre-tokens, many at once, divided by the vocabulary's special token."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -131,23 +161,23 @@ def library_encode(path: str) -> Encode:
     special = {i: t.content for i, t in library.get_added_tokens_decoder().items()}
     mark, between = max(special.items())
 
-    def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [not any(s in x for s in special.values()) for x in strings]
-        usual = [x for x, p in zip(strings, plain, strict=True) if p]
-        joined = [between.join(usual[i : i + 1000]) + between for i in range(0, len(usual), 1000)]
-        every = [np.array(e.ids, np.uint32) for e in library.encode_batch_fast(joined, add_special_tokens=False)]
-        row = np.concatenate(every) if every else np.empty(0, np.uint32)
+    def joined(pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [between.join(pretokens[i : i + 1000]) + between for i in range(0, len(pretokens), 1000)]
+        row = np.concatenate([np.array(e.ids, np.uint32) for e in library.encode_batch_fast(texts, add_special_tokens=False)])
         at = np.flatnonzero(row == mark)
-        counts = np.diff(at, prepend=-1) - 1
-        if all(plain):
-            return np.delete(row, at), counts
-        found, k = [], 0
-        for x, p in zip(strings, plain, strict=True):
-            if p:
-                found.append(row[at[k] - counts[k] : at[k]])
-                k += 1
-            else:
-                found.append(np.array(library.encode(x, add_special_tokens=False).ids, np.uint32))
+        return np.delete(row, at), np.diff(at, prepend=-1) - 1
+
+    plain = by_pretoken(joined)
+
+    def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        odd = [i for i, x in enumerate(strings) if any(s in x for s in special.values())]
+        if not odd:
+            return plain(strings)
+        # Only the library itself finds its special strings.
+        marked = set(odd)
+        ids, counts = plain([x for i, x in enumerate(strings) if i not in marked])
+        rest = iter(np.split(ids, np.cumsum(counts)[:-1]))
+        found = [np.array(library.encode(x, add_special_tokens=False).ids, np.uint32) if i in marked else next(rest) for i, x in enumerate(strings)]
         return np.concatenate(found), np.array([len(f) for f in found], np.int64)
 
     return encode
