@@ -58,3 +58,28 @@ def value_ranks(df: DataFrame, value: str) -> DataFrame:
     inside = Window.partitionBy("_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     return ranked.join(F.broadcast(starts), "_chunk").select(value, "n", (F.col("_start") + F.col("_inside")).alias("before"))
+
+
+def binned(df: DataFrame, group: str, value: str, edges: tuple[float, ...]) -> DataFrame:
+    """Bins of ``value`` (each up to and with its edge, the last open) per group, empty ones included:
+    (group, bin_index, lower, upper, count, share, cumulative_share, median, mean)."""
+    index = sum((F.when(F.col(value) > e, 1).otherwise(0) for e in edges), F.lit(0))
+    g = df.groupBy(F.col(group).alias("group"), index.alias("i")).agg(F.count(F.lit(1)).alias("c"), nearest(value, 0.5).alias("med"), F.avg(value).alias("avg"))
+    bounds = [(i, float(edges[i - 1]) if i else 0.0, float(edges[i]) if i < len(edges) else None) for i in range(len(edges) + 1)]
+    bins = df.sparkSession.createDataFrame(bounds, "bin_index int, lower double, upper double")
+    names = g.select("group").distinct().withColumnRenamed("group", "_g")
+    full = names.crossJoin(F.broadcast(bins)).join(g, (F.col("_g") == F.col("group")) & (F.col("bin_index") == F.col("i")), "left")
+    out = full.select(F.col("_g").alias("group"), "bin_index", "lower", "upper", *[F.coalesce(a, F.lit(0)).alias(b) for a, b in (("c", "count"), ("med", "median"), ("avg", "mean"))])
+    w = Window.partitionBy("group")
+    out = out.withColumn("share", F.col("count") / F.sum("count").over(w))
+    return out.withColumn("cumulative_share", F.sum("count").over(w.orderBy("bin_index")) / F.sum("count").over(w))
+
+
+def distribution(df: DataFrame, group: str, value: str, edges: tuple[float, ...]) -> DataFrame:
+    """Per group: n, mean, nearest-rank percentiles, max, modal bin (lowest of equals)."""
+    s = df.groupBy(F.col(group).alias("group")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), *[nearest(value, q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)], F.max(value).alias("max"),
+        F.stddev_samp(value).alias("stdev"),
+    )
+    modal = binned(df, group, value, edges).groupBy("group").agg((-F.max(F.struct("count", (-F.col("bin_index")).alias("i")))["i"]).alias("modal_bin_index"))
+    return s.join(modal, "group")

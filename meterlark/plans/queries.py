@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import cyclic, totals
+from . import cyclic, distribution, tenure, totals
 
-ALL = [*totals.QUERIES, *cyclic.QUERIES]
+ALL = [*totals.QUERIES, *cyclic.QUERIES, *distribution.QUERIES, *tenure.QUERIES]
 QUERIES = {q.name: q.run for q in ALL}
 ORACLE_SQL = {q.name: q.sql for q in ALL if q.sql}
