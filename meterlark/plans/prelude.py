@@ -50,7 +50,7 @@ s AS (
 rates(model, ri, rc, ro, rr) AS (VALUES ('claude-opus-4.7', 15.0, 1.5, 75.0, 75.0), ('claude-sonnet-4.6', 3.0, 0.3, 15.0, 15.0), ('gpt-5.4', 5.0, 0.5, 15.0, 15.0), ('gpt-5.2', 2.5, 0.25, 7.5, 7.5), ('gpt-5-nano', 0.2, 0.02, 0.8, 0.8))
 """
 
-_CASTS = {"e": "round(CAST({0} AS DOUBLE), 8) AS {0}", "i": "CAST({0} AS BIGINT) AS {0}", "f": "round(CAST({0} AS DOUBLE), 6) AS {0}", "s": "CAST({0} AS VARCHAR) AS {0}", "b": "CAST({0} AS BOOLEAN) AS {0}"}
+_CASTS = {"g": "round(CAST({0} AS DOUBLE), 3) AS {0}", "e": "round(CAST({0} AS DOUBLE), 8) AS {0}", "i": "CAST({0} AS BIGINT) AS {0}", "f": "round(CAST({0} AS DOUBLE), 6) AS {0}", "s": "CAST({0} AS VARCHAR) AS {0}", "b": "CAST({0} AS BOOLEAN) AS {0}"}
 
 
 def oracle(columns: str, body: str) -> str:

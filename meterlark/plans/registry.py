@@ -12,12 +12,12 @@ from .prelude import oracle
 
 #: Day of the reports that look back from a time (2024-01-31), in days since 1970.
 AS_OF = 19753
-_KINDS = {"e": "double", "i": "bigint", "f": "double", "s": "string", "b": "boolean"}
+_KINDS = {"e": "double", "g": "double", "i": "bigint", "f": "double", "s": "string", "b": "boolean"}
 
 
 @dataclass(frozen=True)
 class Query:
-    """``columns``: name:kind, kinds i(nteger), f(loat, 6 decimals), e (8 decimals), s(tring), b(oolean)."""
+    """``columns``: name:kind, kinds i(nteger), f(loat, 6 decimals), e (8 decimals), g (3 decimals), s(tring), b(oolean)."""
 
     name: str
     columns: str
@@ -28,7 +28,7 @@ class Query:
         df, out = self.job(spark, sf_dir), []
         for column, kind in (c.split(":") for c in self.columns.split()):
             value = F.col(column).cast(_KINDS[kind])
-            digits = {"f": 6, "e": 8}.get(kind)
+            digits = {"f": 6, "e": 8, "g": 3}.get(kind)
             out.append((F.round(value, digits) if digits else value).alias(column))
         return df.select(*out)
 
