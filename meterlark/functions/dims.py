@@ -111,9 +111,13 @@ def with_cost(df: DataFrame, rate_table: DataFrame, model: str = "model") -> Dat
     return joined.withColumns(costs).withColumn("usd", sum((F.col(c) for c in costs), F.lit(0.0)))
 
 
+def epoch_milli(column: str) -> Column:
+    seconds = epoch_day(column) * 86400 + F.hour(column) * 3600 + F.minute(column) * 60
+    return seconds * 1000 + F.floor(F.extract(F.lit("SECONDS"), F.col(column)) * 1000).cast("long")
+
+
 def effective_end(df: DataFrame) -> DataFrame:
-    """``df`` with start_s and end_s: seconds from the start to the last sign of a session."""
-    start, last = epoch_second("started_at"), epoch_second("last_message_at")
-    df = df.withColumns({"start_s": start, "_last": last})
-    by_length = F.col("start_s") + F.greatest(F.coalesce("duration_seconds", F.lit(0)), F.lit(0))
-    return df.withColumn("end_s", F.greatest("start_s", F.coalesce("_last", "start_s"), by_length)).drop("_last")
+    """``df`` with start_ms and end_ms: a session ends at its last message or after its length, whichever is later."""
+    df = df.withColumns({"start_ms": epoch_milli("started_at"), "_last": epoch_milli("last_message_at")})
+    by_length = F.col("start_ms") + 1000 * F.greatest(F.coalesce("duration_seconds", F.lit(0)), F.lit(0))
+    return df.withColumn("end_ms", F.greatest("start_ms", F.coalesce("_last", "start_ms"), by_length)).drop("_last")

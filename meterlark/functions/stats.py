@@ -83,3 +83,17 @@ def distribution(df: DataFrame, group: str, value: str, edges: tuple[float, ...]
     )
     modal = binned(df, group, value, edges).groupBy("group").agg((-F.max(F.struct("count", (-F.col("bin_index")).alias("i")))["i"]).alias("modal_bin_index"))
     return s.join(modal, "group")
+
+
+def with_previous(df: DataFrame, chunk: str, order: list[str], name: str = "prev") -> DataFrame:
+    """``df`` with the row before each one as a struct, in the order (chunk, *order) over all rows.
+
+    The window runs inside chunks (days); the first row of a chunk takes the last row of
+    the chunk before it from a frame of one row per chunk, which time bounds.
+    """
+    row = F.struct(*df.columns)
+    inside = Window.partitionBy(chunk).orderBy(*order)
+    lasts = df.groupBy(F.col(chunk).alias("_chunk")).agg(F.max_by(row, F.struct(*order)).alias("_last"))
+    lasts = lasts.select("_chunk", F.lag("_last").over(Window.orderBy("_chunk")).alias("_before"))
+    out = df.withColumn("_in", F.lag(row).over(inside)).join(F.broadcast(lasts), F.col(chunk) == F.col("_chunk"))
+    return out.withColumn(name, F.coalesce("_in", "_before")).drop("_in", "_before", "_chunk")
