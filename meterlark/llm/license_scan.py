@@ -161,3 +161,32 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
 def op1_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
+
+
+def oracle(threshold: float = 0.8) -> str:
+    """DuckDB SQL of the same finds: every block of every template, without filters."""
+    rows = ", ".join(
+        f"({k}, {list(t.words)!r}, {sorted(t.tokens)!r}, '{t.label}', {str(t.base).lower()}, {t.need}, {len(t.words)})" for k, t in enumerate(templates(threshold))
+    )
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+WITH t(template, phrase, tokens, label, base, need, n) AS (VALUES {rows}),
+d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{pattern}') AS w FROM documents
+), r AS (
+  SELECT d.doc_id, t.*, unnest(range(0, CAST(ceil(len(w) / n) AS BIGINT))) AS x, w FROM d CROSS JOIN t
+), b AS (
+  SELECT doc_id, template, phrase, label, base, need, n, len(tokens) AS size, x * n AS start, list_slice(w, x * n + 1, x * n + 2 * n) AS held,
+    len(list_intersect(tokens, list_slice(w, x * n + 1, x * n + 2 * n))) AS shared FROM r
+), m AS (SELECT * FROM b WHERE shared >= need),
+p0 AS (SELECT doc_id, label, start, held, phrase, n, unnest(range(0, n)) AS i FROM m WHERE base),
+p AS (SELECT DISTINCT doc_id, label, start + i AS word, phrase FROM p0 WHERE list_slice(held, i + 1, i + n) = phrase),
+pg AS (SELECT doc_id, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word FROM p GROUP BY doc_id),
+l AS (SELECT DISTINCT doc_id, label, true AS base FROM p UNION SELECT DISTINCT doc_id, label, false FROM m WHERE NOT base),
+lg AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM l GROUP BY doc_id
+), sg AS (SELECT doc_id, max(shared / size) AS containment FROM m WHERE NOT base GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(containment, 0.0) END AS score
+FROM d LEFT JOIN pg USING (doc_id) LEFT JOIN lg USING (doc_id) LEFT JOIN sg USING (doc_id)
+"""

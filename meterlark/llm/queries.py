@@ -17,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_license_join": license_scan.oracle(),
     "op2_digest_index": exact_dedup.OP2_SQL,
     "op6_norm_sorted_search": topk.OP6_SQL,
 }
