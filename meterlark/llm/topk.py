@@ -142,13 +142,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, head: int = 16) -
         floors = left["floor"].to_numpy(dtype=float) if "floor" in left else np.full(len(left), -np.inf)
         found = []
         if len(left) and len(right):
-            found = _best(_matrix(left["v"], width), left["id"].to_numpy(), _matrix(right["v"], width), right["id"].to_numpy(), k, np.where(np.isnan(floors), -np.inf, floors), rotation, min(head, width))
+            found = _best(_matrix(left["qv"], width), left["qid"].to_numpy(), _matrix(right["cv"], width), right["cid"].to_numpy(), k, np.where(np.isnan(floors), -np.inf, floors), rotation, min(head, width))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     def run(some: DataFrame, every: DataFrame, blocks_of: list[int]) -> DataFrame:
         """Each block of ``some`` queries with each of the given blocks of vectors."""
-        left = some.withColumn("block", F.explode(F.array(*map(F.lit, blocks_of))))
-        right = every.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        floor = [c for c in some.columns if c == "floor"]
+        left = some.select("part", F.col("id").alias("qid"), F.col("v").alias("qv"), *floor, F.explode(F.array(*map(F.lit, blocks_of))).alias("block"))
+        right = every.select("block", F.col("id").alias("cid"), F.col("v").alias("cv"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
         return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(score, "query_id long, vec_id long, score long")
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -156,7 +157,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, head: int = 16) -
     floors = seeds.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("floor"))
     found = seeds
     if blocks > 1:
-        floored = asked.join(floors, asked["id"] == floors["query_id"], "left").select("part", "id", "v", "floor")
+        floored = asked.join(floors, F.col("id") == F.col("query_id"), "left").select("part", "id", "v", "floor")
         found = seeds.unionByName(run(floored, rows.where("block > 0"), list(range(1, blocks))))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
