@@ -86,17 +86,16 @@ class ChunkTable:
                 kind[2] = np.concatenate([kind[2], kind[2][-1] + np.cumsum(counts)])
 
     def _numbered(self, text: str) -> list[tuple[int, np.ndarray]]:
-        found = []
+        found: list[tuple[int, np.ndarray]] = []
         for part in parts(text):
-            pieces = split_chunks(part)
-            if found or not part:
-                head = pieces[1:] if found else []  # a later part begins with the space of its first chunk
-                found.append((-1, np.fromiter(map(self.kinds[0][0].__getitem__, head), np.int64, len(head))))
-            else:
-                found.append((self.kinds[1][0][pieces[0]], np.fromiter(map(self.kinds[0][0].__getitem__, pieces[1:]), np.int64, len(pieces) - 1)))
+            # A later part begins with the space of its first chunk.
+            pieces = split_chunks(part[1:] if found else part)
+            rest = pieces if found else pieces[1:]
+            head = -1 if found else self.kinds[1][0][pieces[0]]
+            found.append((head, np.fromiter(map(self.kinds[0][0].__getitem__, rest), np.int64, len(rest))))
         return found
 
-    def texts(self, texts: list[str]) -> tuple[list, Callable]:
+    def texts(self, texts: list[str]) -> list[list[tuple[int, np.ndarray]]]:
         """The numbers of the texts' chunks, once all their chunks are known."""
         if sum(len(k[0]) for k in self.kinds) > self.most:
             self._clear()
