@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, packing, quality, sharding, simhash, token_counts, topk
+from . import bpe, exact_dedup, license_scan, line_dedup, packing, quality, sharding, simhash, token_counts, topk
 
 QUERIES = {
     "op1_license_join": license_scan.op1_license_join,
     "op2_digest_index": exact_dedup.op2_digest_index,
     "op3_pivot_simhash": simhash.op3_pivot_simhash,
     "op4_rank_queue": bpe.op4_rank_queue,
+    "op5_segment_lines": line_dedup.op5_segment_lines,
     "op6_norm_sorted_search": topk.op6_norm_sorted_search,
     "op7_differencing_packs": packing.op7_differencing_packs,
     "op8_bradley_terry": quality.op8_bradley_terry,
