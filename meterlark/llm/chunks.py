@@ -68,7 +68,7 @@ class _Numbers(dict):
 class ChunkTable:
     """Ids of distinct chunks. ``encode`` turns strings into (all their ids, ids of each)."""
 
-    def __init__(self, encode: Encode, most: int = 1_200_000):
+    def __init__(self, encode: Encode, most: int = 900_000):
         self.encode, self.most = encode, most
         self._clear()
 
@@ -129,7 +129,7 @@ def gather(ids: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return ids[np.repeat(ends - stops, counts) + np.arange(total)]
 
 
-def by_pretoken(encode: Encode, most: int = 800_000) -> Encode:
+def by_pretoken(encode: Encode, most: int = 600_000) -> Encode:
     """Encodes strings by their pre-tokens, each of which is encoded once."""
     pattern = regex.compile(public_tokenizers.PATTERN)
     numbers, ids, ends = _Numbers(), np.empty(0, np.uint32), np.zeros(1, np.int64)
