@@ -48,3 +48,19 @@ def hours(usage: DataFrame, *keys: str, **window) -> DataFrame:
 def grid(df: DataFrame, name: str, low: int, high: int) -> DataFrame:
     """The whole numbers low..high of a fixed period (days of a window, hours of a day)."""
     return df.sparkSession.range(low, high + 1).select(F.col("id").alias(name))
+
+
+def drops(usage: DataFrame, since=None, until=None, source=None, model=None) -> DataFrame:
+    """One row: how many rows ``active`` keeps, and how many go for each reason, in the order of the tests."""
+    inside = usage.where("hour_start is null").unionByName(dims.within(usage.where("hour_start is not null"), "hour_start", since, until))
+    name, normal = dims.or_unknown("source"), dims.normalise_model("model")
+    no = F.lit(False)
+    reason = (
+        F.when(F.col("hour_start").isNull(), "invalid_hour_start")
+        .when(F.coalesce("total_tokens", F.lit(0)) <= 0, "zero_tokens")
+        .when(name != source if source is not None else no, "source_filter")
+        .when(normal != model if model is not None else no, "model_filter")
+        .otherwise("kept")
+    )
+    marked = inside.select(reason.alias("r"))
+    return marked.agg(*[F.count_if(F.col("r") == r).alias(n) for r, n in (("kept", "kept_rows"), ("invalid_hour_start", "dropped_invalid_hour_start"), ("zero_tokens", "dropped_zero_tokens"), ("source_filter", "dropped_source_filter"), ("model_filter", "dropped_model_filter"))])

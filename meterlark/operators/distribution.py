@@ -294,3 +294,20 @@ def session_summary_totals(sessions: DataFrame, min_seconds: int = 0, since=None
         out += [F.sum(c).alias(f"total_{n}"), stats.linear(c, 0.5).alias(f"median_{n}"), F.avg(c).alias(f"mean_{n}"), stats.nearest(c, 0.95).alias(f"p95_{n}"), F.min(c).alias(f"min_{n}"), F.max(c).alias(f"max_{n}")]
         out.append(F.min(F.struct((-F.col(c)).alias("x"), "session_key"))["session_key"].alias(f"most_{n}"))
     return s.agg(*out)
+
+
+def session_drops(sessions: DataFrame, min_total: int = 2, min_seconds: int = 1, min_user: int = 1, since=None, until=None) -> DataFrame:
+    """One row: sessions that the reply and cadence reports drop, by the first reason that holds."""
+    s = sessions.where("started_at is null").unionByName(dims.within(sessions.where("started_at is not null"), "started_at", since, until))
+    bad, user, total, seconds = F.col("started_at").isNull(), F.coalesce("user_messages", F.lit(0)), F.coalesce("total_messages", F.lit(0)), F.coalesce("duration_seconds", F.lit(-1))
+    reply = F.when(bad, "invalid").when(total < min_total, "few").when(user <= 0, "no_user").otherwise("kept")
+    cadence = F.when(bad, "invalid").when(seconds < min_seconds, "short").when(user <= 0, "no_user").when(user < min_user, "few_user").otherwise("kept")
+    r = s.select(bad.alias("bad"), reply.alias("r"), cadence.alias("c"))
+
+    def n(column: str, value: str):
+        return F.count_if(F.col(column) == value)
+
+    return r.agg(
+        F.count_if("bad").alias("dropped_invalid_started_at"), n("r", "few").alias("reply_dropped_min_messages"), n("r", "no_user").alias("reply_dropped_zero_user"), n("r", "kept").alias("reply_kept"),
+        n("c", "short").alias("cadence_dropped_min_duration"), n("c", "no_user").alias("cadence_dropped_zero_user"), n("c", "few_user").alias("cadence_dropped_min_user"), n("c", "kept").alias("cadence_kept"),
+    )

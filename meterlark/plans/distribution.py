@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions import dims, stats
+from ..functions import cells, dims, stats
 from ..operators import distribution as o
 from ..sources import adapter
 from .registry import Query
@@ -138,4 +138,14 @@ out AS (SELECT source AS key, count(*) AS sessions, sum(duration_seconds) AS tot
     *binned("turn_cadence", o.CADENCE_EDGES, lambda s, d: o.turn_cadence(sessions(s, d), by="source"), "SELECT source AS g, duration_seconds / user_messages AS x FROM s WHERE duration_seconds >= 1 AND user_messages >= 1", "stdev"),
     *binned("message_volume", o.VOLUME_EDGES, lambda s, d: o.message_volume(sessions(s, d), by="kind"), "SELECT kind AS g, CAST(total_messages AS DOUBLE) AS x FROM s WHERE total_messages >= 1"),
     Query("message_volume_above", "group:s above_threshold_share:f", lambda s, d: o.above_share(o.message_volume(sessions(s, d)), 2), "out AS (SELECT 'all' AS \"group\", avg(CAST(total_messages > 2 AS DOUBLE)) AS above_threshold_share FROM s WHERE total_messages >= 1)"),
+    Query("usage_drop_counters", "kept_rows:i dropped_invalid_hour_start:i dropped_zero_tokens:i dropped_source_filter:i dropped_model_filter:i", lambda s, d: cells.drops(usage(s, d), since="2024-01-05T00:00:00Z", source="click", model="gpt-5.4"), """
+r AS (SELECT * FROM su WHERE t >= TIMESTAMP '2024-01-05'),
+out AS (SELECT count(*) FILTER (total > 0 AND source = 'click' AND model = 'gpt-5.4') AS kept_rows, 0 AS dropped_invalid_hour_start, count(*) FILTER (total <= 0) AS dropped_zero_tokens, count(*) FILTER (total > 0 AND source <> 'click') AS dropped_source_filter,
+  count(*) FILTER (total > 0 AND source = 'click' AND model <> 'gpt-5.4') AS dropped_model_filter FROM r)"""),
+    Query("session_drop_counters", " ".join(f"{c}:i" for c in ("dropped_invalid_started_at", "reply_dropped_min_messages", "reply_dropped_zero_user", "reply_kept", "cadence_dropped_min_duration", "cadence_dropped_zero_user", "cadence_dropped_min_user", "cadence_kept")), lambda s, d: o.session_drops(sessions(s, d), min_user=2), """
+out AS (SELECT 0 AS dropped_invalid_started_at, count(*) FILTER (total_messages < 2) AS reply_dropped_min_messages, count(*) FILTER (total_messages >= 2 AND user_messages = 0) AS reply_dropped_zero_user, count(*) FILTER (total_messages >= 2 AND user_messages > 0) AS reply_kept,
+  count(*) FILTER (duration_seconds < 1) AS cadence_dropped_min_duration, count(*) FILTER (duration_seconds >= 1 AND user_messages = 0) AS cadence_dropped_zero_user, count(*) FILTER (duration_seconds >= 1 AND user_messages = 1) AS cadence_dropped_min_user,
+  count(*) FILTER (duration_seconds >= 1 AND user_messages >= 2) AS cadence_kept FROM s)"""),
+    Query("output_token_bottom_buckets", "hour_start:s source:s model:s tokens:i share_of_total:f", lambda s, d: o.input_token_buckets(usage(s, d), largest=False, metric="output"), """
+out AS (SELECT iso AS hour_start, source, model, output AS tokens, output / (SELECT sum(output) FROM su) AS share_of_total FROM su WHERE output > 0 ORDER BY output, sec, source, model LIMIT 10)"""),
 ]

@@ -33,10 +33,10 @@ RUNS = T.StructType(
 )
 
 
-def _json(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
+def _json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A scan with a fixed schema that skips malformed lines; a missing path is an empty log."""
     try:
-        return spark.read.schema(schema).options(mode="DROPMALFORMED", **options).json(path)
+        return spark.read.schema(schema).options(mode="DROPMALFORMED").json(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -60,10 +60,13 @@ def read_session_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 def read_runs(spark: SparkSession, path: str, since: str | None = None, limit: int | None = None) -> DataFrame:
     """One row per run file of a folder, in file-name order; ``limit`` keeps the latest names."""
-    rows = _json(spark, path, RUNS, multiLine=True)
-    if "_metadata" not in dir(rows) and not rows.inputFiles():
-        return rows.withColumn("name", F.lit(None).cast("string"))
-    rows = rows.withColumn("name", F.col("_metadata.file_name"))
+    try:
+        rows = spark.read.schema(RUNS).options(mode="DROPMALFORMED", multiLine=True).json(path).withColumn("name", F.col("_metadata.file_name"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], T.StructType([*RUNS.fields, T.StructField("name", T.StringType())]))
+    rows = rows.where("runId is not null")
     if since:
         rows = rows.where(F.col("name") >= since)
     return rows.orderBy(F.desc("name")).limit(limit) if limit else rows

@@ -242,3 +242,16 @@ def test_same_result_under_many_partitions(spark, sf):
 def test_retention(spark):
     df = spark.createDataFrame([("1", "a", "succeeded"), ("2", "a", "succeeded"), ("3", "b", "failed"), ("4", "b", "skipped")], "name string, day string, status string")
     assert {r.name for r in sequence.runs_retention(df, keep=1).collect()} == {"1", "3"}
+
+
+def test_runs_folder(spark, tmp_path):
+    for i in (1, 2, 3):
+        (tmp_path / f"2026-04-0{i}.json").write_text(json.dumps({"runId": str(i), "status": "succeeded"}, indent=1))
+    (tmp_path / "2026-04-09.json").write_text("{ not json")
+    assert [r.runId for r in logs.read_runs(spark, str(tmp_path), limit=2).orderBy("name").collect()] == ["2", "3"]
+    assert logs.read_runs(spark, str(tmp_path), since="2026-04-03").count() == 1 and logs.read_runs(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_drop_counters_name_the_first_reason(spark):
+    u = usage(spark, (None, 0, "a", "m"), ("2026-04-20T12:00:00", 0, "b", "m"), ("2026-04-20T12:00:00", 1, "b", "m"), ("2026-04-20T12:00:00", 1, "a", "x"), ("2026-04-20T12:00:00", 1, "a", "m"))
+    assert list(one(cells.drops(u, source="a", model="m")).values()) == [1, 1, 1, 1, 1]
