@@ -92,7 +92,7 @@ class ChunkTable:
             pieces = split_chunks(part[1:] if found else part)
             rest = pieces if found else pieces[1:]
             head = -1 if found else self.kinds[1][0][pieces[0]]
-            found.append((head, np.fromiter(map(self.kinds[0][0].__getitem__, rest), np.int64, len(rest))))
+            found.append((head, np.fromiter(map(self.kinds[0][0].__getitem__, rest), np.int32, len(rest))))
         return found
 
     def texts(self, texts: list[str]) -> list[list[tuple[int, np.ndarray]]]:
@@ -164,7 +164,9 @@ def library_encode(path: str) -> Encode:
 
     def joined(pretokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         texts = [between.join(pretokens[i : i + 1000]) + between for i in range(0, len(pretokens), 1000)]
-        row = np.concatenate([np.array(e.ids, np.uint32) for e in library.encode_batch_fast(texts, add_special_tokens=False)])
+        # A few texts at a time: the library's results are many times larger than the ids.
+        found = [np.array(e.ids, np.uint32) for i in range(0, len(texts), 16) for e in library.encode_batch_fast(texts[i : i + 16], add_special_tokens=False)]
+        row = np.concatenate(found)
         at = np.flatnonzero(row == mark)
         return np.delete(row, at), np.diff(at, prepend=-1) - 1
 
