@@ -25,7 +25,10 @@ def digest(usage: DataFrame, **window) -> DataFrame:
 
 
 def digest_by(usage: DataFrame, dimension: str, **window) -> DataFrame:
-    return digest(usage, **window).where(F.col("dimension") == dimension).drop("dimension")
+    """The rows of ``digest`` of one dimension (day, source, model, hour, total), without the others' work."""
+    hod = F.lpad(F.col("hour").cast("string"), 2, "0")
+    keys = {"day": F.col("day"), "source": F.col("source"), "model": F.col("model"), "hour": hod, "total": F.lit("all")}
+    return cells.rows(usage, **window).groupBy(keys[dimension].alias("key")).agg(*_sums())
 
 
 def top_pairs(usage: DataFrame, top: int = 15, **window) -> DataFrame:
@@ -133,13 +136,15 @@ def device_share(usage: DataFrame, min_tokens: int = 0, redact: bool = False, **
         F.count(F.lit(1)).alias("rows"), F.countDistinct("sec").alias("active_hours"), F.countDistinct("model").alias("distinct_models"),
         F.countDistinct("source").alias("distinct_sources"), F.min("sec").alias("a"), F.max("sec").alias("b"),
     ).where(F.col("total_tokens") >= min_tokens)
+    # Devices may be many: their total is a row of its own, not a window over them.
+    g = g.crossJoin(F.broadcast(g.agg(F.sum("total_tokens").alias("_all"))))
     name = F.concat(F.lit("dev-"), F.substring(F.sha2("device", 256), 1, 8)) if redact else F.col("device")
     return g.withColumns(
         {
-            "device_id": name, "share": stats.ratio(F.col("total_tokens"), F.sum("total_tokens").over(Window.partitionBy())),
+            "device_id": name, "share": stats.ratio("total_tokens", "_all"),
             "cache_hit_ratio": stats.ratio("cached_input_tokens", "input_tokens"), "first_seen": dims.iso_of(F.col("a")), "last_seen": dims.iso_of(F.col("b")),
         }
-    ).drop("device", "a", "b")
+    ).drop("device", "a", "b", "_all")
 
 
 def cache_hit_ratio(usage: DataFrame, min_rows: int = 0, **window) -> DataFrame:
@@ -155,7 +160,7 @@ def cache_hit_by_hour(usage: DataFrame, **window) -> DataFrame:
     clamped = F.greatest(F.lit(0), F.least("cached", "input"))
     g = u.cube("source", "hour").agg(F.sum("input").alias("input_tokens"), F.sum(clamped).alias("cached_input_tokens"), F.count(F.lit(1)).alias("rows")).where("hour is not null")
     names = u.select("source").distinct().unionByName(usage.sparkSession.createDataFrame([(None,)], "source string"))
-    full = F.broadcast(names).crossJoin(cells.grid(usage, "hour", 0, 23))
+    full = names.crossJoin(F.broadcast(cells.grid(usage, "hour", 0, 23)))
     both = full.join(g.withColumnsRenamed({"source": "s2", "hour": "h2"}), F.col("source").eqNullSafe(F.col("s2")) & (F.col("hour") == F.col("h2")), "left")
     out = both.select("source", "hour", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("input_tokens", "cached_input_tokens", "rows")])
     return out.withColumn("cache_ratio", stats.ratio("cached_input_tokens", "input_tokens"))
