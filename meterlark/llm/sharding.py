@@ -140,7 +140,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
 
     # Slots: a bin is a range of keys within a shard, of some thousand rows; its first slot is a running sum of the bins' counts.
     n = keys.count()
-    bits = min(24, max(10, (n // 1000).bit_length()))
+    id_bits = min(24, max(4, (n // 1000).bit_length()))
+    bits = max(10, id_bits)
     hot = [r["text_key"] for r in keys.groupBy("text_key").count().where(F.col("count") > max(1000, n // 1000)).select("text_key").collect()]
     prefix = F.shiftright("text_key", KEY_BITS - bits)
     has_hot = prefix.isin(sorted({k >> (KEY_BITS - bits) for k in hot})) if hot else F.lit(False)
@@ -149,7 +150,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
         {
             "bin": prefix,
             "bin_text": F.when(has_hot, F.col("text_key")).otherwise(F.lit(0)),
-            "bin_id": F.when(is_hot, F.shiftright("id_key", KEY_BITS - bits)).otherwise(F.lit(0)),
+            "bin_id": F.when(is_hot, F.shiftright("id_key", KEY_BITS - id_bits)).otherwise(F.lit(0)),
         }
     )
     place = ["shard", "bin", "bin_text", "bin_id"]
