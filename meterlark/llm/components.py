@@ -32,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("u <> v").distinct())
     mark = None
     while True:
-        row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(F.xxhash64("u", "v"), 8)).alias("s")).first()
+        # Edges are distinct, so the exclusive or of their hashes marks the set; unlike a sum it cannot overflow.
+        row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("s")).first()
         if (row["n"], row["s"]) == mark or not row["n"]:
             break
         mark = row["n"], row["s"]

@@ -185,6 +185,12 @@ def test_components_of_a_chain(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_a_million_edges(spark):
+    edges = spark.range(1_000_000).select((F.col("id") * 2).alias("u"), (F.col("id") * 2 + 1).alias("v"))
+    got = components.components(edges)
+    assert got.agg(F.count(F.lit(1)), F.count_if(F.col("root") == F.col("node") - F.col("node") % 2)).first()[:] == (2_000_000, 2_000_000)
+
+
 # BPE
 
 
