@@ -127,7 +127,8 @@ def links(nodes: DataFrame, texts: DataFrame, words: int, p: int, q: int) -> Dat
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
-    """One row per row: ``id_col``, digest (of the text), component_id (smallest id reachable).
+    """One row per row: ``id_col``, digest (of the text), component_id (smallest id reachable), group (of
+    the component: differs between components that have equal ids).
 
     Rows link where the Jaccard similarity of their sets of ``words``-word shingles is
     at least ``similarity`` (a fraction); chains count. Words are lower case in ASCII and
@@ -142,8 +143,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = components(links(nodes, texts, words, p, q))
     linked = found.join(nodes.select("node", "least"), "node")
     roots = linked.groupBy("root").agg(F.min("least").alias("component"))
-    of = linked.join(roots, "root").select("node", "component")
-    named = cut(nodes.join(of, "node", "left").select("node", F.coalesce("component", "least").alias("component_id"), "n"))
+    of = linked.join(roots, "root").select("node", "component", "root")
+    named = cut(nodes.join(of, "node", "left").select("node", F.coalesce("component", "least").alias("component_id"), F.coalesce("root", "node").alias("group"), "n"))
     total = named.agg(F.sum("n")).first()[0] or 0
     out = lookup(rows.select("_id", "digest", "node"), named, "node", "n", total, "_id")
-    return out.select(F.col("_id").alias(id_col), "digest", "component_id")
+    return out.select(F.col("_id").alias(id_col), "digest", "component_id", "group")

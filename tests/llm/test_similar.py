@@ -75,3 +75,22 @@ def test_the_stage_drops_copies_many_bits_apart(spark, sf):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     want = _components([_shingles(t) for t in texts])
     assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, sf).collect()) == sorted(set(want)) != list(range(len(texts)))
+
+
+def test_stages_keep_one_row_of_an_id_and_text(spark, sf):
+    long = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, "one text of its own"), (1, "one text of its own"), (2, long), (2, "another text"), (2, "another  text"), (3, long), (None, "no id"), (None, "no id"), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted(map(str, [(1, rows[0][1]), (2, long), (2, "another  text"), (None, "no id"), (5, None)]))
+    for stage, left in ((corpus_pipeline.exact, docs), (corpus_pipeline.near, docs.where("text is null or text <> 'another text'"))):
+        assert sorted(str((r.doc_id, r.text)) for r in stage(spark, left, sf).collect()) == want
+
+
+def test_quality_decides_on_each_text_of_an_id(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = corpus_pipeline.quality(spark, docs, sf).select("doc_id").collect()
+    good = {r.doc_id for r in good}
+    bad = docs.where(~docs.doc_id.isin(list(good))).limit(3).collect()
+    twins = spark.createDataFrame([(min(good), b.text, b.lang, b.source, b.n_chars) for b in bad], docs.schema)
+    left = corpus_pipeline.quality(spark, docs.unionByName(twins), sf).where(f"doc_id = {min(good)}").collect()
+    assert len(left) == 1 and left[0].text not in {b.text for b in bad}
