@@ -84,9 +84,13 @@ class Model:
     cut: float
     width: float
 
+    def raw(self):
+        """A Column: the weighted sum of column x."""
+        return sum((F.col("x")[i] * w for i, w in enumerate(self.weights)), F.lit(0.0))
+
     def score(self):
         """A Column: the score of column x, THRESHOLD at the cut."""
-        raw = sum((F.col("x")[i] * w for i, w in enumerate(self.weights)), F.lit(0.0))
+        raw = self.raw()
         at = float(np.log(THRESHOLD / (1 - THRESHOLD)))
         return 1 / (1 + F.exp(-((raw - self.cut) / self.width + at)))
 
@@ -114,14 +118,37 @@ def fit(good: np.ndarray, bad: np.ndarray, pairs: int, ridge: float = 1e-3, roun
 
 
 def train(x: DataFrame, labels: DataFrame, id_col: str = "doc_id", most: int = 20_000, pairs: int = 40_000) -> Model:
-    """Fit on at most ``most`` labelled rows of each label (a fixed sample by hash), never on held-out ones."""
+    """Fit weights on at most ``most`` labelled rows of each label (a fixed sample by hash), and the cut on all, never on held-out ones."""
     known = labels.where(F.col("quality").isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_l"), F.col("quality").cast("int").alias("q"))
     joined = cut(x.join(known, F.col(id_col) == F.col("_l")).select("x", "q", F.xxhash64(id_col).alias("h")))
     sides = []
     for label in (1, 0):
         rows = joined.where(F.col("q") == label).orderBy("h").limit(most).select("x").collect()
         sides.append(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)))
-    return fit(*sides, pairs)
+    model = fit(*sides, pairs)
+    counts = {r["q"]: r["count"] for r in joined.groupBy("q").count().collect()}
+    good, bad = counts.get(1, 0), counts.get(0, 0)
+    if max(good, bad) <= most or not good or not bad:
+        return model  # fitted on all of them
+    # The share of bad rows and the scores that set the cut are those of all labelled rows.
+    raw = cut(joined.where(F.col("q").isin(0, 1)).select(model.raw().alias("raw")))
+    low, high = _ranked(raw, bad - 1), _ranked(raw, min(bad, good + bad - 1))
+    return Model(model.weights, (low + high) / 2, max(1e-9, raw.agg(F.stddev_pop("raw")).first()[0]) / 4)
+
+
+def _ranked(rows: DataFrame, k: int, bins: int = 1000, few: int = 1000) -> float:
+    """The value of rank ``k`` (from 0) of column raw, exactly: by counts in ever narrower bins."""
+    while True:
+        low, high, n = rows.agg(F.min("raw"), F.max("raw"), F.count("raw")).first()
+        if n <= few or not low < high:
+            return sorted(r["raw"] for r in rows.limit(few).collect())[k] if n <= few else low
+        at = F.least(F.lit(bins - 1), F.floor((F.col("raw") - low) / (high - low) * bins))
+        counts = {r["b"]: r["count"] for r in rows.groupBy(at.alias("b")).count().collect()}
+        for b in sorted(counts):
+            if k < counts[b]:
+                break
+            k -= counts[b]
+        rows = rows.where(at == b)
 
 
 def held_out(id_col: str = "doc_id"):

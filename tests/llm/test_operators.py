@@ -371,6 +371,16 @@ def test_quality_odd_rows(spark):
     assert quality.score_documents(docs(spark, []), labels).count() == 0
 
 
+def test_the_cut_is_of_all_labelled_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(int(i % 7 > 0), 1, len(quality.FEATURES)).tolist(), int(i % 7 > 0)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, x array<double>, quality int")
+    model = quality.train(df.select("doc_id", "x"), df.select("doc_id", "quality"), most=200, pairs=2000)
+    known = [(x, q) for i, x, q in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    raw, k = np.sort([np.dot(x, model.weights) for x, _ in known]), sum(q == 0 for _, q in known)
+    assert k < len(known) / 5 and np.isclose(model.cut, (raw[k - 1] + raw[k]) / 2, rtol=1e-9) and np.isclose(model.width, raw.std() / 4)
+
+
 def test_bradley_terry_orders_a_feature():
     rng = np.random.default_rng(2)
     n = len(quality.FEATURES)
