@@ -97,18 +97,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, p: int, q: int) ->
 def links(nodes: DataFrame, texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
     """(u, v): enough pairs of ``nodes`` (node, size, first) of a similarity of p / q to join
     exactly those that chains of such pairs join. ``texts`` (t) holds the text of each."""
-    keyed = nodes.select("node", "size", F.posexplode("first").alias("pos", "key"))
+    keyed = nodes.select("node", "size", F.explode("first").alias("key"))
     counts = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     total = counts.agg(F.sum("members")).first()[0] or 0
     met = cut(lookup(_among(keyed, "key", counts, "key"), counts, "key", "members", total, "node").where("members is not null"))
-    # What two sets can share from their first common shingle on must reach what the similarity needs.
-    may = (p + q) * (F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2"))) >= p * (F.col("size") + F.col("size2"))
+    rest = F.ceil(F.col("size") * p / q) - 1
 
     def other(rows: DataFrame, *more: str) -> DataFrame:
-        return rows.select("key", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("pos").alias("pos2"), *[F.col(c).alias(f"{c}2") for c in more])
+        return rows.select("key", F.col("node").alias("node2"), F.col("size").alias("size2"), *[F.col(c).alias(f"{c}2") for c in more])
 
+    def counted(joined: DataFrame) -> DataFrame:
+        """(u, v, shared, rest, need) of pairs of rows under a key; two sets share no more than ``shared``
+        of their first shingles and ``rest`` of the others, and ``need`` / (p + q) in all to be similar."""
+        rests = F.greatest(rest, F.ceil(F.col("size2") * p / q) - 1)
+        return joined.groupBy(F.col("node").alias("u"), F.col("node2").alias("v")).agg(F.count(F.lit(1)).alias("shared"), F.first(rests).alias("rest"), F.first(p * (F.col("size") + F.col("size2"))).alias("need"))
+
+    fits = (q * F.least("size", "size2") >= p * F.greatest("size", "size2")) & (F.col("node") < F.col("node2"))
     few = met.where(F.col("members") <= PAIRED)
-    pairs = few.join(other(few), "key").where("node < node2").where(may).select(F.col("node").alias("u"), F.col("node2").alias("v"))
+    crowds = cut(met.where(F.col("members") > PAIRED).groupBy("node").agg(F.count(F.lit(1)).alias("c")))
+    pairs = counted(few.join(other(few), "key").where(fits))
+    for side in ("u", "v"):
+        pairs = pairs.join(crowds.select(F.col("node").alias(side), F.col("c").alias(f"c{side}")), side, "left")
+    more = F.least(F.coalesce("cu", F.lit(0)), F.coalesce("cv", F.lit(0)))
+    pairs = pairs.where((p + q) * (F.col("shared") + more + F.col("rest")) >= F.col("need")).select("u", "v")
     many = met.where(F.col("members") > PAIRED)
     # One set of each shingle and size, to which the others are compared: a row for each.
     size = F.floor(F.log("size") * 8)
@@ -121,9 +132,11 @@ def links(nodes: DataFrame, texts: DataFrame, words: int, p: int, q: int) -> Dat
 
     named = crowd.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    apart = cut(named.join(open_, "key", "left_semi").select("key", "node", "size", "pos", "root"))
-    rest = apart.join(other(apart, "root"), "key").where("node < node2 and root <> root2").where(may).select(F.col("node").alias("u"), F.col("node2").alias("v"))
-    return found.unionByName(_verified(rest, texts, words, p, q))
+    apart = cut(named.join(open_, "key", "left_semi").select("key", "node", "size", "root"))
+    # Pairs that share a key of few sets are decided; others share just the crowded keys counted here.
+    left = counted(apart.join(other(apart, "root"), "key").where(fits).where("root <> root2"))
+    left = left.where((p + q) * (F.col("shared") + F.col("rest")) >= F.col("need")).select("u", "v")
+    return found.unionByName(_verified(left, texts, words, p, q))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
