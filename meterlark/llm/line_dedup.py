@@ -163,12 +163,24 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return both.select(id_col, F.array_join(kept, "\n").alias("text"))
 
 
-def op5_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, those that repeat or nearly repeat an earlier one, and how many
-    of these have no equal line; the first such line and the document that holds its first."""
-    lines = line_classes(documents(spark, sf_dir))
-    gone = F.when(~F.col("kept"), F.struct("line_no", "first_id"))
-    return lines.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("kept")).alias("n_dropped"), F.count_if(~F.col("kept") & (F.col("copies") == 1)).alias("n_near"),
-        F.min(gone)["line_no"].alias("first_dropped"), F.min(gone)["first_id"].alias("first_id"),
+def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opts) -> DataFrame:
+    """One row per document: ``id_col``, n_lines, n_dropped, n_near (dropped without an equal line), and
+    ``dropped``: each line that is not kept, by line number, as (line_no, first_id, first_line, copies).
+
+    (first_id, first_line) names the class: its first line. Documents without lines have
+    a row of zeros; rows with equal ids share one. A null id equals a null id.
+    """
+    lines = line_classes(docs, id_col, text_col, **opts)
+    gone = F.when(~F.col("kept"), F.struct("line_no", "first_id", "first_line", "copies"))
+    found = lines.groupBy(F.col(id_col).alias("_id")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("kept")).alias("n_dropped"), F.count_if(~F.col("kept") & (F.col("copies") == 1)).alias("n_near"), F.array_sort(F.collect_list(gone)).alias("dropped"),
     )
+    every = docs.select(F.col(id_col).cast("long").alias(id_col)).distinct()
+    zeros = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_dropped", "n_near")]
+    return every.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left").select(id_col, *zeros, F.coalesce("dropped", F.array().cast(found.schema["dropped"].dataType)).alias("dropped"))
+
+
+def op5_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, those that repeat or nearly repeat an earlier one, how many of these
+    have no equal line, and each of them with its class."""
+    return document_lines(documents(spark, sf_dir))

@@ -515,3 +515,16 @@ def test_texts_without_repeated_lines(spark):
     rows = [(1, "a line that is long enough\nshort\n\nlast"), (2, "a line that is long enoughs\nshort\n\nown"), (3, None)]
     got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(docs(spark, rows)).collect()}
     assert got == {1: rows[0][1], 2: "\nown", 3: ""}
+
+
+def test_every_document_names_all_its_dropped_lines(spark):
+    rows = [(1, "a first passage of some length\nown one"), (2, "a second passage of some length"), (3, "own three\na first passage of some length\na second passage of some lengths"), (4, None), (5, ""), (6, " \n "), (None, "own one")]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.n_near, [tuple(d) for d in r.dropped]) for r in line_dedup.document_lines(docs(spark, rows)).collect()}
+    none = (0, 0, 0, [])
+    assert got == {1: (2, 0, 0, []), 2: (1, 0, 0, []), 3: (3, 2, 1, [(1, 1, 0, 2), (2, 2, 0, 1)]), 4: none, 5: none, 6: none, None: (1, 1, 0, [(0, 1, 1, 2)])}
+
+
+def test_the_query_of_lines_has_a_row_per_document(spark, tmp_path):
+    spark.createDataFrame([(1, "one"), (2, None), (3, "one\none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, [d.line_no for d in r.dropped]) for r in line_dedup.op5_segment_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, []), 2: (0, []), 3: (2, [0, 1])}
