@@ -4,7 +4,8 @@ Vectors are dealt into blocks by descending length. A first pass scores every qu
 against the longest vectors, which gives it a floor for its k-th score. In the second
 pass a block is skipped where (query length x block's largest length) is below the floor;
 else vectors are rotated by the corpus's SVD, their first coordinates are multiplied and
-the rest bounded by Cauchy-Schwarz, and only what may reach the floor is scored exactly.
+the rest bounded by Cauchy-Schwarz. A step's exact scores are all multiplied; the bound
+only decides which of them are looked at, so the norm break and the floor save the work.
 """
 
 from __future__ import annotations
