@@ -4,14 +4,19 @@ All pre-tokens of a batch are one linked list of symbols. Bucket r holds the lis
 positions whose pair merges into rank r; a bitmap of three levels marks the buckets in
 use, and find-first-set gives the next rank. A bucket is taken at once, for all
 pre-tokens: positions whose pair has changed since are stale and skipped, neighbours
-in a run merge from the left, every second one. New pairs go to their buckets. The
-work follows the number of merges, not the square of a pre-token's length.
+in a run merge from the left, every second one. New pairs go to their buckets. A merge
+that makes a pair of a smaller rank ends its pre-token's turn, and the rest of the
+bucket waits. A very long pre-token has a queue of its own with the same bitmap, whose
+buckets are heaps of positions: its work follows the merges (times the logarithm of
+its length) whatever the ranks, not the square of the length.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +29,8 @@ from .chunks import ChunkTable, by_pretoken, slices
 from .common import documents, text_or_empty
 
 _NONE = -1
+#: Bytes from which a pre-token has a queue of its own.
+LONG = 1024
 
 
 class RankBitmap:
@@ -122,18 +129,70 @@ class Ranks:
         """Ids of all pre-tokens in a row, and how many each has."""
         whole = [self.ids.get(p, _NONE) for p in pieces]
         counts = np.array([1 if p else 0 for p in pieces], np.int64)
-        many = [k for k, (p, w) in enumerate(zip(pieces, whole, strict=True)) if p and w < 0]
+        many = [k for k, (p, w) in enumerate(zip(pieces, whole, strict=True)) if p and w < 0 and len(p) < LONG]
+        long = {k: self.merge_long(p) for k, (p, w) in enumerate(zip(pieces, whole, strict=True)) if w < 0 and len(p) >= LONG}
         ids, sizes = self._merge([pieces[k] for k in many])
         counts[many] = sizes
+        for k, own in long.items():
+            counts[k] = len(own)
         ends = np.cumsum(counts)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
         single = np.array([k for k, w in enumerate(whole) if w >= 0], np.int64)
         out[ends[single] - 1] = np.array(whole, np.int64)[single]
+        for k, own in long.items():
+            out[ends[k] - len(own) : ends[k]] = own
         if many:
             stops = np.cumsum(sizes)
             out[np.repeat(ends[many] - stops, sizes) + np.arange(len(ids))] = ids  # the places that gather() would read
         return out, counts
 
+    def merge_long(self, piece: bytes) -> np.ndarray:
+        """Ids of one pre-token: the bitmap's first rank, the leftmost position in its bucket, until none is left."""
+        n, tokens, known = len(piece), self.tokens, self.ids.get
+        symbol = array("i", self.byte_ids[np.frombuffer(piece, np.uint8)].astype(np.int32).tobytes())
+        after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        after[n - 1] = _NONE
+        start = self.pair(self.byte_ids[np.frombuffer(piece[:-1], np.uint8)], self.byte_ids[np.frombuffer(piece[1:], np.uint8)])
+        rank = array("i", np.append(start, _NONE).astype(np.int32).tobytes())
+        used, buckets = RankBitmap(self.size), {}
+        order = np.argsort(start, kind="stable")
+        bounds = np.flatnonzero(np.diff(start[order], prepend=-2))
+        for at, end in zip(bounds.tolist(), [*bounds[1:].tolist(), n - 1], strict=True):
+            if (r := int(start[order[at]])) >= 0:
+                buckets[r] = order[at:end].tolist()  # ascending, so a heap
+                used.add(r)
+        while (r := used.first()) >= 0:
+            held = buckets[r]
+            waits = False
+            while held and not waits:
+                i = heapq.heappop(held)
+                if rank[i] != r:
+                    continue  # stale
+                gone = after[i]
+                symbol[i], after[i], rank[gone] = r, after[gone], _NONE
+                symbol[gone] = _NONE
+                if after[i] >= 0:
+                    before[after[i]] = i
+                else:
+                    rank[i] = _NONE
+                for j in (before[i], i):
+                    if j >= 0 and after[j] >= 0:
+                        rank[j] = new = known(tokens[symbol[j]] + tokens[symbol[after[j]]], _NONE)
+                        if new >= 0:
+                            if bucket := buckets.get(new):
+                                heapq.heappush(bucket, j)
+                            else:
+                                buckets[new] = [j]
+                                used.add(new)
+                                if new == r:
+                                    held = buckets[r]
+                            waits |= new < r
+            if not held:
+                buckets.pop(r, None)
+                used.remove(r)
+        every = np.frombuffer(symbol, np.int32)
+        return every[every >= 0].astype(np.uint32)
+
     def _merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not pieces:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
@@ -176,18 +235,20 @@ class Ranks:
             at = at[rank[at] == r]  # the rest is stale
             if len(at) > 1:
                 at = np.unique(at)
+                every = at
+                runs = np.flatnonzero(at[1:] != after[at[:-1]]) + 1
+                if len(runs) + 1 < len(at):
+                    place = np.arange(len(at))
+                    start = np.zeros(len(at), np.int64)
+                    start[runs] = runs
+                    at = at[(place - np.maximum.accumulate(start)) % 2 == 0]
                 if self.careful[r]:
-                    leftmost = np.flatnonzero(np.diff(owner[at], prepend=-1))
-                    later = np.delete(at, leftmost)
-                    at = at[leftmost]
-                    push(later)
-                else:
-                    runs = np.flatnonzero(at[1:] != after[at[:-1]]) + 1
-                    if len(runs) + 1 < len(at):
-                        place = np.arange(len(at))
-                        start = np.zeros(len(at), np.int64)
-                        start[runs] = runs
-                        at = at[(place - np.maximum.accumulate(start)) % 2 == 0]
+                    last = self._turns(r, at, owner, symbol, after, before)
+                    # Places after the one that ends a pre-token's turn wait; those that it spoils are stale by then.
+                    stop = np.full(len(pieces), n, np.int64)
+                    stop[owner[at[last]]] = at[last]
+                    push(every[every > stop[owner[every]]])
+                    at = at[at <= stop[owner[at]]]
             if not len(at):
                 continue
             gone = after[at]
@@ -204,6 +265,20 @@ class Ranks:
         return symbol[alive].astype(np.uint32), np.bincount(owner[alive], minlength=len(pieces))
 
 
+    def _turns(self, r: int, at: np.ndarray, owner: np.ndarray, symbol: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Indexes in ``at`` of the first place in each pre-token whose merge, from the left, makes a pair of a smaller rank."""
+        gone = after[at]
+        left, right = before[at], after[gone]
+        beside = np.zeros(len(at), bool)
+        beside[1:] = left[1:] == gone[:-1]  # merged just before
+        smaller = np.zeros(len(at), bool)
+        for has, a, b in ((left >= 0, np.where(beside, r, symbol[left]), r), (right >= 0, r, symbol[right])):
+            found = self.pair(*np.broadcast_arrays(np.asarray(a, np.int64), np.asarray(b, np.int64)))
+            smaller |= has & (found >= 0) & (found < r)
+        ends = np.flatnonzero(smaller)
+        return ends[np.flatnonzero(np.diff(owner[at[ends]], prepend=-1))]
+
+
 _RANKS: dict[str, tuple[Ranks, ChunkTable]] = {}
 
 
@@ -263,5 +338,6 @@ def digests(docs: DataFrame, ranks: str, text_col: str = "text") -> DataFrame:
 
 
 def op4_rank_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every document as digests; nulls, repeated rows and empty tables as in ``encode_texts``."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).select("doc_id", "coded.*")
