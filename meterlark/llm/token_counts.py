@@ -1,10 +1,13 @@
 """Token counts, with huge documents counted by overlapping chunks.
 
-A huge document is cut about every ``chunk`` characters. Neighbouring chunks overlap,
-both are encoded, and they are spliced where both have a token boundary at a stable
-place (a single space between two characters that are not white space). An overlap
-without such a place is doubled, and a cut whose overlap would reach the next cut is
-given up. Documents whose chunks still disagree are counted whole.
+A huge document is cut about every ``chunk`` characters. Neighbouring chunks overlap and
+both are encoded with offsets. The vocabulary's pattern has no memory: where two scans both
+start a pre-token at one place, they agree from there on. So a place at which both chunks
+start a pre-token, and whose pre-token the first chunk sees to its end, is proven, and the
+counts are spliced there. An overlap in which scans from two starts do not align is doubled
+before the chunks are encoded; chunks whose encodings still share no proven place are
+widened to their neighbours, as far as needed, and encoded again. The place may be any
+boundary, so texts without spaces are cut too; only one pre-token is never divided.
 """
 
 from __future__ import annotations
@@ -13,40 +16,49 @@ from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import STABLE, library_table, slices
+from .chunks import library_table, slices
 from .common import cut, documents, text_or_empty
 
-_SPLICE = "row long, chunk int, n long, left array<struct<p:long,n:long>>, right array<struct<p:long,n:long>>, left_at long, right_at long"
+#: Characters before a chunk's end in which a special string may have been cut off.
+MARGIN = 32
+_SIDE = "array<struct<p:long,n:long>>"
+_ENCODED = f"row long, chunk int, n long, left {_SIDE}, right {_SIDE}, left_at long, right_at long"
+_PATTERN = regex.compile(public_tokenizers.PATTERN)
+
+
+def _proven(starts: list[int], end: int) -> list[int]:
+    """Places among sorted pre-token starts whose pre-token ends before ``end``, for certain."""
+    return [p for p, after in zip(starts, starts[1:], strict=False) if after < end and p + MARGIN <= end]
 
 
 def plan_chunks(text: str, chunk: int, overlap: int) -> list[tuple[int, int]]:
-    """Cuts of a text: (place, reach of the overlap to either side)."""
+    """Cuts of a text: (place, reach of the overlap to either side). A cut at which scans from two
+    starts do not align in less than half a chunk is left out."""
     cuts: list[tuple[int, int]] = []
     for place in range(chunk, len(text) - chunk // 2, chunk):
-        reach = overlap
+        reach = max(overlap, MARGIN)
         while reach < chunk // 2:
-            low = max(0, place - reach)
-            if STABLE.search(text[low : place + reach]):
+            low, high = place - reach, place + reach
+            near = {low + m.start() for m in _PATTERN.finditer(text[low:high])} - {low}
+            first = max(0, low - reach)
+            far = [first + m.start() for m in _PATTERN.finditer(text[first:high])]
+            if near.intersection(_proven(far, high)):
                 cuts.append((place, reach))
                 break
             reach *= 2
     return cuts
 
 
-def _stable(text: str, base: int, place: int, reach: int) -> list[int]:
-    """Stable places inside an overlap, as offsets in the chunk that starts at ``base``."""
-    low = place - reach - base
-    return [low + m.start() for m in STABLE.finditer(text[max(low, 0) : low + 2 * reach])] if low >= 0 else []
-
-
 def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", chunk: int = 16_384, overlap: int = 128, name: str = "n_tokens") -> DataFrame:
     """``docs`` with the number of tokens of each text, as the tokenizers library counts.
 
     A null or empty text has 0. Texts of over twice ``chunk`` characters are counted by
-    chunks, which any number of tasks share. Every row counts, repeated rows too; an
+    overlapping chunks, which any number of tasks share; shorter ones by their chunks
+    between single spaces, each of which a worker encodes once. Every row counts, repeated rows too; an
     empty table stays empty; the text column is dropped and all others are kept (a
     column named like ``name`` is replaced).
     """
@@ -65,15 +77,15 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", chunk
                 out = []
                 for i, t in enumerate(mine, part.start):
                     if len(t) <= 2 * chunk:
-                        out.append((i, next(counts), None, None, None, None, None, None, None))
+                        out.append((i, i, next(counts), None, None, None, None, None, None, None))
                         continue
                     cuts = [(0, 0), *plan_chunks(t, chunk, overlap), (len(t), 0)]
                     for k, ((a, u), (b, v)) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        out.append((i, None, k, t[max(0, a - u) : b + v], max(0, a - u), a, u, b, v))
-                index, *columns = zip(*out, strict=True) if out else ([] for _ in range(9))
+                        out.append((i, None if k else i, None, k, t[max(0, a - u) : b + v], max(0, a - u), a, u, b, v))
+                index, owner, *columns = zip(*out, strict=True) if out else ([] for _ in range(10))
                 kinds = (pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 5)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).take(pa.array(index, pa.int64())) for c in ("row", "own")] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                    [batch.column(c).take(pa.array(at, pa.int64())) for c, at in (("row", index), ("own", owner))] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                     ["row", "own", "n_tokens", "chunk", "text", "base", "left_at", "left_reach", "right_at", "right_reach"],
                 )
 
@@ -88,41 +100,41 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text", chunk
             for r in batch.to_pylist():
                 e = library.encode(r["text"], add_special_tokens=False)
 
-                def seen(place: int, reach: int, e=e, r=r) -> list[dict]:
-                    at = [(p, e.char_to_token(p)) for p in _stable(r["text"], r["base"], place, reach)]
-                    return [{"p": r["base"] + p, "n": k} for p, k in at if k is not None and e.token_to_chars(k)[0] == p]
+                starts, at = [], []
+                for k, (word, (place, _)) in enumerate(zip(e.word_ids, e.offsets, strict=True)):
+                    if not starts or word != held:
+                        starts.append(place)
+                        at.append(k)
+                    held = word
+                base, index = r["base"], dict(zip(starts, at, strict=True))
 
+                def within(places: list[int], place: int, reach: int, base=base, index=index) -> list[dict]:
+                    return [{"p": base + p, "n": index[p]} for p in places if abs(base + p - place) <= reach]
+
+                left, right = within(starts[1:], r["left_at"], r["left_reach"]), within(_proven(starts, len(r["text"])), r["right_at"], r["right_reach"])
                 yield pa.RecordBatch.from_pylist(
-                    [{"row": r["row"], "chunk": r["chunk"], "n": len(e), "left": seen(r["left_at"], r["left_reach"]), "right": seen(r["right_at"], r["right_reach"]), "left_at": r["left_at"], "right_at": r["right_at"]}],
+                    [{"row": r["row"], "chunk": r["chunk"], "n": len(e), "left": left, "right": right, "left_at": r["left_at"], "right_at": r["right_at"]}],
                     schema=pa.schema([("row", pa.int64()), ("chunk", pa.int32()), ("n", pa.int64()), *[(c, pa.list_(pa.struct([("p", pa.int64()), ("n", pa.int64())]))) for c in ("left", "right")], ("left_at", pa.int64()), ("right_at", pa.int64())]),
                 )
 
     pieces = cut(rows.mapInArrow(first, f"row long, own {own}, n_tokens long, chunk int, text string, base long, left_at long, left_reach long, right_at long, right_reach long"))
     chunks = pieces.where(F.col("chunk").isNotNull())
-    spread = chunks.drop("own", "n_tokens").repartition(max(12, 2 * spark_parallelism(docs.sparkSession)))
-    spliced = splice(spread.mapInArrow(encode, _SPLICE))
-    huge = chunks.where(F.col("chunk") == 0).select("row", "own").join(spliced, "row")
     usual = pieces.where(F.col("chunk").isNull()).select("own", "n_tokens")
-    agreed = huge.where("n_tokens is not null").select("own", "n_tokens")
-    failed = huge.where("n_tokens is null").select("row")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = library_table(vocabulary)
-        for batch in batches:
-            counts = table.counts(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(counts)], ["own", "n_tokens"])
-
-    # Chunks of one text in order, without their overlaps, are that text.
-    order = F.sort_array(F.collect_list(F.struct("chunk", F.expr("substring(text, cast(left_at - base + 1 as int), cast(right_at - left_at as int))").alias("t"))))
-    again = (
-        chunks.join(failed, "row")
-        .groupBy("row")
-        .agg(F.first("own").alias("own"), F.concat_ws("", F.transform(order, lambda x: x["t"])).alias("text"))
-        .select("own", "text")
-        .mapInArrow(whole, f"own {own}, n_tokens long")
-    )
-    every = usual.unionByName(agreed).unionByName(again)
-    return every.select(*[F.col("own")[c].alias(c) for c in rest], F.col("n_tokens").alias(name))
+    tasks = max(12, 2 * spark_parallelism(docs.sparkSession))
+    agreed, open_ = [], chunks.drop("own", "n_tokens")
+    while True:
+        # Written out: rounds and counts read it, and a lost executor must not encode again.
+        encoded = cut(splice(cut(open_.repartition(tasks).mapInArrow(encode, _ENCODED))))
+        counted = encoded.groupBy("row").agg(F.when(F.count("n") == F.count(F.lit(1)), F.sum("n")).alias("n_tokens"))
+        agreed.append(counted.where("n_tokens is not null"))
+        if encoded.where("n is null").isEmpty():
+            break
+        open_ = cut(widened(open_, encoded))
+    spliced = agreed[0]
+    for more in agreed[1:]:
+        spliced = spliced.unionByName(more)
+    huge = chunks.where(F.col("chunk") == 0).select("row", "own").join(spliced, "row").select("own", "n_tokens")
+    return usual.unionByName(huge).select(*[F.col("own")[c].alias(c) for c in rest], F.col("n_tokens").alias(name))
 
 
 def spark_parallelism(spark: SparkSession) -> int:
@@ -130,21 +142,46 @@ def spark_parallelism(spark: SparkSession) -> int:
 
 
 def splice(chunks: DataFrame) -> DataFrame:
-    """One row per huge document: row, n_tokens (null where two chunks share no stable boundary)."""
+    """(row, chunk, n, failed): the tokens of each chunk between its splices, null where one is not
+    proven; ``failed``: the chunk and the next share no proven place."""
     order = Window.partitionBy("row").orderBy("chunk")
     both = chunks.withColumn("next_left", F.lead("left").over(order)).withColumn("is_last", F.lead("chunk").over(order).isNull())
     common = F.array_intersect(F.transform("right", lambda x: x["p"]), F.transform("next_left", lambda x: x["p"]))
     near = F.array_min(F.transform(common, lambda p: F.struct(F.abs(p - F.col("right_at")).alias("d"), p.alias("p"))))["p"]
 
+    def tokens(side: str, place: str):
+        return F.when(F.col(place).isNotNull(), F.get(F.transform(F.filter(side, lambda x: x["p"] == F.col(place)), lambda x: x["n"]), F.lit(0)))
+
     joined = both.withColumn("end_p", near)
-    joined = joined.withColumn("start_p", F.lag("end_p").over(order)).withColumn("is_first", F.col("chunk") == 0)
-    start = F.when(F.col("is_first"), F.lit(0)).when(F.col("start_p").isNotNull(), F.get(F.transform(F.filter("left", lambda x: x["p"] == F.col("start_p")), lambda x: x["n"]), F.lit(0)))
-    end = F.when(F.col("is_last"), F.col("n")).when(F.col("end_p").isNotNull(), F.get(F.transform(F.filter("right", lambda x: x["p"] == F.col("end_p")), lambda x: x["n"]), F.lit(0)))
-    counted = joined.select("row", (end - start).alias("n"))
-    return counted.groupBy("row").agg(F.when(F.count("n") == F.count(F.lit(1)), F.sum("n")).alias("n_tokens"))
+    joined = joined.withColumn("start_p", F.lag("end_p").over(order)).withColumn("is_first", F.lag("chunk").over(order).isNull())
+    start = F.when(F.col("is_first"), F.lit(0)).otherwise(tokens("left", "start_p"))
+    end = F.when(F.col("is_last"), F.col("n")).otherwise(tokens("right", "end_p"))
+    return joined.select("row", "chunk", (end - start).alias("n"), (~F.col("is_last") & F.col("end_p").isNull()).alias("failed"))
+
+
+def widened(chunks: DataFrame, spliced: DataFrame) -> DataFrame:
+    """Chunks of the rows that have a failed splice, those that it parts joined to one."""
+    order = Window.partitionBy("row").orderBy("chunk")
+    bad = spliced.where("n is null").select("row").distinct()
+    group = F.sum((~F.coalesce(F.lag("failed").over(order), F.lit(False))).cast("int")).over(order) - 1
+    number = spliced.join(bad, "row", "left_semi").select("row", "chunk", "failed").withColumn("group", group).select("row", "chunk", "group")
+
+    def part(a: str, b: str):
+        return F.expr(f"substring(text, cast({a} + 1 as int), cast({b} as int))")
+
+    own = part("left_at - base", "right_at - left_at")
+    joined = chunks.join(number, ["row", "chunk"]).select(
+        "row", "group", F.struct("chunk", own.alias("own"), part("0", "left_at - base").alias("head"), part("right_at - base", "char_length(text)").alias("tail"), "base", "left_at", "left_reach", "right_at", "right_reach").alias("c")
+    )
+    # The members of a group are what one encoding has to see at once.
+    held = joined.groupBy("row", "group").agg(F.sort_array(F.collect_list("c")).alias("cs"))
+    first, last = F.element_at("cs", 1), F.element_at("cs", -1)
+    text = F.concat(first["head"], F.array_join(F.transform("cs", lambda c: c["own"]), ""), last["tail"])
+    return held.select("row", F.col("group").cast("int").alias("chunk"), text.alias("text"), first["base"].alias("base"), first["left_at"].alias("left_at"), first["left_reach"].alias("left_reach"), last["right_at"].alias("right_at"), last["right_reach"].alias("right_reach"))
 
 
 def op10_resynchronised_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document; nulls, repeated rows and empty tables as in ``count_tokens``."""
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
