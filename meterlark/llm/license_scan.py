@@ -2,11 +2,13 @@
 
 A template of n words is compared with blocks of 2n words at every n words, so any n
 words in a row lie in one block. Tokens are ordered by their frequency in the whole
-corpus, rarest first. A block that holds at least ``need`` of a template's tokens holds
-one of its first ``size - need + 1``: only these prefix tokens are looked up (prefix
-filter). A block too short to hold ``need`` words goes (length filter), and so does one
-whose tokens from the matched one on, in the global order, are too few (positional
-filter). What is left is counted exactly.
+corpus, rarest first, and stand for their places in this order. A block that holds at
+least ``need`` of a template's tokens holds one of its first ``size - need + 1``: only
+these prefix tokens are looked up (prefix filter). Blocks that the text leaves fewer than
+``need`` words are never made (length filter). Of a template matched at its i-th token a
+block can hold no more than i tokens before it and what the block has from this token on
+in the global order: where these are too few, it goes (positional filter). Only what is
+left is intersected with the template.
 """
 
 from __future__ import annotations
@@ -79,72 +81,78 @@ def token_order(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {t: i for i, t in enumerate(sorted(vocabulary, key=lambda t: (seen.get(t, 0), t)))}
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """License finds of each row.
+#: A hit is place x CODES + rank; the templates have fewer tokens than this.
+CODES = 1024
 
-    Returns ``id_col``, n_words, n_base (places of base phrases), first_word and last_word
-    (smallest and largest start of these places, else null), base_labels, labels (sorted,
-    comma-joined, empty if none), score (largest containment of a template in a block
-    that meets its threshold, else 0). Null and empty texts have no words. Repeated
-    rows and null ids are rows of their own; an empty table gives no rows; other columns
-    are ignored.
+
+def blocks(docs: DataFrame, id_col: str, text_col: str, plan: list[Template]) -> DataFrame:
+    """One row per text, prefix token found in it, template of the token and block that holds it.
+
+    Columns: row, id, n_words, of the template (template, n, need, label, base, size), start (first word of
+    the block), may (the positional filter's verdict), shared (tokens in common; 0 where it
+    may not), places (starts of a base phrase). Texts without a block have one row of nulls.
     """
-    plan = templates(threshold)
     vocabulary = sorted(set().union(*(t.tokens for t in plan)))
     words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(text_or_empty(text_col)).alias("words"))
     order = token_order(words.select("words"), vocabulary)
-
     index = []
     for k, t in enumerate(plan):
-        ranked = sorted(t.tokens, key=order.get)
-        for i, token in enumerate(ranked[: len(ranked) - t.need + 1]):
-            index.append((token, k, len(t.words), i, order[token], ranked, t.need, list(t.words), t.label, t.base))
-    spark = docs.sparkSession
-    prefixes = spark.createDataFrame(
-        index,
-        "prefix string, template int, n int, place int, rank int, tokens array<string>, need int, phrase array<string>, label string, base boolean",
-    )
+        ranked = sorted(order[x] for x in t.tokens)
+        for i, rank in enumerate(ranked[: len(ranked) - t.need + 1]):
+            index.append((rank, k, len(t.words), i, ranked, t.need, [order[w] for w in t.words], t.label, t.base))
+    prefixes = docs.sparkSession.createDataFrame(index, "rank long, template int, n int, place int, tokens array<long>, need int, phrase array<long>, label string, base boolean")
+    first = sorted({r[0] for r in index})
+    of = sorted(vocabulary, key=order.get)
+
+    placed = F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("token")))
+    hits = F.transform(F.filter(placed, lambda h: h["token"].isin(vocabulary)), lambda h: h["at"].cast("long") * CODES + F.array_position(F.array(*map(F.lit, of)), h["token"]) - 1)
+    # Most texts hold no prefix token and need no list of hits.
+    some = F.when(F.arrays_overlap("words", F.array(*[F.lit(of[r]) for r in first])), hits)
+    found = words.select("row", "id", F.size("words").alias("n_words"), some.alias("hits"))
+    starts = F.filter(F.transform("hits", lambda c, i: F.struct(c.alias("code"), i.alias("i"))), lambda h: (h["code"] % CODES).isin(first))
     reach = 2 * max(len(t.words) for t in plan)
-    known = sorted({r[0] for r in index})
-
-    places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), w.alias("token"))), lambda h: h["token"].isin(known))
-    # Most texts hold no prefix token and need no list of places.
-    hits = F.when(F.arrays_overlap("words", F.array(*map(F.lit, known))), places)
-    found = words.select("row", "id", F.size("words").alias("n_words"), F.explode_outer(hits).alias("hit"), "words")
-    first = F.greatest(F.col("hit.at") - reach, F.lit(0))
-    near = found.select(
-        "row", "id", "n_words", F.col("hit.at").alias("at"), F.col("hit.token").alias("token"), first.alias("first"),
-        F.when(F.col("hit").isNotNull(), F.slice("words", first + 1, F.lit(2 * reach + 1))).alias("near"),
+    found = found.select("row", "id", "n_words", "hits", F.explode_outer(starts).alias("h")).select(
+        "row", "id", "n_words", (F.col("h.code") % CODES).alias("hit"), F.floor(F.col("h.code") / CODES).alias("at"),
+        F.slice("hits", F.greatest(F.lit(0), F.col("h.i") - reach) + 1, F.lit(2 * reach + 1)).alias("near"),
     )
     # The index has one row per prefix token of the templates: its size is fixed by the parameters.
-    paired = near.join(F.broadcast(prefixes), F.col("token") == F.col("prefix"), "left")
-    number = F.floor(F.col("at") / F.col("n")).cast("int")
-    blocks = paired.withColumn("block", F.explode_outer(F.filter(F.array(number - 1, number), lambda b: b >= 0)))
-    start = F.col("block") * F.col("n")
-    blocks = blocks.withColumn("start", start).withColumn("held", F.slice("near", start - F.col("first") + 1, 2 * F.col("n")))
-    blocks = blocks.withColumn("shared", F.array_intersect("tokens", "held"))
-    long_enough = F.size("held") >= F.col("need")
-    # Tokens of the template come in the global order: what is shared from this place on.
-    rest = F.size(F.array_intersect(F.expr("slice(tokens, place + 1, size(tokens))"), F.col("shared")))
-    earlier = F.col("place")
-    candidate = long_enough & (rest + earlier >= F.col("need"))
-    meets = candidate & (F.size("shared") >= F.col("need"))
-    containment = F.size("shared") / F.size("tokens")
-
-    starts = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.slice("held", i + 1, F.col("n")) == F.col("phrase"))
-    base_starts = F.when(meets & F.col("base"), F.transform(starts, lambda i: F.struct("template", (i + F.col("start")).alias("word"))))
-    judged = blocks.select(
-        "row", "id", "n_words", base_starts.alias("base_places"),
-        F.when(meets & ~F.col("base"), F.col("label")).alias("own_label"),
-        F.col("label"), F.when(meets, F.when(F.col("base"), F.lit(None)).otherwise(containment)).alias("containment"),
-    )
-    grouped = judged.groupBy("row").agg(
+    paired = found.join(F.broadcast(prefixes), F.col("hit") == F.col("rank"), "left")
+    number = F.floor(F.col("at") / F.col("n"))
+    long_enough = F.filter(F.array(number - 1, number), lambda b: (b >= 0) & (F.col("n_words") - b * F.col("n") >= F.col("need")))
+    paired = paired.withColumn("block", F.explode_outer(long_enough)).withColumn("start", F.col("block") * F.col("n"))
+    inside = paired.withColumn("inside", F.filter("near", lambda c: (c >= F.col("start") * CODES) & (c < (F.col("start") + 2 * F.col("n")) * CODES)))
+    held = inside.withColumn("held", F.array_distinct(F.transform("inside", lambda c: c % CODES)))
+    may = F.col("place") + F.size(F.filter("held", lambda r: r >= F.col("rank"))) >= F.col("need")
+    judged = held.withColumn("may", may).withColumn("shared", F.when(F.col("may"), F.size(F.array_intersect("tokens", "held"))).otherwise(0))
+
+    def stands(word):
+        return F.forall(F.transform("phrase", lambda r, k: (word + k) * CODES + r), lambda c: F.array_contains("inside", c))
+
+    word = F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)
+    places = F.when(F.col("base") & (F.col("shared") >= F.col("need")), F.filter(word, stands))
+    return judged.select("row", "id", "n_words", "template", "n", "need", "label", "base", F.size("tokens").alias("size"), "start", "may", "shared", places.alias("places"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """License finds of each row.
+
+    Returns ``id_col``, n_words, n_base (places of base phrases), first_word and last_word
+    (smallest and largest start of these places, else null), base_labels, labels (sorted,
+    comma-joined, empty if none), score (largest containment of a template in a block
+    that meets its threshold, else 0). Null and empty texts have no words. Repeated
+    rows and null ids are rows of their own; an empty table gives no rows; other columns
+    are ignored.
+    """
+    found = blocks(docs, id_col, text_col, templates(threshold))
+    meets = F.col("shared") >= F.col("need")
+    notice = meets & ~F.col("base")
+    grouped = found.groupBy("row").agg(
         F.first("id").alias(id_col),
         F.first("n_words").cast("long").alias("n_words"),
-        F.array_distinct(F.flatten(F.collect_set("base_places"))).alias("places"),
-        F.collect_set(F.when(F.size("base_places") > 0, F.col("label"))).alias("base_set"),
-        F.collect_set("own_label").alias("own_set"),
-        F.max("containment").alias("containment"),
+        F.array_distinct(F.flatten(F.collect_set(F.transform("places", lambda w: F.struct("template", w.alias("word")))))).alias("places"),
+        F.collect_set(F.when(F.size("places") > 0, F.col("label"))).alias("base_set"),
+        F.collect_set(F.when(notice, F.col("label"))).alias("own_set"),
+        F.max(F.when(notice, F.col("shared") / F.col("size"))).alias("containment"),
     )
     starts_of = F.transform("places", lambda p: p["word"])
     return grouped.select(
@@ -160,6 +168,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 
 
 def op1_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License finds of every document; nulls, repeated rows and empty tables as in ``scan``."""
     return scan(documents(spark, sf_dir))
 
 
