@@ -1,6 +1,6 @@
 """Histogram sort into shards of near-equal bytes (DataFrame operations only).
 
-Rows are ordered by (hash of the text, hash of the id, id). Each round counts the
+Rows are ordered by (hash of the text, hash of the id and the row's place). Each round counts the
 exact bytes below 4,096 candidate boundaries inside every open interval, over all
 partitions, and keeps for each splitter the one interval that holds its target.
 The loop ends when every splitter is within tolerance; the counts of one round are
@@ -128,7 +128,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"),
             F.xxhash64(text).alias("text_key"),
-            F.xxhash64(F.col(id_col)).alias("id_key"),
+            # Repeated rows of one id are told apart by their place in the input, written with them.
+            F.xxhash64(F.col(id_col), F.monotonically_increasing_id()).alias("id_key"),
         )
     )
     splitters = find_splitters(keys.select("text_key", "id_key", "size"), shards, tolerance, group_tolerance)
@@ -170,6 +171,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
 
 
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of near-equal bytes and its slot there; nulls, repeated rows and empty
+    tables as in ``shard_by_bytes``."""
     dealt = shard_by_bytes(documents(spark, sf_dir))
     return dealt.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
