@@ -20,6 +20,7 @@ INDEX = T.StructType(
         T.StructField("text_sha256", T.StringType()),
         T.StructField("keep_id", T.LongType()),
         T.StructField("keep_chars", T.LongType()),
+        T.StructField("batch", T.StringType()),
     ]
 )
 
@@ -35,52 +36,77 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, table: str, buckets: int = 48):
         self.spark, self.table, self.buckets = spark, table, buckets
 
-    def _write(self, rows: DataFrame) -> None:
-        rows.write.format("parquet").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").mode("append").saveAsTable(self.table)
+    def _write(self, rows: DataFrame, table: str | None = None) -> None:
+        rows.write.format("parquet").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").mode("append").saveAsTable(table or self.table)
 
     def entries(self) -> DataFrame:
         if not self.spark.catalog.tableExists(self.table):
             self._write(self.spark.createDataFrame([], INDEX))
         return self.spark.table(self.table)
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
         """Deduplicate a batch against the index and append what is new.
 
         Returns one row per input row: ``id_col``, keep_id, group_size (rows of this
-        batch with the digest), kept, text_sha256. A digest that the index has keeps the
-        index's row, so the batch's rows go; otherwise the longest original text (code
-        points), then the smallest id, stays. Null texts count as empty. Of repeated
-        rows with equal ids all have ``kept`` true or all false. A null id is the largest.
+        batch with the digest), kept, text_sha256 and the columns ``more``. A digest that
+        the index has from another batch keeps the index's row, so the batch's rows go;
+        otherwise the longest original text (code points), then the smallest id, stays,
+        and of repeated rows one. Null texts count as empty; a null id is the largest.
+
+        ``batch`` names the rows for a rerun: one that failed after the append decides
+        as it did before and appends nothing twice. Without it each call is a new batch.
         """
+        batch = batch or uuid.uuid4().hex
         text = text_or_empty(text_col)
-        rows = cut(docs.select(F.col(id_col).cast("long").alias("_id"), F.char_length(text).cast("long").alias("_chars"), digest(text).alias("text_sha256")))
-        best = F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"))
+        rows = cut(
+            docs.select(
+                F.col(id_col).cast("long").alias("_id"), F.char_length(text).cast("long").alias("_chars"), digest(text).alias("text_sha256"),
+                F.monotonically_increasing_id().alias("_row"), F.struct(F.lit(0).alias("_"), *more).alias("_more"),
+            )
+        )
+        best = F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))
         groups = cut(
             rows.groupBy("text_sha256")
             .agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
-            .select("text_sha256", F.col("best.i").alias("keep_id"), (-F.col("best.c")).alias("keep_chars"), "group_size")
+            .select("text_sha256", F.col("best.i").alias("keep_id"), F.col("best.r").alias("keep_row"), (-F.col("best.c")).alias("keep_chars"), "group_size")
         )
-        known = self.entries().select("text_sha256")
+        entries = self.entries()
+        known = entries.where(F.col("batch") != batch).select("text_sha256", F.col("keep_id").alias("known_id"))
         new = cut(groups.hint("merge").join(known.hint("merge"), "text_sha256", "left_anti"))
-        seen = groups.join(new.select("text_sha256"), "text_sha256", "left_anti").select("text_sha256", "group_size").join(self.entries(), "text_sha256")
-        decided = cut(new.withColumn("fresh", F.lit(True)).unionByName(seen.withColumn("fresh", F.lit(False))).drop("keep_chars"))
-        self._write(new.select("text_sha256", "keep_id", "keep_chars"))
+        seen = groups.join(known, "text_sha256").select("text_sha256", F.col("known_id").alias("keep_id"), F.lit(None).cast("long").alias("keep_row"), "group_size")
+        decided = cut(new.drop("keep_chars").unionByName(seen))
+        again = entries.where(F.col("batch") == batch).select("text_sha256")
+        self._write(new.join(again, "text_sha256", "left_anti").select("text_sha256", "keep_id", "keep_chars", F.lit(batch).alias("batch")))
         found = lookup(rows, decided, "text_sha256", "group_size", rows.count(), "_id")
         return found.select(
-            F.col("_id").alias(id_col),
-            "keep_id",
-            "group_size",
-            (F.col("fresh") & F.col("_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-            "text_sha256",
+            F.col("_id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("_row") == F.col("keep_row"), F.lit(False)).alias("kept"), "text_sha256", *[F.col("_more")[c].alias(c) for c in more]
         )
 
+    def compact(self) -> None:
+        """Rewrite the table with one sorted file per bucket, after many appends."""
+        fresh = f"{self.table}_compacted"
+        self.spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        self._write(self.entries().repartition(self.buckets, "text_sha256"), fresh)
+        self.drop()
+        self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {self.table}")
+
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """``DigestIndex.add`` of one batch to an index of its own, which is dropped: all that it decided is written."""
+    index = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
+    try:
+        return index.add(docs, id_col, text_col, more=more)
+    finally:
+        index.drop()
+
+
 def op2_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return index.add(documents(spark, sf_dir))
+    """Every document with the one of its group that stays. Repeated rows with one id are rows of
+    their own, of which one has ``kept``; null texts are empty; an empty table gives no rows."""
+    return deduplicated(documents(spark, sf_dir))
 
 
 OP2_SQL = r"""
@@ -90,7 +116,7 @@ WITH d AS (
   SELECT doc_id, length(t) AS chars, sha256(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM d
 ), g AS (
   SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id,
-    count(*) OVER (PARTITION BY text_sha256) AS group_size FROM h
+    row_number() OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS nth, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM h
 )
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+SELECT doc_id, keep_id, group_size, nth = 1 AS kept, text_sha256 FROM g
 """
