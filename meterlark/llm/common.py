@@ -15,11 +15,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder and read from there.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, a
-    laptop) is one chosen here.
+    The folder is ``spark.checkpoint.dir``; only where that is unset on a local master
+    (tests, a laptop) is one chosen here. On a cluster an unset folder is an error.
     """
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -28,6 +30,25 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def among(rows: DataFrame, column: str, wanted: DataFrame, other: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not among ``wanted[other]``.
+
+    A bitmap of 2^24 hashed values, so at most 2^18 words whatever the input, is
+    broadcast; only what passes it has to shuffle. With more than some 2^24 wanted
+    values it passes most rows, and the join that follows does the work.
+    """
+
+    def word(c: str) -> Column:
+        return F.pmod(F.shiftright(F.xxhash64(c), 6), F.lit(1 << 18))
+
+    def bit(c: str) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64(c).bitwiseAND(F.lit(63)).cast("int"))
+
+    words = wanted.select(word(other).alias("_word"), bit(other).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    met = rows.join(F.broadcast(words), (word(column) == F.col("_word")) & (bit(column).bitwiseAND(F.col("_bits")) != 0))
+    return met.select(*rows.columns)
+
+
 #: A key with more than 1/HOT_PARTS of all rows is hot; so there are at most HOT_PARTS hot keys.
 HOT_PARTS = 1000
 

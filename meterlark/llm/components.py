@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, lookup
@@ -30,13 +32,54 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours are looked up by broadcast (see ``lookup``).
     """
     edges = cut(edges.where("u <> v").distinct())
-    mark = None
-    while True:
-        # Edges are distinct, so the exclusive or of their hashes marks the set; unlike a sum it cannot overflow.
-        row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("s")).first()
-        if (row["n"], row["s"]) == mark or not row["n"]:
+    while total := edges.count():
+        edges = cut(_stars(edges, True, total))
+        edges = cut(_stars(edges, False, total))
+        # Done when each node has one edge to a root that has none.
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        open_ = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down > 0 and up > 0)")
+        if open_.isEmpty():
             break
-        mark = row["n"], row["s"]
-        edges = cut(_stars(edges, True, row["n"]))
-        edges = cut(_stars(edges, False, row["n"]))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
+def _other(rows: DataFrame) -> DataFrame:
+    """``rows`` with 2 after the names of all columns but key."""
+    return rows.select("key", *[F.col(c).alias(f"{c}2") for c in rows.columns if c != "key"])
+
+
+def key_links(met: DataFrame, possible: Column, apart: Column, verify: Callable[[DataFrame], DataFrame], first: Column, paired: int, leads: int = 2) -> DataFrame:
+    """(u, v): enough verified pairs of nodes that share a key to join exactly those that all such pairs join.
+
+    ``met``: key, node, members (rows of the key) and what ``possible`` and ``apart`` need, also
+    with 2 after the names for the other node. ``possible`` may only discard pairs that
+    ``verify`` would; ``apart`` says how likely a pair is. Nodes of a key with more than
+    ``paired`` rows are compared with the nearest few of those chosen under their keys
+    (smallest ``first``, then by hash); then only nodes outside the largest component of a
+    key meet those of other components there.
+    """
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
+
+    few = met.where(F.col("members") <= paired).drop("members")
+    pairs = few.join(_other(few), "key").where("node < node2").where(possible).select("node", "node2")
+
+    crowd = met.where(F.col("members") > paired).drop("members")
+    more = [c for c in crowd.columns if c != "key"]
+    lead = crowd.groupBy("key").agg(F.min_by(F.struct(*more), F.struct(first, F.xxhash64("node", "key"))).alias("o"), F.count(F.lit(1)).alias("c"))
+    lead = cut(lead.select("key", "c", *[F.col("o")[c].alias(f"{c}2") for c in more]))
+    stars = lookup(crowd, lead, "key", "c", lead.agg(F.sum("c")).first()[0] or 0, "node").where("node <> node2").where(possible)
+    near = Window.partitionBy("node").orderBy("apart", "node2")
+    stars = stars.select("node", "node2", apart.alias("apart")).distinct()
+    stars = stars.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= leads).select("node", "node2")
+    found = verify(ordered(pairs.unionByName(stars)))
+    if lead.isEmpty():
+        return found
+
+    named = cut(crowd.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    held = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = held.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main")
+    open_ = cut(named.join(main, "key"))
+    left = open_.where("root <> main").drop("main").join(_other(open_.drop("main")), "key").where("root <> root2").where(possible)
+    return found.unionByName(verify(ordered(left)))

@@ -1,12 +1,14 @@
 """Line dedup by a segment-partition edit join (DataFrame operations only).
 
-Lines within one edit of each other are near. A line of length n is cut into two
-segments (threshold plus one), indexed by (n, which, segment); a line of length n or
-n + 1 probes with the substrings that one edit elsewhere would leave in place: its
-first n // 2 characters and its last n - n // 2. What meets is verified by a banded
-edit distance on bits. Segments that very many lines share are not paired: their lines
-meet under themselves with one character left out, which finds the same links with as
-many rows as characters.
+A line of n characters may differ from another by one edit for every ``per`` characters of
+the shorter, up to ``most``. A line that allows t edits is cut into t + 1 segments (threshold
+plus one), indexed by (n, which, segment): t edits leave one of them whole. A line of n to
+n + t characters probes with its substrings at the places that the length difference and
+the segments on either side allow. What meets is verified by a banded edit distance on
+bits; before, lines go whose characters' parities differ in more bits than twice the edits.
+Segments that very many lines share are not paired: their lines are compared with the
+nearest of those chosen under their segments, and only those that stay in different
+components are then paired.
 """
 
 from __future__ import annotations
@@ -14,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, lookup, text_or_empty
-from .components import components
+from .common import among, cut, documents, lookup, text_or_empty
+from .components import components, key_links
 
-#: A segment with more lines is handled by left-out characters.
-PAIRED = 64
+#: A segment with more lines is handled by components.
+PAIRED = 32
 _WIDE = "decimal(38,0)"
 
 
@@ -32,113 +34,123 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumns({"line_key": key.cast(_WIDE), "place": place.cast(_WIDE)})
 
 
-def within_one(x: Column, y: Column) -> Column:
-    """Whether two arrays of characters are at most one edit apart.
+def edits(n: Column, per: int, most: int) -> Column:
+    """Edits that a line of n characters allows."""
+    return F.least(F.lit(most), F.floor(n / per).cast("int"))
 
-    A bit for each of the three diagonals, a word for each number of edits: the words of
-    a column follow from those before by the mask of matching characters and shifts.
+
+def within(x: Column, y: Column, t: Column, most: int) -> Column:
+    """Whether two arrays of characters are at most ``t`` (up to ``most``) edits apart.
+
+    A bit for each of the 2 x most + 1 diagonals, a word for each number of edits: the
+    words of a column follow from those before by the mask of matching characters and shifts.
     """
+    names, full = [f"e{k}" for k in range(most + 1)], (1 << (2 * most + 1)) - 1
 
     def step(acc: Column, j: Column) -> Column:
-        mask = sum((F.when(F.get(x, j + o) == F.get(y, j), 1 << (o + 1)).otherwise(0) for o in (-1, 0, 1)), F.lit(0))
-        exact = acc["a"].bitwiseAND(mask)
-        edited = acc["b"].bitwiseAND(mask).bitwiseOR(acc["a"]).bitwiseOR(F.shiftright(acc["a"], 1)).bitwiseOR(F.shiftleft(exact, 1))
-        return F.struct(exact.alias("a"), edited.bitwiseAND(F.lit(7)).alias("b"))
-
-    start = F.struct(F.lit(2).alias("a"), F.lit(6).alias("b"))
+        c = F.get(y, j)
+        mask = sum((F.when(F.get(x, j + o) == c, 1 << (o + most)).otherwise(0) for o in range(-most, most + 1)), F.lit(0))
+        words = [acc["e0"].bitwiseAND(mask)]
+        for k in range(1, most + 1):
+            less = acc[f"e{k - 1}"]
+            word = acc[f"e{k}"].bitwiseAND(mask).bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(words[-1], 1))
+            words.append(word.bitwiseAND(F.lit(full)))
+        return F.struct(*[w.alias(n) for w, n in zip(words, names, strict=True)])
+
+    start = F.struct(*[F.lit(sum(1 << (most + i) for i in range(k + 1))).alias(n) for k, n in enumerate(names)])
     end = F.when(F.size(y) > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(y) - 1, F.lit(0))), start, step)).otherwise(start)
-    place = F.size(x) - F.size(y) + 1
-    return F.abs(F.size(x) - F.size(y)).between(0, 1) & (end["b"].bitwiseAND(F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), F.greatest(F.lit(0), F.least(F.lit(2), place)) + 1)) != 0)
+    apart = F.size(x) - F.size(y)
+    reached = F.element_at(F.array(*[end[n] for n in names]), F.greatest(F.lit(0), F.least(F.lit(most), t)) + 1)
+    bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(2 * most + 1)]), F.least(F.lit(most), F.greatest(F.lit(-most), apart)) + most + 1)
+    return (F.abs(apart) <= t) & (reached.bitwiseAND(bit) != 0)
+
+
+def _probes(t: int, shorter: int) -> list[tuple[int, int]]:
+    """(segment, shift) of the substrings with which a line probes lines ``shorter`` characters shorter
+    that allow t edits: at most i edits before segment i, and at most t - i after it. Own segments come first."""
+    own = [(i, 0) for i in range(t + 1)] if not shorter else []
+    return own + [(i, s) for i in range(t + 1) for s in range(max(-i, shorter - t + i), min(i, shorter + t - i) + 1) if (i, s) not in own]
 
 
-def _segment_keys(n: Column, line: Column) -> list[Column]:
-    """Own keys of a line (index and probe), then its probes of lines one character shorter."""
+def _segment_keys(n: Column, line: Column, per: int, most: int) -> list[tuple[Column, bool]]:
+    """(key, own) of a line: its own segments (index and probe), then what it probes shorter lines with; null if not used."""
     out = []
-    for shorter in (0, 1):
+    for shorter in range(most + 1):
         length = n - shorter
-        half = F.floor(length / 2).cast("int")
-        out.append(F.xxhash64(length, F.lit(0), F.substring(line, F.lit(1), half)))
-        out.append(F.xxhash64(length, F.lit(1), F.substring(line, n - (length - half) + 1, length - half)))
+        allowed = {t: _probes(t, shorter) for t in range(max(1, shorter), most + 1)}
+        for j in range(max(map(len, allowed.values()))):
+            key, own = F.lit(None).cast("long"), False
+            for t, probes in allowed.items():
+                if j < len(probes):
+                    i, shift = probes[j]
+                    own |= not shorter and j <= t
+                    size = F.floor(length / (t + 1)).cast("int")
+                    longer = length - size * (t + 1)  # so many of the last segments have one character more
+                    at = size * i + F.greatest(F.lit(0), longer - (t + 1 - i))
+                    width = size + (longer >= t + 1 - i).cast("int")
+                    made = F.xxhash64(length, F.lit(i), F.substring(line, at + shift + 1, width))
+                    key = F.when(edits(length, per, most) == t, made).otherwise(key)
+            out.append((key, own))
     return out
 
 
-def _classes(lines: DataFrame, min_chars: int) -> DataFrame:
-    """One row per different line: line_key, place of the first, n, and its keys (null if short)."""
-    n = F.char_length("line")
-    keys = {f"k{i}": F.when(n >= min_chars, k) for i, k in enumerate(_segment_keys(n, F.col("line")))}
+def _classes(lines: DataFrame, per: int, most: int) -> DataFrame:
+    """One row per different line: line_key, place of the first, n, and its keys."""
+    keys = {f"k{i}": k for i, (k, _) in enumerate(_segment_keys(F.char_length("line"), F.col("line"), per, most))}
     return lines.select("line_key", "place", *[k.alias(c) for c, k in keys.items()]).groupBy("line_key").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in keys])
 
 
-def _among(rows: DataFrame, column: str, wanted: DataFrame, other: str) -> DataFrame:
-    """``rows`` without most of those whose ``column`` is not among ``wanted[other]``.
-
-    A bitmap of 2^24 hashed values, so at most 2^18 words whatever the input, is
-    broadcast; only what passes it has to shuffle.
-    """
-
-    def word(c: str) -> Column:
-        return F.pmod(F.shiftright(F.xxhash64(c), 6), F.lit(1 << 18))
-
-    def bit(c: str) -> Column:
-        return F.element_at(F.array(*[F.lit(b - (1 << 64) if b >> 63 else b).cast("long") for b in (1 << i for i in range(64))]), (F.xxhash64(c).bitwiseAND(F.lit(63)) + 1).cast("int"))
-
-    words = wanted.select(word(other).alias("_word"), bit(other).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    met = rows.join(F.broadcast(words), (word(column) == F.col("_word")) & (bit(column).bitwiseAND(F.col("_bits")) != 0))
-    return met.select(*rows.columns)
-
-
 def _texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, line) of the first line of each of ``nodes`` (node, place)."""
     wanted = cut(nodes.select("node", F.col("place").alias("_place")).distinct())
-    met = _among(lines.select("place", "line_key", "line"), "place", wanted, "_place").join(wanted, (F.col("place") == F.col("_place")) & (F.col("line_key") == F.col("node")))
+    met = among(lines.select("place", "line_key", "line"), "place", wanted, "_place").join(wanted, (F.col("place") == F.col("_place")) & (F.col("line_key") == F.col("node")))
     return met.select("node", "line").dropDuplicates(["node"])
 
 
-def near_links(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """(u, v): line_keys within one edit; all of them for segments with few lines, and for
-    crowded segments enough to join all that chains of links join."""
-    entries = F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i < 2).alias("own")) for i in range(4)])
-    keyed = classes.where("k0 is not null").select(F.col("line_key").alias("node"), "place", F.explode(entries).alias("e")).select("node", "place", "e.key", "e.own")
+def near_links(lines: DataFrame, classes: DataFrame, per: int, most: int) -> DataFrame:
+    """(u, v): pairs of line_keys within their edits, enough to join all that chains of such pairs join."""
+    own = [o for _, o in _segment_keys(F.lit(0), F.lit(""), per, most)]
+    entries = F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(o).alias("own")) for i, o in enumerate(own)])
+    used = classes.where(F.coalesce(*[F.col(f"k{i}") for i in range(len(own))]).isNotNull())
+    keyed = used.select(F.col("line_key").alias("node"), "place", F.explode(F.filter(entries, lambda e: e["key"].isNotNull())).alias("e")).select("node", "place", "e.key", "e.own")
     counts = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.count_if("own").alias("owners")).where("members > 1 and owners > 0").drop("owners"))
     total = counts.agg(F.sum("members")).first()[0] or 0
-    met = cut(lookup(_among(keyed, "key", counts, "key"), counts, "key", "members", total, "node").where("members is not null"))
-    texts = cut(_texts(lines, met))
-
-    few = met.where(F.col("members") <= PAIRED)
-    index = few.where("own").select("key", F.col("node").alias("u"))
-    probe = few.select("key", F.col("node").alias("v"), "own")
-    paired = index.join(probe, "key").where((F.col("u") != F.col("v")) & (~F.col("own") | (F.col("u") < F.col("v")))).select("u", "v")
-
-    crowd = met.where(F.col("members") > PAIRED).select("node").distinct().join(texts, "node")
-    at = F.explode(F.sequence(F.lit(0), F.char_length("line") - 1))
-    out = crowd.select("node", "line", at.alias("p"))
-    without = F.concat(F.expr("substring(line, 1, p)"), F.expr("substring(line, p + 2)"))
-    out = out.select("node", F.xxhash64(without, F.col("p")).alias("same"), F.xxhash64(without).alias("shorter"))
-    least = out.groupBy("same").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    # Lines that differ in one place share it; any two of them are one edit apart.
-    changed = lookup(out.select("node", "same"), least, "same", "c", least.agg(F.sum("c")).first()[0] or 0, "node").where("u < node").select("u", F.col("node").alias("v"))
-    whole = crowd.select(F.col("node").alias("u"), F.xxhash64("line").alias("whole"))
-    grown = out.join(whole, F.col("shorter") == F.col("whole")).select("u", F.col("node").alias("v"))
-
-    pairs = paired.unionByName(changed).unionByName(grown).distinct()
-    chars = texts.select("node", F.split("line", "").alias("chars"))
-    both = pairs.join(chars.select(F.col("node").alias("u"), F.col("chars").alias("x")), "u").join(chars.select(F.col("node").alias("v"), F.col("chars").alias("y")), "v")
-    return both.where(within_one(F.col("x"), F.col("y"))).select("u", "v")
-
-
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 24) -> DataFrame:
+    met = cut(lookup(among(keyed, "key", counts, "key"), counts, "key", "members", total, "node").where("members is not null"))
+    # A bit for each character, by whether it occurs an odd number of times; an edit changes two at most.
+    odd = F.aggregate(F.split("line", ""), F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(F.lit(63)))))
+    texts = cut(_texts(lines, met).select("node", "line", F.char_length("line").alias("n"), odd.alias("mask")))
+
+    met = cut(met.select("key", "node", "own", "members").join(texts.select("node", "n", "mask"), "node"))
+    allowed = edits(F.least("n", "n2"), per, most)
+    apart = F.bit_count(F.col("mask").bitwiseXOR(F.col("mask2")))
+    possible = (F.col("own") | F.col("own2")) & (F.abs(F.col("n") - F.col("n2")) <= allowed) & (apart <= 2 * allowed)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        x, y = (texts.select(F.col("node").alias(side), F.col("line").alias(name)) for side, name in (("u", "x"), ("v", "y")))
+        # The lambda binds the characters once; a plain column would be split again at each step.
+        chars = F.array(F.struct(F.split("x", "").alias("x"), F.split("y", "").alias("y")))
+        near = F.exists(chars, lambda c: within(c["x"], c["y"], edits(F.least(F.size(c["x"]), F.size(c["y"])), per, most), most))
+        return cut(pairs.join(x, "u").join(y, "v").where(near).select("u", "v"))
+
+    return key_links(met, possible, apart, verify, ~F.col("own"), PAIRED)
+
+
+def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per: int = 24, most: int = 2) -> DataFrame:
     """One row per line that is not blank: ``id_col``, line_no, first_id, first_line, copies, kept.
 
-    Lines are parted by line feeds and taken as they stand. Equal lines, and lines of at
-    least ``min_chars`` characters within one edit, form a class (chains included); its
-    first line by (id, line number) is kept. ``copies`` counts the equal lines. Null
-    texts have no lines; a null id comes last; rows with equal ids share their places,
-    so equal lines of repeated rows are all kept or all not. An empty table gives no
-    rows; other columns are ignored.
+    Lines are parted by line feeds and taken as they stand. Equal lines, and lines within
+    one edit for every ``per`` characters of the shorter (up to ``most`` edits), form a class
+    (chains included); its first line by (id, line number) is kept. ``copies`` counts the
+    equal lines. Null texts have no lines; a null id comes last; rows with equal ids share
+    their places, so equal lines of repeated rows are all kept or all not. An empty table
+    gives no rows; other columns are ignored. A line of less than ``most`` + 1 characters
+    can allow none.
     """
+    if per <= most:
+        raise ValueError("a line must have more characters than edits")
     lines = _lines(docs, id_col, text_col)
-    classes = cut(_classes(lines, min_chars))
-    found = components(near_links(lines, classes))
+    classes = cut(_classes(lines, per, most))
+    found = components(near_links(lines, classes, per, most))
     linked = found.join(classes, F.col("node") == F.col("line_key")).select("line_key", "root", "place", "n")
     first = linked.groupBy("root").agg(F.min("place").alias("first_place"))
     named = linked.join(first, "root").select("line_key", "first_place", "n")
