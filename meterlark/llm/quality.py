@@ -65,17 +65,16 @@ def features(text: str) -> list[float]:
     ]
 
 
-def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, x, *more): the features of each row's whole text; null texts count as empty.
-    ``more`` names long columns that go along."""
+def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, x): the features of each row's whole text; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t.as_py()) for t in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(rows, pa.list_(pa.float64())), *map(batch.column, more)], ["i", "x", *more])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(rows, pa.list_(pa.float64()))], ["i", "x"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), text_or_empty(text_col).alias("t"), *more)
-    return rows.mapInArrow(run, ", ".join(["i long, x array<double>", *(f"{c} long" for c in more)])).withColumnRenamed("i", id_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), text_or_empty(text_col).alias("t"))
+    return rows.mapInArrow(run, "i long, x array<double>").withColumnRenamed("i", id_col)
 
 
 @dataclass(frozen=True)
@@ -155,17 +154,37 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row: ``id_col``, held_out, score, predicted (1 from THRESHOLD on), and the long columns ``more``.
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: ``id_col``, held_out, score, predicted (1 from THRESHOLD on).
 
     Null and empty texts have a score too. Repeated rows get equal scores. A null id is
     not held out and has no label. Without labels of both kinds every score is above
     the threshold. An empty table gives no rows; only the text decides a score.
     """
-    x = cut(with_features(docs, id_col, text_col, more))
+    x = cut(with_features(docs, id_col, text_col))
     score = train(x, labels, id_col).score()
-    return x.select(id_col, held_out(id_col).alias("held_out"), score.alias("score"), *more).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).select(id_col, "held_out", "score", "predicted", *more)
+    return x.select(id_col, held_out(id_col).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model, fitted on the labels of these very rows, scores at THRESHOLD or more.
+
+    Features are computed a second time beside the rows, so no text is shuffled, and each
+    row is judged by its own text whatever its id. Nulls, repeated rows and empty tables
+    as in ``score_documents``; all columns are kept.
+    """
+    model = train(cut(with_features(docs, id_col, text_col)), labels, id_col)
+    rows = docs.select(F.struct(*docs.columns).alias("own"), text_or_empty(text_col).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t.as_py()) for t in batch.column("t")]
+            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(found, pa.list_(pa.float64()))], ["own", "x"])
+
+    scored = rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, x array<double>")
+    return scored.where(model.score() >= THRESHOLD).select(*[F.col("own")[c].alias(c) for c in docs.columns])
 
 
 def op8_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document; nulls, repeated rows and empty tables as in ``score_documents``."""
     return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

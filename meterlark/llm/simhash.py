@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, lookup, text_or_empty
 from .components import components
+from .similar import similar_documents
 
 SEED, BITS, BLOCKS, RADIUS = 42, 64, 4, 2
 PIVOTS_PER_BLOCK = 8
@@ -121,14 +122,20 @@ def links(fps: DataFrame) -> DataFrame:
     return paired.unionByName(near).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """One row per row: ``id_col``, fp, component_id (smallest id reachable, itself included).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similarity: tuple[int, int] | None = None) -> DataFrame:
+    """One row per row: ``id_col``, component_id (smallest id reachable, itself included), and fp.
 
     Rows link where their fingerprints differ in at most two bits. Texts without words
     have fingerprint 0 and link like any other; null texts count as empty; repeated rows
     share their component. A null id is never smallest unless all are null. An empty
     table gives no rows; other columns are ignored.
+
+    With a ``similarity`` (a fraction) rows link where the sets of their shingles are that
+    similar, which no radius of these fingerprints can tell: see ``similar_documents``,
+    whose columns come back.
     """
+    if similarity:
+        return similar_documents(docs, id_col, text_col, words, similarity)
     rows = cut(fingerprints(docs, id_col, text_col, words).select(F.col(id_col).alias("_id"), "fp"))
     classes = cut(rows.groupBy("fp").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n")))
     found = components(links(classes.select("fp")))
@@ -142,5 +149,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op3_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; nulls, repeated rows and empty tables as in ``near_duplicates``."""
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

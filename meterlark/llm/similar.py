@@ -1,10 +1,21 @@
-"""Near-dedup by the exact similarity of word shingles (a prefix-filtered set join).
-
-A text is the set of its shingles' hashes. Sets of a similarity of p / q or more share one
-of the first n - ceil(n p / q) + 1 shingles of each, in any order that all texts share:
-here the rare ones first, for common passages to come last. What meets is verified by its
-whole sets. A shingle that many sets have first is not paired at once: its sets are
-compared with one of them, and only those in different components are then paired.
+"""Near copies by the exact similarity of their word shingles.
+
+Fingerprints of 64 bits cannot tell texts of a similarity of 0.8 (they lie up to fifteen
+bits apart), so the wide form of near-dedup finds candidates another way. A text is the
+set of its shingles' hashes; the smallest of these, a bit over (1 - p / q) of them, are
+its sketch. Two sets of a similarity of p / q share a fixed number of sketch hashes, so
+
+1. sketch hashes are counted once; texts with too few shared ones go;
+2. the whole sets of the few that are left are counted; texts whose shared shingles are
+   not at least p / q of their own go;
+3. what is left meets under its rarest shared sketch hashes (a prefix filter).
+
+Each set has a fingerprint of 1,024 bits, a bit for the parity of the shingles that fall
+on it. Two fingerprints never differ in more bits than their sets differ in shingles, so
+the Hamming distance discards most pairs for certain; survivors are verified by their
+whole sets. Hashes that many sets meet under are not paired at once: sets are compared
+with the nearest of the few chosen under their hashes, and only those that stay in
+different components are then paired.
 """
 
 from __future__ import annotations
@@ -14,18 +25,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lookup, text_or_empty
-from .components import components
-from .line_dedup import _among
-from .simhash import SEED
+from .common import among, cut, lookup, text_or_empty
+from .components import components, key_links
 
-#: A shingle with more sets is handled by components.
-PAIRED = 32
-#: Rows whose shingles tell which are common, and how many of these are known. Only the order depends on them.
-SAMPLED, COMMON = 20_000, 100_000
+SEED = 42
+#: A hash with more sets is handled by components; chosen sets that each is compared with.
+PAIRED, LEADS = 8, 2
+#: Words of 64 bits in a parity fingerprint.
+WORDS = 16
+#: Added to a sketch: 1 / EXTRA of the set's size.
+EXTRA = 10
 
 
 def shingles(text: str, words: int = 5) -> np.ndarray:
@@ -41,102 +53,121 @@ def _node(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set: which of its bits an odd number of hashes falls on."""
+    odd = np.bincount(own & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _least(n: int, p: int, q: int) -> int:
+    """Shingles that a set of n and one similar to it have in common, at the fewest."""
+    return -(-n * p // q)
+
+
+def _sketch_size(n: int, p: int, q: int) -> int:
+    t = _least(n, p, q)
+    return n - t + min(t, n // EXTRA + 1) if n else 0
+
+
+def _sketches(rows: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """(_id, digest, node, size, mask, first) of each of ``rows`` (_id, digest, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t.as_py(), words) for t in batch.column("t")]
+            made = [
+                pa.array([_node(s) for s in sets], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([parity(s) for s in sets], pa.list_(pa.int64())),
+                pa.array([s[: _sketch_size(len(s), p, q)] for s in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("digest"), *made], ["_id", "digest", "node", "size", "mask", "first"])
+
+    return rows.mapInArrow(run, "_id long, digest long, node long, size long, mask array<long>, first array<long>")
+
+
 def _sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, own) of each of ``texts`` (t)."""
+    """(node, own): the whole set of each of ``texts`` (t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column("t"):
-                own = shingles(t.as_py(), words)
-                yield pa.RecordBatch.from_arrays([pa.array([_node(own)], pa.int64()), pa.array([own], pa.list_(pa.int64()))], ["node", "own"])
+            sets = [shingles(t.as_py(), words) for t in batch.column("t")]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "own"])
 
     return texts.select("t").mapInArrow(run, "node long, own array<long>")
 
 
-def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many of a sample of the texts have, sorted, and how many have each."""
-    total = texts.count()
-    part = texts.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) <= F.lit(int(1_000_000 * min(1.0, SAMPLED / max(1, total)))))
-    counts = _sets(part, words).select(F.explode("own").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 4")
-    rows = sorted((r["s"], r["c"]) for r in counts.orderBy(F.desc("c"), "s").limit(COMMON).collect())
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+def _shared(keyed: DataFrame) -> DataFrame:
+    """(key, members) of the keys that more than one row of ``keyed`` has, written."""
+    return cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
 
 
-def _first(rows: DataFrame, words: int, p: int, q: int) -> DataFrame:
-    """(_id, digest, node, size, first): the set of each of ``rows`` (_id, digest, t) and its first shingles."""
-    known = rows.sparkSession.sparkContext.broadcast(_common(rows, words))
+def _with_members(keyed: DataFrame, counts: DataFrame, *columns: str) -> DataFrame:
+    """Rows of ``keyed`` whose key is in ``counts``, with members."""
+    total = counts.agg(F.sum("members")).first()[0] or 0
+    return lookup(among(keyed, "key", counts, "key"), counts, "key", "members", total, "node").where("members is not null").select("key", *columns, "members")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = known.value
-        for batch in batches:
-            nodes, sizes, firsts = [], [], []
-            for t in batch.column("t"):
-                own = shingles(t.as_py(), words)
-                n = len(own)
-                rank = np.zeros(n, np.int64)
-                if len(common) and n:
-                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-                    rank = np.where(common[at] == own, counts[at], 0)
-                nodes.append(_node(own))
-                sizes.append(n)
-                firsts.append(own[np.lexsort((own, rank))][: n + (-n * p) // q + 1] if n else own)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("digest"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["_id", "digest", "node", "size", "first"])
-
-    return rows.mapInArrow(run, "_id long, digest long, node long, size long, first array<long>")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose sets have a similarity of p / q."""
-    pairs = cut(pairs.distinct())
-    wanted = cut(pairs.select(F.col("u").alias("w")).unionByName(pairs.select(F.col("v").alias("w"))).distinct())
-    sets = cut(_among(_sets(texts, words), "node", wanted, "w").join(wanted, F.col("node") == F.col("w"), "left_semi").dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("own").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("own").alias("y")), "v")
+
+def _fewest(size: Column, p: int, q: int) -> Column:
+    """Sketch hashes that a set shares with any similar one, at the fewest (of the smallest such set)."""
+    other = F.ceil(size * p / q)
+    return F.least(F.ceil(other * p / q), F.floor(other / EXTRA) + 1)
+
+
+def _candidates(nodes: DataFrame, firsts: DataFrame, texts: DataFrame, words: int, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """(key, node): where similar sets meet; and (node, own): the whole sets of those that may have a similar one."""
+    keyed = firsts.select("node", "size", F.explode("first").alias("key"))
+    # Repeated rows of one set count here, which only adds texts that step 2 takes out.
+    met = cut(_with_members(keyed, _shared(keyed), "node", "size").distinct())
+    likely = met.groupBy("node").agg(F.count(F.lit(1)).alias("have"), F.first("size").alias("size")).where(F.col("have") >= _fewest(F.col("size"), p, q))
+    chosen = cut(likely.join(nodes.select("node", "digest"), "node").select("node", "size", "have", "digest"))
+
+    wanted = chosen.select(F.col("digest").alias("_digest")).distinct()
+    sets = among(texts, "digest", wanted, "_digest").join(wanted, F.col("digest") == F.col("_digest"), "left_semi").dropDuplicates(["digest"])
+    sets = cut(_sets(sets, words))
+    whole = sets.select("node", F.explode("own").alias("key"))
+    part = among(whole, "key", _shared(whole), "key").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+    strong = cut(chosen.join(part, "node").where(F.col("common") >= F.ceil(F.col("size") * p / q)).select("node", "have", "size"))
+
+    # Of m shared hashes, of which at least f are common to a pair, one is among the m - f + 1 rarest.
+    rare = met.select("node", "key", "members").join(strong, "node").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("members", "key"))).alias("keys"), F.first("size").alias("size")
+    )
+    count = F.greatest(F.lit(0), F.size("keys") - _fewest(F.col("size"), p, q) + 1).cast("int")
+    return cut(rare.select("node", F.explode(F.slice("keys", F.lit(1), count)).alias("k")).select("k.key", "node")), sets
+
+
+def _apart(a: str, b: str) -> Column:
+    """Bits in which two parity fingerprints differ."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(WORDS)), F.lit(0))
+
+
+def _possible(p: int, q: int) -> Column:
+    """Whether (size, mask) and (size2, mask2) may belong to similar sets."""
+    fits = q * F.least("size", "size2") >= p * F.greatest("size", "size2")
+    return fits & ((p + q) * _apart("mask", "mask2") <= (q - p) * (F.col("size") + F.col("size2")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Those of distinct ``pairs`` (u, v) whose whole sets have the similarity."""
+    x, y = (sets.select(F.col("node").alias(side), F.col("own").alias(name)) for side, name in (("u", "x"), ("v", "y")))
+    both = pairs.join(x, "u").join(y, "v")
     return cut(both.where((p + q) * F.size(F.array_intersect("x", "y")) >= p * (F.size("x") + F.size("y"))).select("u", "v"))
 
 
-def links(nodes: DataFrame, texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
-    """(u, v): enough pairs of ``nodes`` (node, size, first) of a similarity of p / q to join
-    exactly those that chains of such pairs join. ``texts`` (t) holds the text of each."""
-    keyed = nodes.select("node", "size", F.explode("first").alias("key"))
-    counts = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+def links(nodes: DataFrame, firsts: DataFrame, texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """(u, v): enough pairs of similar sets to join exactly those that chains of similar pairs join.
+
+    ``nodes``: (node, size, digest, mask) once each; ``firsts``: (node, size, first);
+    ``texts``: (digest, t).
+    """
+    keyed, sets = _candidates(nodes, firsts, texts, words, p, q)
+    counts = _shared(keyed)
     total = counts.agg(F.sum("members")).first()[0] or 0
-    met = cut(lookup(_among(keyed, "key", counts, "key"), counts, "key", "members", total, "node").where("members is not null"))
-    rest = F.ceil(F.col("size") * p / q) - 1
-
-    def other(rows: DataFrame, *more: str) -> DataFrame:
-        return rows.select("key", F.col("node").alias("node2"), F.col("size").alias("size2"), *[F.col(c).alias(f"{c}2") for c in more])
-
-    def counted(joined: DataFrame) -> DataFrame:
-        """(u, v, shared, rest, need) of pairs of rows under a key; two sets share no more than ``shared``
-        of their first shingles and ``rest`` of the others, and ``need`` / (p + q) in all to be similar."""
-        rests = F.greatest(rest, F.ceil(F.col("size2") * p / q) - 1)
-        return joined.groupBy(F.col("node").alias("u"), F.col("node2").alias("v")).agg(F.count(F.lit(1)).alias("shared"), F.first(rests).alias("rest"), F.first(p * (F.col("size") + F.col("size2"))).alias("need"))
-
-    fits = (q * F.least("size", "size2") >= p * F.greatest("size", "size2")) & (F.col("node") < F.col("node2"))
-    few = met.where(F.col("members") <= PAIRED)
-    crowds = cut(met.where(F.col("members") > PAIRED).groupBy("node").agg(F.count(F.lit(1)).alias("c")))
-    pairs = counted(few.join(other(few), "key").where(fits))
-    for side in ("u", "v"):
-        pairs = pairs.join(crowds.select(F.col("node").alias(side), F.col("c").alias(f"c{side}")), side, "left")
-    more = F.least(F.coalesce("cu", F.lit(0)), F.coalesce("cv", F.lit(0)))
-    pairs = pairs.where((p + q) * (F.col("shared") + more + F.col("rest")) >= F.col("need")).select("u", "v")
-    many = met.where(F.col("members") > PAIRED)
-    # One set of each shingle and size, to which the others are compared: a row for each.
-    size = F.floor(F.log("size") * 8)
-    crowd = cut(many.withColumn("band", size))
-    lead = crowd.groupBy("key", "band").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("c"))
-    lead = cut(lead.withColumn("kb", F.xxhash64("key", "band")).select("kb", "u", "c"))
-    stars = lookup(crowd.withColumn("kb", F.xxhash64("key", "band")).select("node", "kb"), lead, "kb", "c", total, "node")
-    pairs = pairs.unionByName(stars.where("u <> node").select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")))
-    found = _verified(pairs, texts, words, p, q)
-
-    named = crowd.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    apart = cut(named.join(open_, "key", "left_semi").select("key", "node", "size", "root"))
-    # Pairs that share a key of few sets are decided; others share just the crowded keys counted here.
-    left = counted(apart.join(other(apart, "root"), "key").where(fits).where("root <> root2"))
-    left = left.where((p + q) * (F.col("shared") + F.col("rest")) >= F.col("need")).select("u", "v")
-    return found.unionByName(_verified(left, texts, words, p, q))
+    met = lookup(keyed, counts, "key", "members", total, "node").where("members is not null")
+    met = cut(met.join(nodes.select("node", "size", "mask"), "node"))
+
+    return key_links(met, _possible(p, q), _apart("mask", "mask2"), lambda pairs: _verified(pairs, sets, p, q), F.lit(0), PAIRED, LEADS)
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -151,9 +182,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     p, q = similarity
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("t")).withColumn("digest", F.xxhash64("t"))
-    rows = cut(_first(texts.select("_id", "digest", "t"), words, p, q))
-    nodes = cut(rows.groupBy("node").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("first").alias("first")))
-    found = components(links(nodes, texts, words, p, q))
+    rows = cut(_sketches(texts.select("_id", "digest", "t"), words, p, q))
+    nodes = cut(rows.groupBy("node").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("digest").alias("digest"), F.first("size").alias("size"), F.first("mask").alias("mask")))
+    found = components(links(nodes, rows.select("node", "size", "first"), texts.select("digest", "t"), words, p, q))
     linked = found.join(nodes.select("node", "least"), "node")
     roots = linked.groupBy("root").agg(F.min("least").alias("component"))
     of = linked.join(roots, "root").select("node", "component", "root")

@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import uuid
 import zlib
 from collections import defaultdict
@@ -78,6 +79,21 @@ def test_scan_matches_brute_force(spark, table, texts):
     assert got == {i: _scan(t) for i, t in texts.items()}
 
 
+def test_filters_discard_blocks_before_they_are_counted(spark):
+    """A prefix token alone: at a text's end too few words follow, elsewhere too few tokens of higher rank."""
+    plan = license_scan.templates(0.8)
+    filler = " ".join(f"w{i}" for i in range(200))
+    common = " ".join(f"{w} " * 60 for t in plan for w in t.words if w != "charge")
+    rows = [(i, f"{filler} charge {filler}") for i in range(20)] + [(i, "charge") for i in range(20, 40)] + [(98, common), (99, f"{filler} permission is hereby granted free of charge to any person obtaining a copy of this software {filler}")]
+    found = license_scan.blocks(docs(spark, rows), "doc_id", "text", plan).where("label = 'mit-text' and start is not null")
+    late = found.where("id = 99 and shared >= need").count()
+    assert late and found.where("id >= 20 and id < 40").count() == 0  # by length
+    early = found.where("id < 20")
+    assert early.count() and early.where("may").count() == 0  # by position
+    got = {r.doc_id: r.labels for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert {i for i, v in got.items() if "mit-text" in v} == {99}
+
+
 def test_scan_odd_rows(spark):
     rows = [*ODD, (20, "cc by cc by mit license apache license"), (21, "You may not use this FILE, except in compliance with the Licence"), (22, "gnuK general public license"), (23, "GNU-general/public_LICENSE")]
     got = license_scan.scan(docs(spark, rows)).collect()
@@ -90,16 +106,36 @@ def test_scan_odd_rows(spark):
 
 def test_index_keeps_the_longest_then_the_first(spark):
     index = exact_dedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=4)
-    try:
-        rows = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in index.add(docs(spark)).collect()}
-        assert (4, 4, 2, True) in rows and (5, 5, 1, True) in rows
-        assert {r for r in rows if r[1] == 3} == {(1, 3, 3, False), (2, 3, 3, False), (3, 3, 3, True)}
-        again = index.add(docs(spark, [(100, "mit\nlicense"), (101, "new text"), (102, "newtext")])).collect()
-        assert {(r.doc_id, r.keep_id, r.kept) for r in again} == {(100, 4, False), (101, 101, True), (102, 101, False)}
-        assert index.entries().count() == len({r[1] for r in rows}) + 1
-        assert index.add(docs(spark, [])).count() == 0
-    finally:
-        index.drop()
+    rows = [(5, "a b"), (3, "ab"), (2, "a  b"), (9, "a  b"), (9, "a  b"), (1, "c"), (1, "c"), (4, None), (6, " "), (None, "q"), (None, "q")]
+    got = sorted(index.add(docs(spark, rows)).collect(), key=str)
+    keep = {"ab": 2, "c": 1, "": 6, "q": None}
+    for r in got:
+        assert r.kept is False or keep[next(k for k in keep if hashlib.sha256(k.encode()).hexdigest() == r.text_sha256)] == r.doc_id
+    # Of repeated rows one stays.
+    assert sorted(str(r.doc_id) for r in got if r.kept) == ["1", "2", "6", "None"]
+    again = index.add(docs(spark, [(0, "a b"), (7, "new"), (7, "new")])).collect()
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in again) == [(0, 2, False), (7, 7, False), (7, 7, True)]
+    assert index.add(docs(spark, [])).count() == 0
+    index.drop()
+
+
+def test_a_batch_run_again_decides_the_same(spark):
+    index = exact_dedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=4)
+    index.add(docs(spark, [(1, "a")]), batch="one")
+    rows = [(2, "a"), (3, "b"), (4, "b")]
+    want = sorted(tuple(r) for r in index.add(docs(spark, rows), batch="two").collect())
+    assert sorted(tuple(r) for r in index.add(docs(spark, rows), batch="two").collect()) == want
+    assert [r[3] for r in want] == [False, True, False] and index.entries().count() == 2
+    index.compact()
+    assert index.entries().count() == 2 and [r.kept for r in index.add(docs(spark, [(9, "b")])).collect()] == [False]
+    index.drop()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(index.table)]
+
+
+def test_the_dedup_query_leaves_no_table(spark, sf):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert exact_dedup.op2_digest_index(spark, sf).where("kept").count() == exact_dedup.op2_digest_index(spark, sf).select("text_sha256").distinct().count()
+    assert {t.name for t in spark.catalog.listTables()} == before
 
 
 def test_hot_group_and_digest(spark):
@@ -211,6 +247,23 @@ def test_rank_queue_matches_the_library(reference_bpe):
         assert bpe.decode(own, ranks.tokens) == piece
 
 
+def test_very_long_pretokens(reference_bpe):
+    """Repeats whose merges make smaller ranks, the case in which a bucket has to wait."""
+    ranks = bpe.Ranks(RANKS)
+    for unit in (b"abcab", b"theand", b"aaaaa"):
+        piece = unit * 4000
+        assert ranks.merge_long(piece).tolist() == reference_bpe._encode_single_piece(piece)
+    began = time.monotonic()
+    million = b"abcab" * 200_000
+    assert b"".join(ranks.tokens[i] for i in ranks.merge_long(million).tolist()) == million
+    assert time.monotonic() - began < 60
+    rng = random.Random(3)
+    pieces = [bytes(rng.choice(b"theandisors") for _ in range(rng.randrange(1, 90))) * rng.randrange(1, 20) for _ in range(300)]
+    ids, counts = ranks.encode(pieces)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [reference_bpe._encode_single_piece(p) for p in pieces]
+
+
 def test_bitmap():
     b = bpe.RankBitmap(300_000)
     members = random.Random(3).sample(range(300_000), 500)
@@ -270,10 +323,33 @@ def test_counts_of_odd_rows(spark, library):
     assert got[0].own == "own" and token_counts.count_tokens(docs(spark, []), JSON).count() == 0
 
 
-def test_chunks_that_disagree_are_counted_whole(spark):
+def test_splices_need_a_common_place(spark):
     side = "array<struct<p:long,n:long>>"
     df = spark.createDataFrame([(1, 0, 9, [], [(10, 4)], 0, 10), (1, 1, 9, [(10, 2)], [], 10, 20), (2, 0, 9, [], [(10, 4)], 0, 10), (2, 1, 9, [(11, 2)], [], 10, 20)], f"row long, chunk int, n long, left {side}, right {side}, left_at long, right_at long")
-    assert {r.row: r.n_tokens for r in token_counts.splice(df).collect()} == {1: 11, 2: None}
+    got = {(r.row, r.chunk): (r.n, r.failed) for r in token_counts.splice(df).collect()}
+    assert got == {(1, 0): (4, False), (1, 1): (7, False), (2, 0): (None, True), (2, 1): (None, False)}
+
+
+def test_chunks_beside_a_failed_splice_are_joined(spark):
+    text = "".join(chr(97 + i % 26) for i in range(50))
+    cuts = [(0, 0), (10, 2), (20, 3), (30, 2), (50, 0)]
+    rows = [(1, k, text[max(0, a - u) : b + v], max(0, a - u), a, u, b, v) for k, ((a, u), (b, v)) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    chunks_ = spark.createDataFrame(rows, "row long, chunk int, text string, base long, left_at long, left_reach long, right_at long, right_reach long")
+    state = spark.createDataFrame([(1, 0, 4, False), (1, 1, None, True), (1, 2, None, True), (1, 3, None, False), (2, 0, 3, False)], "row long, chunk int, n long, failed boolean")
+    got = sorted(tuple(r) for r in token_counts.widened(chunks_, state).select(*chunks_.columns).collect())
+    assert got == [(1, 0, text[0:12], 0, 0, 0, 10, 2), (1, 1, text[8:50], 8, 10, 2, 50, 0)]
+
+
+def test_texts_without_spaces_are_cut(spark, library):
+    rng = random.Random(5)
+    han = "".join("。" if rng.random() < 0.03 else chr(0x4E00 + rng.randrange(2000)) for _ in range(9000))
+    feeds = "\n".join("word%d" % rng.randrange(999) for _ in range(1500))
+    mixed = "ab" * 4000 + han[:3000] + "x " * 2000
+    hard = "<|endoftext|>" * 700 + "  \n \n" * 500
+    assert len(token_counts.plan_chunks(han, 1000, 32)) > 6 and len(token_counts.plan_chunks(feeds, 1000, 32)) > 6
+    rows = list(enumerate([han, feeds, mixed, hard]))
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs(spark, rows), JSON, chunk=1000, overlap=32).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in rows}
 
 
 # search
@@ -295,6 +371,34 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_search_exchanges_only_what_may_reach_a_floor(spark):
+    """Lengths that fall off: most (part, block) pairs and products are never made."""
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(size=(3000, 8)) * (400 / (1 + np.arange(3000)))[:, None])
+    order = np.argsort(-np.linalg.norm(x, axis=1))
+    x = x[order]
+    top = float(np.linalg.norm(x[0]))
+    bands = np.clip(np.floor((1 - np.linalg.norm(x, axis=1) / top) * topk.BANDS), 0, topk.BANDS - 1).astype(int)
+    counts = {b: int((bands == b).sum()) for b in sorted(set(bands.tolist()))}
+    first, shares, blocks = topk._shares(counts, 200)
+    scores = x @ x.T
+    floors = np.sort(scores[:, :200], axis=1)[:, -5]
+    rows = spark.createDataFrame([(i, v.tolist(), int(b), int(first[b] + i % shares[b])) for i, (v, b) in enumerate(zip(x, bands, strict=True))], "id long, v array<double>, band int, block int")
+    asked = spark.createDataFrame([(i, x[i].tolist(), float(np.linalg.norm(x[i])), float(floors[i])) for i in range(0, 3000, 20)], "id long, v array<double>, qnorm double, floor double")
+    left, right = topk.within_reach(asked, rows, top, first, shares)
+    pairs = {(r.qid, r.block) for r in left.select("qid", "block").collect()}
+    later = {i: b for i, b in rows.where("block > 0").select("id", "block").collect()}
+    assert all((q, b) in pairs for q in range(0, 3000, 20) for i, b in later.items() if scores[q, i] >= floors[q])
+    assert len(pairs) < 150 * (blocks - 1) / 2 and right.count() < len(later) * 2
+    seen = {}
+    q = x[::20]
+    got = topk._best(q, np.arange(0, 3000, 20), x, np.arange(3000), 5, np.full(len(q), -np.inf), np.eye(8), 4, seen)
+    assert seen["scored"] < seen["within"] < q.shape[0] * len(x)
+    for i in range(0, 3000, 600):
+        want = sorted(((-scores[i, j], j) for j in range(3000) if j != i))[:5]
+        assert sorted((-s, v) for a, v, s in zip(*got, strict=True) if a == i) == want
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.5]), (20, None), (21, [1.0, None]), (22, [float("nan"), 1.0]), (23, [float("inf"), 1.0]), (24, []), (None, [1.0, 1.0]), (25, [-0.01, 2.0]), (25, [-0.01, 2.0])]
     df = topk.integer_vectors(spark.createDataFrame(rows, "k long, e array<float>"), "k", "e", 64.0)
@@ -444,7 +548,7 @@ def _edits(a, b):
     return row[-1]
 
 
-def _line_classes(rows, least):
+def _line_classes(rows, per, most):
     places = sorted((i if i is not None else 2**63, k, line) for i, t in rows for k, line in enumerate((t or "").split("\n")) if line.strip(" "))
     distinct = sorted({p[2] for p in places})
     parent = {x: x for x in distinct}
@@ -456,7 +560,8 @@ def _line_classes(rows, least):
 
     for k, a in enumerate(distinct):
         for b in distinct[:k]:
-            if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= 1 and _edits(a, b) <= 1:
+            t = min(most, min(len(a), len(b)) // per)
+            if t and abs(len(a) - len(b)) <= t and _edits(a, b) <= t:
                 parent[find(a)] = find(b)
     first = {}
     for i, k, line in places:
@@ -474,7 +579,7 @@ def test_banded_distance(spark):
     for _ in range(400):
         a = "".join(random.choices("abé😀", k=random.randrange(0, 9)))
         b = list(a)
-        for _ in range(random.randrange(3)):
+        for _ in range(random.randrange(5)):
             kind, at = random.randrange(3), random.randrange(len(b) + 1)
             b[at : at + (kind > 0)] = [random.choice("abé😀")] if kind < 2 else []
         pairs.append((a, "".join(b)))
@@ -484,31 +589,43 @@ def test_banded_distance(spark):
     def letters(c):
         return F.filter(F.split(c, ""), lambda x: x != "")
 
-    got = df.select("a", "b", line_dedup.within_one(letters("a"), letters("b")).alias("w")).collect()
-    assert all(r.w == (_edits(r.a, r.b) <= 1) for r in got), [r for r in got if r.w != (_edits(r.a, r.b) <= 1)]
+    for most in (1, 2, 3):
+        got = df.select("a", "b", *[line_dedup.within(letters("a"), letters("b"), F.lit(t), most).alias(f"t{t}") for t in range(most + 1)]).collect()
+        assert not [r for r in got for t in range(most + 1) if r[f"t{t}"] != (_edits(r.a, r.b) <= t)]
 
 
-def test_lines_match_brute_force(spark):
-    random.seed(7)
-    base = ["".join(random.choices("abcd ", k=random.randrange(6, 30))) for _ in range(30)]
+@pytest.mark.parametrize("per,most", [(10, 1), (6, 2), (5, 3)])
+def test_lines_match_brute_force(spark, per, most):
+    rng = random.Random(7)
+    base = ["".join(rng.choices("abcd ", k=rng.randrange(6, 30))) for _ in range(30)]
 
     def vary(s):
         s = list(s)
-        for _ in range(random.randrange(3)):
-            kind, at = random.randrange(3), random.randrange(len(s))
+        for _ in range(rng.randrange(4)):
+            kind, at = rng.randrange(3), rng.randrange(len(s))
             s[at : at + (kind > 0)] = ["x"] if kind < 2 else []
         return "".join(s)
 
-    rows = [(i, "\n".join(vary(random.choice(base)) for _ in range(6))) for i in range(60)] + [(None, "\n\n  \n" + base[0]), (70, None), (71, ""), (72, "é" * 20 + "\n" + "é" * 21)]
-    assert _got_lines(line_dedup.line_classes(docs(spark, rows), min_chars=10)) == _line_classes(rows, 10)
+    rows = [(i, "\n".join(vary(rng.choice(base)) for _ in range(6))) for i in range(60)] + [(None, "\n\n  \n" + base[0]), (70, None), (71, ""), (72, "é" * 20 + "\n" + "é" * 21)]
+    assert _got_lines(line_dedup.line_classes(docs(spark, rows), per=per, most=most)) == _line_classes(rows, per, most)
+
+
+def test_no_lines(spark):
     assert line_dedup.line_classes(docs(spark, [])).count() == 0
 
 
 def test_crowded_segments_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "PAIRED", 5)
-    rows = [(i, f"common beginning of a line {i:03d} and its common end") for i in range(0, 200, 7)] + [(i, f"common beginning of a line {i:03d} and its common ends") for i in range(0, 200, 21)]
-    rows += [(300 + i, f"common beginning of a line {i * 1111:06d} and its common end") for i in range(40)]
-    assert _got_lines(line_dedup.line_classes(docs(spark, [(k, t) for k, (_, t) in enumerate(rows)]))) == _line_classes([(k, t) for k, (_, t) in enumerate(rows)], 24)
+    texts = [f"common beginning of a line {i:03d} and its common end" for i in range(0, 200, 7)] + [f"common beginning of a line {i:03d} and its common ends" for i in range(0, 200, 21)]
+    rows = list(enumerate(texts + [f"common beginning of a line {i * 1111:06d} and its common end" for i in range(40)]))
+    for most in (1, 2):
+        assert _got_lines(line_dedup.line_classes(docs(spark, rows), most=most)) == _line_classes(rows, 24, most)
+
+
+def test_a_very_long_line(spark):
+    line = "".join(random.Random(2).choices("abcdefgh ", k=300_000))
+    rows = [(1, line), (2, line[:1000] + "x" + line[1001:]), (3, line[:-1]), (4, line[::-1])]
+    assert {(r.doc_id, r.first_id, r.kept) for r in line_dedup.line_classes(docs(spark, rows)).collect()} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)}
 
 
 def test_texts_without_repeated_lines(spark):

@@ -6,7 +6,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
-from meterlark.llm import queries, simhash
+from meterlark.llm import queries, similar
 
 
 def test_pipeline_matches_a_plain_version(spark, sf):
@@ -18,7 +18,11 @@ def test_pipeline_matches_a_plain_version(spark, sf):
     for i in good:
         groups[re.sub(r"[\x20\x09-\x0D]", "", texts[i])].append(i)
     exact = sorted(min(g, key=lambda i: (-len(texts[i]), i)) for g in groups.values())
-    fps = {i: simhash.fingerprint(texts[i]) for i in exact}
+    sets = {i: set(similar.shingles(texts[i]).tolist()) for i in exact}
+
+    def alike(x, y):
+        return x == y or 5 * len(x & y) >= 4 * len(x | y)
+
     kept, left = set(), set(exact)
     while left:
         group, todo = set(), [min(left)]
@@ -27,10 +31,11 @@ def test_pipeline_matches_a_plain_version(spark, sf):
             if a in left:
                 left.discard(a)
                 group.add(a)
-                todo += [b for b in left if (fps[a] ^ fps[b]).bit_count() <= 2]
+                todo += [b for b in left if alike(sets[a], sets[b])]
         kept.add(min(group))
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in rows} == kept
+    assert all(len(r.ids) == r.length for r in rows)
 
 
 def test_stages_return_the_columns_of_documents(spark, sf):
