@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 from .common import cut, lookup
 
 
+#: Edges up to which a centre's neighbours, even all of them, may meet in one task.
+FEW = 1_000_000
+
+
 def _stars(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """One half round; ``edges`` (u, v) once each, in any direction."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if not large:
         both = both.where("v < u")
-    centres = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
-    joined = lookup(both, centres, "u", "degree", 2 * total, "v")
+    if total <= FEW:
+        # No centre has more rows than one task can sort: one exchange finds the smallest neighbour.
+        joined = both.withColumn("m", F.least(F.min("v").over(Window.partitionBy("u")), "u"))
+        centres = joined
+    else:
+        centres = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("degree"))
+        joined = lookup(both, centres, "u", "degree", 2 * total, "v")
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
