@@ -77,23 +77,38 @@ def _segment_keys(n: Column, line: Column, per: int, most: int) -> list[tuple[Co
     out = []
     for shorter in range(most + 1):
         length = n - shorter
-        allowed = {t: _probes(t, shorter) for t in range(max(1, shorter), most + 1)}
-        for j in range(max(map(len, allowed.values()))):
-            key, own = F.lit(None).cast("long"), False
-            for t, probes in allowed.items():
-                if j < len(probes):
-                    i, shift = probes[j]
-                    own |= not shorter and j <= t
-                    size = F.floor(length / (t + 1)).cast("int")
-                    longer = length - size * (t + 1)  # so many of the last segments have one character more
-                    at = size * i + F.greatest(F.lit(0), longer - (t + 1 - i))
-                    width = size + (longer >= t + 1 - i).cast("int")
-                    made = F.xxhash64(length, F.lit(i), F.substring(line, at + shift + 1, width))
-                    key = F.when(edits(length, per, most) == t, made).otherwise(key)
-            out.append((key, own))
+        t = edits(length, per, most)
+        allowed = {k: _probes(k, shorter) for k in range(max(1, shorter), most + 1)}
+        size = F.floor(length / (t + 1)).cast("int")
+        longer = length - size * (t + 1)  # so many of the last segments have one character more
+        for i, shift in dict.fromkeys(p for probes in allowed.values() for p in probes):
+            used = [k for k, probes in allowed.items() if (i, shift) in probes]
+            at = size * i + F.greatest(F.lit(0), longer - (t + 1 - i))
+            width = size + (longer >= t + 1 - i).cast("int")
+            made = F.xxhash64(length, F.lit(i), F.substring(line, at + (shift + 1), width))
+            out.append((F.when(t.isin(used) if len(used) > 1 else t == used[0], made), not shorter and not shift))
     return out
 
 
+def _trimmed(x: Column, y: Column) -> Column:
+    """Struct (x, y) of two strings without the start, then the end, that both have in common.
+
+    Edits that make them equal need touch nothing else. Common parts are found by halving.
+    """
+    least = F.least(F.char_length(x), F.char_length(y))
+    powers = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(least, F.lit(1)))).cast("int"))), lambda k: F.pow(F.lit(2), k).cast("int"))
+
+    def common(part) -> Column:
+        return F.aggregate(F.reverse(powers), F.lit(0), lambda p, k: F.when(part(p, k), p + k).otherwise(p))
+
+    def bound(value: Column, then) -> Column:
+        return F.element_at(F.transform(F.array(value), then), 1)
+
+    start = common(lambda p, k: (p + k <= least) & (F.substring(x, p + 1, k) == F.substring(y, p + 1, k)))
+    end = bound(start, lambda s: F.struct(s.alias("s"), common(lambda p, k: (p + k <= least - s) & (F.substring(x, F.char_length(x) - p - k + 1, k) == F.substring(y, F.char_length(y) - p - k + 1, k))).alias("e")))
+    return bound(end, lambda c: F.struct(*[F.substring(z, c["s"] + 1, F.char_length(z) - c["s"] - c["e"]).alias(name) for z, name in ((x, "x"), (y, "y"))]))
+
+
 def _classes(lines: DataFrame, per: int, most: int) -> DataFrame:
     """One row per different line: line_key, place of the first, n, and its keys."""
     keys = {f"k{i}": k for i, (k, _) in enumerate(_segment_keys(F.char_length("line"), F.col("line"), per, most))}
@@ -128,8 +143,9 @@ def near_links(lines: DataFrame, classes: DataFrame, per: int, most: int) -> Dat
     def verify(pairs: DataFrame) -> DataFrame:
         x, y = (texts.select(F.col("node").alias(side), F.col("line").alias(name)) for side, name in (("u", "x"), ("v", "y")))
         # The lambda binds the characters once; a plain column would be split again at each step.
-        chars = F.array(F.struct(F.split("x", "").alias("x"), F.split("y", "").alias("y")))
-        near = F.exists(chars, lambda c: within(c["x"], c["y"], edits(F.least(F.size(c["x"]), F.size(c["y"])), per, most), most))
+        allowed = edits(F.least(F.char_length("x"), F.char_length("y")), per, most)
+        rest = F.transform(F.array(_trimmed(F.col("x"), F.col("y"))), lambda c: F.struct(*[F.filter(F.split(c[z], ""), lambda a: a != "").alias(z) for z in "xy"]))
+        near = F.exists(rest, lambda c: within(c["x"], c["y"], allowed, most))
         return cut(pairs.join(x, "u").join(y, "v").where(near).select("u", "v"))
 
     return key_links(met, possible, apart, verify, ~F.col("own"), PAIRED)
