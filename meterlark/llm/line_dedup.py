@@ -21,6 +21,8 @@ from .components import components, key_links
 
 #: A segment with more lines is handled by components.
 PAIRED = 32
+#: Columns after which the edit distance of a pair is given up if no bit is left.
+HEAD = 16
 _WIDE = "decimal(38,0)"
 
 
@@ -44,25 +46,31 @@ def within(x: Column, y: Column, t: Column, most: int) -> Column:
 
     A bit for each of the 2 x most + 1 diagonals, a word for each number of edits: the
     words of a column follow from those before by the mask of matching characters and shifts.
+    A pair whose word for ``t`` has no bit left after the first ``HEAD`` columns goes no further.
     """
     names, full = [f"e{k}" for k in range(most + 1)], (1 << (2 * most + 1)) - 1
 
-    def step(acc: Column, j: Column) -> Column:
-        c = F.get(y, j)
-        mask = sum((F.when(F.get(x, j + o) == c, 1 << (o + most)).otherwise(0) for o in range(-most, most + 1)), F.lit(0))
-        words = [acc["e0"].bitwiseAND(mask)]
+    def mask(c: Column, j: Column) -> Column:
+        return sum((F.when(F.get(x, j + o) == c, 1 << (o + most)).otherwise(0) for o in range(-most, most + 1)), F.lit(0))
+
+    def step(acc: Column, same: Column) -> Column:
+        words = [acc["e0"].bitwiseAND(same)]
         for k in range(1, most + 1):
             less = acc[f"e{k - 1}"]
-            word = acc[f"e{k}"].bitwiseAND(mask).bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(words[-1], 1))
+            word = acc[f"e{k}"].bitwiseAND(same).bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(words[-1], 1))
             words.append(word.bitwiseAND(F.lit(full)))
         return F.struct(*[w.alias(n) for w, n in zip(words, names, strict=True)])
 
     start = F.struct(*[F.lit(sum(1 << (most + i) for i in range(k + 1))).alias(n) for k, n in enumerate(names)])
-    end = F.when(F.size(y) > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(y) - 1, F.lit(0))), start, step)).otherwise(start)
+
+    def reached(part: Column) -> Column:
+        """The word for t after the columns of ``part``, the start of y; a column's mask is made once, then used by each word."""
+        end = F.aggregate(F.transform(part, mask), start, step)
+        return F.element_at(F.array(*[end[n] for n in names]), F.greatest(F.lit(0), F.least(F.lit(most), t)) + 1)
+
     apart = F.size(x) - F.size(y)
-    reached = F.element_at(F.array(*[end[n] for n in names]), F.greatest(F.lit(0), F.least(F.lit(most), t)) + 1)
     bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(2 * most + 1)]), F.least(F.lit(most), F.greatest(F.lit(-most), apart)) + most + 1)
-    return (F.abs(apart) <= t) & (reached.bitwiseAND(bit) != 0)
+    return (F.abs(apart) <= t) & (reached(F.slice(y, 1, HEAD)) != 0) & (reached(y).bitwiseAND(bit) != 0)
 
 
 def _probes(t: int, shorter: int) -> list[tuple[int, int]]:
@@ -142,6 +150,8 @@ def near_links(lines: DataFrame, classes: DataFrame, per: int, most: int) -> Dat
 
     def verify(pairs: DataFrame) -> DataFrame:
         x, y = (texts.select(F.col("node").alias(side), F.col("line").alias(name)) for side, name in (("u", "x"), ("v", "y")))
+        # Pairs are few bytes but much work: an explicit number of partitions is not coalesced by size.
+        pairs = pairs.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "u", "v")
         # The lambda binds the characters once; a plain column would be split again at each step.
         allowed = edits(F.least(F.char_length("x"), F.char_length("y")), per, most)
         rest = F.transform(F.array(_trimmed(F.col("x"), F.col("y"))), lambda c: F.struct(*[F.filter(F.split(c[z], ""), lambda a: a != "").alias(z) for z in "xy"]))
