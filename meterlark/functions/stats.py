@@ -45,26 +45,53 @@ def islands(df: DataFrame, key: list[str], order: str, same: Column) -> DataFram
     return marked.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def _ranks(df: DataFrame, value: str, key: list[str]) -> DataFrame:
+    """(key, value, n, before, all_n): per key, how many rows have each value, how many have smaller ones, and all."""
+    size = F.floor(F.log2(F.abs(F.col(value)) + 1) * 64)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("_chunk", F.when(F.col(value) < 0, -size).otherwise(size))
+    chunks = counts.groupBy(*key, "_chunk").agg(F.sum("n").alias("_n"))
+    whole = Window.partitionBy(*key)
+    order = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = chunks.select(
+        *[F.col(c).alias(f"_of_{c}") for c in (*key, "_chunk")],
+        F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"), F.sum("_n").over(whole).alias("all_n"),
+    )
+    inside = Window.partitionBy(*key, "_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*key, "_chunk")]
+    # Without a key there are at most some thousand chunks; with one, the sizes decide.
+    met = ranked.join(starts if key else F.broadcast(starts), same)
+    return met.select(*key, value, "n", (F.col("_start") + F.col("_inside")).alias("before"), "all_n")
+
+
 def value_ranks(df: DataFrame, value: str) -> DataFrame:
-    """(value, n, before): how many rows have each value and how many have smaller ones.
+    """(value, n, before): how many rows have each value and how many have smaller ones; nulls go.
 
     No row goes through one task: values are counted, dealt into chunks by their
-    logarithm (a few thousand at most for 64-bit numbers), and ranked within.
+    logarithm (a few thousand for 64-bit numbers), and ranked within.
     """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n")).withColumn("_chunk", F.floor(F.log2(F.col(value) + 1) * 64))
-    chunks = counts.groupBy("_chunk").agg(F.sum("n").alias("_n"))
-    order = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = chunks.select("_chunk", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return ranked.join(F.broadcast(starts), "_chunk").select(value, "n", (F.col("_start") + F.col("_inside")).alias("before"))
+    return _ranks(df, value, []).drop("all_n")
+
+
+def percentiles(df: DataFrame, key: list[str], value: str, names: dict[str, float]) -> DataFrame:
+    """(key, names): nearest-rank percentiles as ``nearest`` gives them, from ranks in chunks of values.
+
+    No key's values are gathered in one task. A key with null values alone has no row;
+    without a key there is always one row, of nulls if no value is left.
+    """
+    reached = F.col("before") + F.col("n")
+    cuts = [F.min(F.when(reached >= F.col("all_n") * q, F.col(value))).cast("double").alias(name) for name, q in names.items()]
+    return _ranks(df, value, key).groupBy(*key).agg(*cuts)
 
 
 def binned(df: DataFrame, group: str, value: str, edges: tuple[float, ...]) -> DataFrame:
     """Bins of ``value`` (each up to and with its edge, the last open) per group, empty ones included:
     (group, bin_index, lower, upper, count, share, cumulative_share, median, mean)."""
     index = sum((F.when(F.col(value) > e, 1).otherwise(0) for e in edges), F.lit(0))
-    g = df.groupBy(F.col(group).alias("group"), index.alias("i")).agg(F.count(F.lit(1)).alias("c"), nearest(value, 0.5).alias("med"), F.avg(value).alias("avg"))
+    rows = df.select(F.col(group).alias("group"), index.alias("i"), value)
+    g = rows.groupBy("group", "i").agg(F.count(F.lit(1)).alias("c"), F.avg(value).alias("avg"))
+    g = g.join(percentiles(rows, ["group", "i"], value, {"med": 0.5}), ["group", "i"], "left")
     bounds = [(i, float(edges[i - 1]) if i else 0.0, float(edges[i]) if i < len(edges) else None) for i in range(len(edges) + 1)]
     bins = df.sparkSession.createDataFrame(bounds, "bin_index int, lower double, upper double")
     names = g.select("group").distinct().withColumnRenamed("group", "_g")
@@ -78,9 +105,11 @@ def binned(df: DataFrame, group: str, value: str, edges: tuple[float, ...]) -> D
 def distribution(df: DataFrame, group: str, value: str, edges: tuple[float, ...]) -> DataFrame:
     """Per group: n, mean, nearest-rank percentiles, max, modal bin (lowest of equals)."""
     s = df.groupBy(F.col(group).alias("group")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), *[nearest(value, q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)], F.max(value).alias("max"),
+        F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.max(value).alias("max"),
         F.stddev_samp(value).alias("stdev"),
     )
+    rows = df.select(F.col(group).alias("group"), value)
+    s = s.join(percentiles(rows, ["group"], value, {f"p{q}": q / 100 for q in (50, 90, 95, 99)}), "group", "left")
     modal = binned(df, group, value, edges).groupBy("group").agg((-F.max(F.struct("count", (-F.col("bin_index")).alias("i")))["i"]).alias("modal_bin_index"))
     return s.join(modal, "group")
 

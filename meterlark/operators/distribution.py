@@ -21,7 +21,8 @@ def bucket_density_percentile(usage: DataFrame, min_tokens: int = 0, **window) -
     """Percentiles of the tokens of rows."""
     u = cells.active(usage, **window).where(F.col("total") >= min_tokens)
     names = {"p1": 0.01, "p5": 0.05, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
-    return u.agg(F.count(F.lit(1)).alias("total_buckets"), F.sum("total").alias("total_tokens"), F.min("total").alias("min"), *[stats.nearest("total", q).alias(n) for n, q in names.items()], F.max("total").alias("max"), F.avg("total").alias("mean"))
+    sums = u.agg(F.count(F.lit(1)).alias("total_buckets"), F.sum("total").alias("total_tokens"), F.min("total").alias("min"), F.max("total").alias("max"), F.avg("total").alias("mean"))
+    return sums.crossJoin(stats.percentiles(u, [], "total", names))
 
 
 def _slices(ranks: DataFrame, value: str, bounds: list) -> DataFrame:

@@ -135,7 +135,8 @@ def _gap_rows(sessions: DataFrame, **window) -> DataFrame:
 
 def session_gaps_summary(sessions: DataFrame, quantile: float = 0.9, **window) -> DataFrame:
     g = _gap_rows(sessions, **window)
-    s = g.agg((F.count(F.lit(1)) + 1).alias("total_sessions"), F.count(F.lit(1)).alias("total_gaps"), stats.nearest("gap", quantile).alias("threshold_seconds"), stats.linear("gap", 0.5).alias("median_gap_seconds"), F.max("gap").alias("max_gap_seconds"))
+    s = g.agg((F.count(F.lit(1)) + 1).alias("total_sessions"), F.count(F.lit(1)).alias("total_gaps"), stats.linear("gap", 0.5).alias("median_gap_seconds"), F.max("gap").alias("max_gap_seconds"))
+    s = s.crossJoin(stats.percentiles(g, [], "gap", {"threshold_seconds": quantile}))
     at = g.groupBy(F.col("gap").alias("threshold_seconds")).agg(F.count(F.lit(1)).alias("gaps_at_threshold"))
     return s.join(at, "threshold_seconds", "left")
 
@@ -143,7 +144,7 @@ def session_gaps_summary(sessions: DataFrame, quantile: float = 0.9, **window) -
 def session_gaps(sessions: DataFrame, quantile: float = 0.9, min_gap: int = 0, top: int = 10, **window) -> DataFrame:
     """The longest gaps above the quantile, with their mid-rank among all gaps."""
     g = _gap_rows(sessions, **window)
-    limit = g.agg(stats.nearest("gap", quantile).alias("limit"), F.count(F.lit(1)).alias("all"))
+    limit = stats.percentiles(g, [], "gap", {"limit": quantile}).crossJoin(g.agg(F.count(F.lit(1)).alias("all")))
     kept = g.crossJoin(F.broadcast(limit)).where((F.col("gap") > F.col("limit")) & (F.col("gap") >= min_gap))
     first = kept.select(F.col("prev.session_key").alias("before_key"), F.col("session_key").alias("after_key"), F.col("prev.start_ms").alias("s"), "gap", "all").orderBy(F.desc("gap"), "s", "before_key").limit(top)
     ranks = stats.value_ranks(g, "gap").withColumnRenamed("gap", "_gap")

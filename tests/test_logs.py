@@ -255,3 +255,14 @@ def test_runs_folder(spark, tmp_path):
 def test_drop_counters_name_the_first_reason(spark):
     u = usage(spark, (None, 0, "a", "m"), ("2026-04-20T12:00:00", 0, "b", "m"), ("2026-04-20T12:00:00", 1, "b", "m"), ("2026-04-20T12:00:00", 1, "a", "x"), ("2026-04-20T12:00:00", 1, "a", "m"))
     assert list(one(cells.drops(u, source="a", model="m")).values()) == [1, 1, 1, 1, 1]
+
+
+def test_percentiles_by_ranks(spark):
+    values = {"a": [-3.5, -1.0, 0.0, 0.0, 2.25, 2.5, 7.0], None: [1.0, 1e9], "nulls": [None], "b": [4.0]}
+    rows = [(g, float(v) if v is not None else None) for g, vs in values.items() for v in vs + [None]]
+    df = spark.createDataFrame(rows, "g string, v double")
+    quantiles = {"p0": 0.0, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+    got = {tuple(r) for r in stats.percentiles(df, ["g"], "v", quantiles).collect()}
+    expected = {tuple(r) for r in df.where("v is not null").groupBy("g").agg(*[stats.nearest("v", q).alias(n) for n, q in quantiles.items()]).collect()}
+    assert got == expected
+    assert [tuple(r) for r in stats.percentiles(df.where("false"), [], "v", {"p50": 0.5}).collect()] == [(None,)]
