@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, line_dedup, packing, quality, sharding, simhash, token_counts, topk
+from . import bpe, exact_dedup, license_scan, line_dedup, merkle, packing, quality, sharding, simhash, token_counts, topk
 
 QUERIES = {
     "op1_license_join": license_scan.op1_license_join,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_bradley_terry": quality.op8_bradley_terry,
     "op9_histogram_shards": sharding.op9_histogram_shards,
     "op10_resynchronised_counts": token_counts.op10_resynchronised_counts,
+    "op11_path_copying": merkle.op11_path_copying,
 }
 
 ORACLE_SQL = {
     "op1_license_join": license_scan.oracle(),
     "op2_digest_index": exact_dedup.OP2_SQL,
     "op6_norm_sorted_search": topk.OP6_SQL,
+    "op11_path_copying": merkle.OP11_SQL,
 }
