@@ -45,11 +45,14 @@ def islands(df: DataFrame, key: list[str], order: str, same: Column) -> DataFram
     return marked.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def _ranks(df: DataFrame, value: str, key: list[str]) -> DataFrame:
-    """(key, value, n, before, all_n): per key, how many rows have each value, how many have smaller ones, and all."""
-    size = F.floor(F.log2(F.abs(F.col(value)) + 1) * 64)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("_chunk", F.when(F.col(value) < 0, -size).otherwise(size))
+def _ranks(df: DataFrame, value: str, key: list[str], weight: str | None = None) -> DataFrame:
+    """(key, _x, n, before, all_n): per key, how many rows have each value _x, how many have smaller ones, and
+    all; with ``weight`` the sums of that column instead of the numbers of rows."""
+    x = F.col("_x")
+    size = F.floor(F.log2(F.abs(x) + 1) * 64)
+    rows = df.where(F.col(value).isNotNull()).withColumn("_x", F.col(value))
+    counts = rows.groupBy(*key, "_x").agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
+    counts = counts.withColumn("_chunk", F.when(x < 0, -size).otherwise(size))
     chunks = counts.groupBy(*key, "_chunk").agg(F.sum("n").alias("_n"))
     whole = Window.partitionBy(*key)
     order = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,12 +60,12 @@ def _ranks(df: DataFrame, value: str, key: list[str]) -> DataFrame:
         *[F.col(c).alias(f"_of_{c}") for c in (*key, "_chunk")],
         F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"), F.sum("_n").over(whole).alias("all_n"),
     )
-    inside = Window.partitionBy(*key, "_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key, "_chunk").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     ranked = counts.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*key, "_chunk")]
     # Without a key there are at most some thousand chunks; with one, the sizes decide.
     met = ranked.join(starts if key else F.broadcast(starts), same)
-    return met.select(*key, value, "n", (F.col("_start") + F.col("_inside")).alias("before"), "all_n")
+    return met.select(*key, "_x", "n", (F.col("_start") + F.col("_inside")).alias("before"), "all_n")
 
 
 def value_ranks(df: DataFrame, value: str) -> DataFrame:
@@ -71,18 +74,26 @@ def value_ranks(df: DataFrame, value: str) -> DataFrame:
     No row goes through one task: values are counted, dealt into chunks by their
     logarithm (a few thousand for 64-bit numbers), and ranked within.
     """
-    return _ranks(df, value, []).drop("all_n")
+    return _ranks(df, value, []).select(F.col("_x").alias(value), "n", "before")
 
 
-def percentiles(df: DataFrame, key: list[str], value: str, names: dict[str, float]) -> DataFrame:
-    """(key, names): nearest-rank percentiles as ``nearest`` gives them, from ranks in chunks of values.
+def percentiles(
+    df: DataFrame, key: list[str], value: str, names: dict[str, float], between: dict[str, float] | None = None, weight: str | None = None
+) -> DataFrame:
+    """(key, names, between): nearest-rank percentiles as ``nearest`` gives them and interpolated ones as
+    ``linear`` does, from ranks in chunks of values; ``weight``: a column of whole numbers, each row counts so often.
 
     No key's values are gathered in one task. A key with null values alone has no row;
     without a key there is always one row, of nulls if no value is left.
     """
-    reached = F.col("before") + F.col("n")
-    cuts = [F.min(F.when(reached >= F.col("all_n") * q, F.col(value))).cast("double").alias(name) for name, q in names.items()]
-    return _ranks(df, value, key).groupBy(*key).agg(*cuts)
+    low, high, x = F.col("before"), F.col("before") + F.col("n"), F.col("_x")
+    cuts = [F.min(F.when(high >= F.col("all_n") * q, x)).cast("double").alias(name) for name, q in names.items()]
+    for name, q in (between or {}).items():
+        place = (F.col("all_n") - 1) * F.lit(q)
+        left, right = (F.max(F.when((low <= at) & (at < high), x)) for at in (F.floor(place), F.ceil(place)))
+        part = F.max(place - F.floor(place))
+        cuts.append((left + part * (right - left)).cast("double").alias(name))
+    return _ranks(df, value, key, weight).groupBy(*key).agg(*cuts)
 
 
 def binned(df: DataFrame, group: str, value: str, edges: tuple[float, ...]) -> DataFrame:
@@ -114,11 +125,11 @@ def distribution(df: DataFrame, group: str, value: str, edges: tuple[float, ...]
     return s.join(modal, "group")
 
 
-def with_previous(df: DataFrame, chunk: str, order: list[str], name: str = "prev") -> DataFrame:
-    """``df`` with the row before each one as a struct, in the order (chunk, *order) over all rows.
+def previous_cell(df: DataFrame, chunk: str, order: list[str], name: str = "prev") -> DataFrame:
+    """Cells of time with the cell before each one as a struct, in the order (chunk, *order).
 
-    The window runs inside chunks (days); the first row of a chunk takes the last row of
-    the chunk before it from a frame of one row per chunk, which time bounds.
+    For frames that time bounds, such as one row per hour: the window runs inside chunks (days), and the
+    first cell of a chunk takes the last one of the chunk before it. Rows of a log go by ``order``.
     """
     row = F.struct(*df.columns)
     inside = Window.partitionBy(chunk).orderBy(*order)

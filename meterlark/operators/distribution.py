@@ -161,9 +161,11 @@ def size_bins(usage: DataFrame, metric: str, by: str, edges: tuple[int, ...], **
 
 
 def size_summary(usage: DataFrame, metric: str, by: str, min_rows: int = 0, **window) -> DataFrame:
-    u = cells.rows(usage, **window).where(F.col(metric) > 0)
-    g = u.groupBy(F.col(by).alias("group")).agg(F.count(F.lit(1)).alias("rows"), F.sum(metric).alias("total_tokens"), F.avg(metric).alias("mean_tokens"), stats.nearest(metric, 0.95).alias("p95_tokens"), F.max(metric).alias("max_tokens"))
-    return g.where(F.col("rows") >= min_rows)
+    """Rows by their ``metric`` tokens; the percentile comes from ranks in chunks of values."""
+    u = cells.rows(usage, **window).where(F.col(metric) > 0).select(F.col(by).alias("group"), metric)
+    g = u.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.sum(metric).alias("total_tokens"), F.avg(metric).alias("mean_tokens"), F.max(metric).alias("max_tokens"))
+    g = g.where(F.col("rows") >= min_rows)
+    return g.join(stats.percentiles(u, ["group"], metric, {"p95_tokens": 0.95}), "group")
 
 
 def burstiness(usage: DataFrame, by: str = "model", min_tokens: int = 0, min_active_hours: int = 1, min_cv: float = 0.0, **window) -> DataFrame:
@@ -285,16 +287,21 @@ def above_share(measured: DataFrame, threshold: float) -> DataFrame:
 
 def session_summary(sessions: DataFrame, by: str = "source", min_seconds: int = 0, since=None, until=None) -> DataFrame:
     s = dims.within(sessions.where("started_at is not null"), "started_at", since, until).where(F.col("duration_seconds") >= min_seconds)
-    return s.groupBy(dims.or_unknown(by).alias("key")).agg(F.count(F.lit(1)).alias("sessions"), F.sum("duration_seconds").alias("total_duration_seconds"), F.sum("total_messages").alias("total_messages"), stats.linear("duration_seconds", 0.5).alias("median_duration_seconds"))
+    s = s.withColumn("key", dims.or_unknown(by))
+    g = s.groupBy("key").agg(F.count(F.lit(1)).alias("sessions"), F.sum("duration_seconds").alias("total_duration_seconds"), F.sum("total_messages").alias("total_messages"))
+    return g.join(stats.percentiles(s, ["key"], "duration_seconds", {}, {"median_duration_seconds": 0.5}), "key")
 
 
 def session_summary_totals(sessions: DataFrame, min_seconds: int = 0, since=None, until=None) -> DataFrame:
     s = dims.within(sessions.where("started_at is not null"), "started_at", since, until).where(F.col("duration_seconds") >= min_seconds)
-    out = [F.count(F.lit(1)).alias("total_sessions")]
-    for c, n in (("duration_seconds", "duration"), ("total_messages", "messages")):
-        out += [F.sum(c).alias(f"total_{n}"), stats.linear(c, 0.5).alias(f"median_{n}"), F.avg(c).alias(f"mean_{n}"), stats.nearest(c, 0.95).alias(f"p95_{n}"), F.min(c).alias(f"min_{n}"), F.max(c).alias(f"max_{n}")]
+    out, names = [F.count(F.lit(1)).alias("total_sessions")], (("duration_seconds", "duration"), ("total_messages", "messages"))
+    for c, n in names:
+        out += [F.sum(c).alias(f"total_{n}"), F.avg(c).alias(f"mean_{n}"), F.min(c).alias(f"min_{n}"), F.max(c).alias(f"max_{n}")]
         out.append(F.min(F.struct((-F.col(c)).alias("x"), "session_key"))["session_key"].alias(f"most_{n}"))
-    return s.agg(*out)
+    totals = s.agg(*out)
+    for c, n in names:
+        totals = totals.crossJoin(stats.percentiles(s, [], c, {f"p95_{n}": 0.95}, {f"median_{n}": 0.5}))
+    return totals
 
 
 def session_drops(sessions: DataFrame, min_total: int = 2, min_seconds: int = 1, min_user: int = 1, since=None, until=None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cells, dims, stats
+from ..functions import cells, dims, order, stats
 
 HOUR = 3600
 # Edges of the gaps inside a session, in seconds.
@@ -48,7 +48,7 @@ def _primary(usage: DataFrame, by: str, **window) -> DataFrame:
     b = cells.buckets(usage, by, **window).where(F.col(by) != "")
     g = b.groupBy("sec").agg(F.min(F.struct((-F.col("tokens")).alias("n"), F.col(by).alias("k"))).alias("x"))
     p = g.select("sec", F.floor(F.col("sec") / 86400).alias("dayno"), F.col("x.k").alias("key"), (-F.col("x.n")).alias("tokens"))
-    return stats.with_previous(p, "dayno", ["sec"])
+    return stats.previous_cell(p, "dayno", ["sec"])
 
 
 def _changes(p: DataFrame) -> DataFrame:
@@ -122,10 +122,11 @@ def provider_switching_summary(usage: DataFrame, **window) -> DataFrame:
 
 
 def _ordered(sessions: DataFrame, since=None, until=None) -> DataFrame:
+    """Sessions in one order by (start, key), each with the session before it."""
     s = dims.within(sessions.where("started_at is not null"), "started_at", since, until)
-    s = dims.effective_end(s).withColumns({"last_ms": dims.epoch_milli("last_message_at"), "dayno": dims.epoch_day("started_at"), "source": dims.or_unknown("source")})
-    s = s.select("session_key", "source", "kind", "project_ref", "start_ms", "end_ms", "last_ms", "dayno")
-    return stats.with_previous(s, "dayno", ["start_ms", "session_key"])
+    s = dims.effective_end(s).withColumns({"last_ms": dims.epoch_milli("last_message_at"), "source": dims.or_unknown("source")})
+    s = s.select("session_key", "source", "kind", "project_ref", "start_ms", "end_ms", "last_ms")
+    return order.with_previous(s, "start_ms", "session_key")
 
 
 def _gap_rows(sessions: DataFrame, **window) -> DataFrame:
@@ -135,8 +136,8 @@ def _gap_rows(sessions: DataFrame, **window) -> DataFrame:
 
 def session_gaps_summary(sessions: DataFrame, quantile: float = 0.9, **window) -> DataFrame:
     g = _gap_rows(sessions, **window)
-    s = g.agg((F.count(F.lit(1)) + 1).alias("total_sessions"), F.count(F.lit(1)).alias("total_gaps"), stats.linear("gap", 0.5).alias("median_gap_seconds"), F.max("gap").alias("max_gap_seconds"))
-    s = s.crossJoin(stats.percentiles(g, [], "gap", {"threshold_seconds": quantile}))
+    s = g.agg((F.count(F.lit(1)) + 1).alias("total_sessions"), F.count(F.lit(1)).alias("total_gaps"), F.max("gap").alias("max_gap_seconds"))
+    s = s.crossJoin(stats.percentiles(g, [], "gap", {"threshold_seconds": quantile}, {"median_gap_seconds": 0.5}))
     at = g.groupBy(F.col("gap").alias("threshold_seconds")).agg(F.count(F.lit(1)).alias("gaps_at_threshold"))
     return s.join(at, "threshold_seconds", "left")
 
@@ -159,7 +160,12 @@ def _handoffs(sessions: DataFrame, max_gap: int, by: str, **window) -> DataFrame
 
 def session_transitions(sessions: DataFrame, max_gap: int = 1800, by: str = "source", min_count: int = 0, **window) -> DataFrame:
     """Sessions that follow each other within ``max_gap`` seconds."""
-    g = _handoffs(sessions, max_gap, by, **window).groupBy("from", "to").agg(F.count(F.lit(1)).alias("count"), stats.linear("gap", 0.5).alias("median_gap_ms"), stats.nearest("gap", 0.95).alias("p95_gap_ms"), F.count_if(F.col("raw") < 0).alias("overlap_count"))
+    h = _handoffs(sessions, max_gap, by, **window)
+    g = h.groupBy("from", "to").agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("raw") < 0).alias("overlap_count"))
+    q = stats.percentiles(h, ["from", "to"], "gap", {"p95_gap_ms": 0.95}, {"median_gap_ms": 0.5})
+    # A group of a mix may be null.
+    q = q.withColumnsRenamed({"from": "_from", "to": "_to"})
+    g = g.join(q, F.col("from").eqNullSafe(F.col("_from")) & F.col("to").eqNullSafe(F.col("_to"))).drop("_from", "_to")
     return g.where(F.col("count") >= min_count)
 
 
@@ -171,38 +177,45 @@ def session_stickiness(sessions: DataFrame, max_gap: int = 1800, by: str = "sour
 def _levels(sessions: DataFrame, since=None, until=None) -> DataFrame:
     """(ms, next_ms, level): number of open sessions from one event to the next.
 
-    Starts and ends at one time are netted; levels run inside days and carry over by the
-    net sums of the days before.
+    Starts and ends at one time are netted; the sweep runs inside ranges of time, and the level
+    goes on from range to range.
     """
     s = dims.effective_end(sessions.where("started_at is not null")).where("end_ms > start_ms")
     low, high = (F.lit(x) if x is not None else None for x in (since, until))
     a = F.greatest("start_ms", low) if low is not None else F.col("start_ms")
     b = F.least("end_ms", high) if high is not None else F.col("end_ms")
     s = s.select(a.alias("a"), b.alias("b")).where("b > a")
-    e = s.select(F.col("a").alias("ms"), F.lit(1).alias("d")).unionByName(s.select(F.col("b").alias("ms"), F.lit(-1).alias("d"))).groupBy("ms").agg(F.sum("d").alias("d"))
-    e = e.withColumn("day", F.floor(F.col("ms") / 86_400_000))
-    order = Window.orderBy("day")
-    days = e.groupBy("day").agg(F.sum("d").alias("net"), F.min("ms").alias("first")).select(F.col("day").alias("_day"), F.coalesce(F.sum("net").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carry"), F.lead("first").over(order).alias("next_first"))
-    inside = Window.partitionBy("day").orderBy("ms")
-    e = e.withColumns({"run": F.sum("d").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("ms").over(inside)}).join(F.broadcast(days), F.col("day") == F.col("_day"))
-    return e.select("ms", F.coalesce("next", "next_first").alias("next_ms"), (F.col("carry") + F.col("run")).alias("level"))
+    # One row a session, made two in the same stage: the sessions are read once.
+    ends = F.explode(F.array(F.struct(F.col("a").alias("ms"), F.lit(1).alias("d")), F.struct(F.col("b").alias("ms"), F.lit(-1).alias("d"))))
+    e = s.select(ends.alias("e")).groupBy(F.col("e.ms").alias("ms")).agg(F.sum("e.d").alias("d"))
+    e = order.running(order.numbered(e, "ms"), [], {"level": F.col("d")})
+    return order.neighbour(e, "next", ahead=True, columns=["ms"]).select("ms", F.col("next.ms").alias("next_ms"), "level")
+
+
+def _by_level(levels: DataFrame) -> DataFrame:
+    """(level, total_ms, first_ms): milliseconds at each number of open sessions, and when it was first reached."""
+    return levels.groupBy("level").agg(F.sum(F.col("next_ms") - F.col("ms")).alias("total_ms"), F.min("ms").alias("first_ms"))
 
 
 def concurrency_histogram(sessions: DataFrame, **window) -> DataFrame:
     """Milliseconds at each number of open sessions."""
-    g = _levels(sessions, **window).where("next_ms is not null").groupBy("level").agg(F.sum(F.col("next_ms") - F.col("ms")).alias("total_ms"))
+    g = _by_level(_levels(sessions, **window)).where("total_ms is not null").drop("first_ms")
     return g.withColumn("fraction", F.col("total_ms") / F.sum("total_ms").over(Window.partitionBy()))
 
 
 def session_concurrency(sessions: DataFrame, **window) -> DataFrame:
     """Peak, its first time and duration, mean, share of time with sessions, and 95 % quantile over time."""
-    lv = _levels(sessions, **window)
-    h = concurrency_histogram(sessions, **window).withColumn("cum", F.sum("total_ms").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)))
-    p = lv.agg(F.max(F.struct("level", (-F.col("ms")).alias("n"))).alias("p"))
-    h = h.crossJoin(F.broadcast(p)).withColumn("w", F.sum("total_ms").over(Window.partitionBy()))
-    return h.agg(
-        F.first("w").alias("window_ms"), F.first("p.level").alias("peak_concurrency"), dims.iso_of(F.floor(-F.first("p.n") / 1000)).alias("peak_at"), F.max(F.when(F.col("level") == F.col("p.level"), F.col("total_ms"))).alias("peak_duration_ms"),
-        (F.sum(F.col("level") * F.col("total_ms")) / F.first("w")).alias("average_concurrency"), (F.sum(F.when(F.col("level") >= 1, F.col("total_ms")).otherwise(0)) / F.first("w")).alias("coverage"), F.min(F.when(F.col("cum") / F.col("w") >= 0.95, F.col("level"))).alias("p95_concurrency"),
+    h = _by_level(_levels(sessions, **window))
+    peak = F.max_by(F.struct("level", "total_ms", "first_ms"), "level")
+    s = h.agg(
+        F.sum("total_ms").alias("window_ms"), peak.alias("p"), F.sum(F.col("level") * F.col("total_ms")).alias("_area"),
+        F.sum(F.when(F.col("level") >= 1, F.col("total_ms")).otherwise(0)).alias("_open"),
+    ).where("window_ms is not null")
+    q = stats.percentiles(h.where("total_ms is not null"), [], "level", {"p95_concurrency": 0.95}, weight="total_ms")
+    return s.crossJoin(q).select(
+        "window_ms", F.col("p.level").alias("peak_concurrency"), dims.iso_of(F.floor(F.col("p.first_ms") / 1000)).alias("peak_at"),
+        F.col("p.total_ms").alias("peak_duration_ms"), (F.col("_area") / F.col("window_ms")).alias("average_concurrency"),
+        (F.col("_open") / F.col("window_ms")).alias("coverage"), F.col("p95_concurrency").cast("long").alias("p95_concurrency"),
     )
 
 
@@ -214,28 +227,34 @@ def concurrency_peak_sessions(sessions: DataFrame, top: int = 10) -> DataFrame:
 
 
 def _runs(sessions: DataFrame, **window) -> DataFrame:
-    """Maximal runs of sessions of one source: numbered inside days, joined over borders."""
+    """Maximal runs of sessions of one source, in the order of all sessions."""
     o = _ordered(sessions.where("source is not null and source <> ''"), **window)
-    o = o.withColumn("new", F.when(F.col("prev.source") == F.col("source"), 0).otherwise(1))
-    order = Window.orderBy("_day")
-    days = o.groupBy(F.col("dayno").alias("_day")).agg(F.sum("new").alias("n")).select("_day", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carry"))
-    inside = Window.partitionBy("dayno").orderBy("start_ms", "session_key").rowsBetween(Window.unboundedPreceding, 0)
-    o = o.withColumn("k", F.sum("new").over(inside)).join(F.broadcast(days), F.col("dayno") == F.col("_day"))
-    return o.groupBy((F.col("carry") + F.col("k")).alias("run"), "source").agg(F.count(F.lit(1)).alias("n"), F.min("start_ms").alias("a"))
+    new = F.when(F.col("prev.source") == F.col("source"), 0).otherwise(1)
+    o = order.running(o, [], {"run": new})
+    return o.groupBy("run", "source").agg(F.count(F.lit(1)).alias("n"), F.min("start_ms").alias("a"))
+
+
+_RUN_QUANTILES = {"p50_run_length": 0.5, "p90_run_length": 0.9, "p99_run_length": 0.99}
 
 
 def _run_stats():
-    return [F.count(F.lit(1)).alias("run_count"), F.sum("n").alias("session_count"), F.avg("n").alias("mean_run_length"), stats.nearest("n", 0.5).alias("p50_run_length"), stats.nearest("n", 0.9).alias("p90_run_length"), stats.nearest("n", 0.99).alias("p99_run_length"),
-            F.max("n").alias("max_run_length"), (F.count_if(F.col("n") == 1) / F.sum("n")).alias("single_session_run_share")]
+    """Aggregates over runs; ``stats.percentiles`` has their quantiles."""
+    return [
+        F.count(F.lit(1)).alias("run_count"), F.sum("n").alias("session_count"), F.avg("n").alias("mean_run_length"),
+        F.max("n").alias("max_run_length"), (F.count_if(F.col("n") == 1) / F.sum("n")).alias("single_session_run_share"),
+    ]
 
 
 def source_run_lengths(sessions: DataFrame, min_runs: int = 1, **window) -> DataFrame:
-    g = _runs(sessions, **window).groupBy("source").agg(*_run_stats(), (-F.max(F.struct("n", (-F.col("a")).alias("a")))["a"]).alias("start"))
+    r = _runs(sessions, **window)
+    start = (-F.max(F.struct("n", (-F.col("a")).alias("a")))["a"]).alias("start")
+    g = r.groupBy("source").agg(*_run_stats(), start).join(stats.percentiles(r, ["source"], "n", _RUN_QUANTILES), "source")
     return g.where(F.col("run_count") >= min_runs).withColumn("longest_run_started_at", dims.iso_of(F.floor(F.col("start") / 1000)))
 
 
 def source_run_lengths_global(sessions: DataFrame, **window) -> DataFrame:
-    return _runs(sessions, **window).agg(*_run_stats())
+    r = _runs(sessions, **window)
+    return r.agg(*_run_stats()).crossJoin(stats.percentiles(r, [], "n", _RUN_QUANTILES))
 
 
 def _snapshots(snapshots: DataFrame, since=None, until=None) -> DataFrame:
@@ -243,12 +262,17 @@ def _snapshots(snapshots: DataFrame, since=None, until=None) -> DataFrame:
 
 
 def idle_gaps(snapshots: DataFrame, min_gap: int = 0, by: str = "all", **window) -> DataFrame:
-    """Measured rows (group, x, session_key): seconds between consecutive snapshots of a session."""
-    s = _snapshots(snapshots, **window).withColumn("ms", dims.epoch_milli("snapshot_at"))
-    w = Window.partitionBy("session_key").orderBy("ms", "started_at")
-    x = F.greatest(F.lit(0), (F.col("ms") - F.lag("ms").over(w)) / 1000)
-    group = F.lit("all") if by == "all" else F.first(by).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return s.withColumns({"d": F.col("ms") - F.lag("ms").over(w), "x": x, "group": group}).where(F.col("d").isNotNull() & (F.col("x") >= min_gap))
+    """Measured rows (group, x, session_key): seconds between consecutive snapshots of a session.
+
+    The snapshots of all sessions are one order by (session, time), so a long session is many tasks' work.
+    """
+    columns = list(dict.fromkeys(["session_key", "ms", "started_at", *([] if by == "all" else [by])]))
+    s = _snapshots(snapshots, **window).withColumn("ms", dims.epoch_milli("snapshot_at")).select(*columns)
+    o = order.numbered(s, "session_key", "ms", "started_at")
+    o = o.withColumn("group", F.lit("all")) if by == "all" else order.running(o, ["session_key"], {}, {"group": F.col(by)})
+    o = order.neighbour(o, columns=["session_key", "ms"]).where("prev.session_key = session_key")
+    x = F.greatest(F.lit(0), (F.col("ms") - F.col("prev.ms")) / 1000)
+    return o.withColumn("x", x).where(F.col("x") >= min_gap).select("group", "x", "session_key")
 
 
 def idle_gap_top_sessions(snapshots: DataFrame, top: int = 10, **opts) -> DataFrame:
@@ -256,17 +280,20 @@ def idle_gap_top_sessions(snapshots: DataFrame, top: int = 10, **opts) -> DataFr
     return g.orderBy(F.desc("max_gap_seconds"), F.desc("total_gap_seconds"), "session_key").limit(top)
 
 
-def _hops(snapshots: DataFrame, **window) -> DataFrame:
+def _hops(snapshots: DataFrame, by: str = "all", **window) -> DataFrame:
+    """Snapshots with a model, in one order by (session, time): the model before in the session, and whether it changed."""
     s = _snapshots(snapshots, **window).where("model is not null and model <> ''")
-    w = Window.partitionBy("session_key").orderBy("snapshot_at", "started_at", "model")
-    return s.withColumn("before", F.lag("model").over(w)).withColumn("hop", F.col("before").isNotNull() & (F.col("before") != F.col("model")))
+    group = F.lit("all") if by == "all" else F.col(by)
+    s = s.select("session_key", "snapshot_at", "started_at", "model", group.alias("group"))
+    o = order.with_previous(s, "session_key", "snapshot_at", "started_at", "model")
+    o = o.withColumn("before", F.when(F.col("prev.session_key") == F.col("session_key"), F.col("prev.model")))
+    return o.withColumn("hop", F.col("before").isNotNull() & (F.col("before") != F.col("model")))
 
 
 def model_switching(snapshots: DataFrame, min_switches: int = 2, by: str = "all", **window) -> DataFrame:
     """Models of a session's snapshots (raw names): distinct ones, and changes in order."""
-    h = _hops(snapshots, **window)
-    group = F.lit("all") if by == "all" else F.min_by(by, "snapshot_at")
-    k = h.groupBy("session_key").agg(group.alias("group"), F.countDistinct("model").alias("d"), F.count_if(F.col("hop")).alias("t"))
+    h = _hops(snapshots, by, **window)
+    k = h.groupBy("session_key").agg(F.min_by("group", "snapshot_at").alias("group"), F.countDistinct("model").alias("d"), F.count_if(F.col("hop")).alias("t"))
     many = F.col("d") >= min_switches
     return k.groupBy("group").agg(
         F.count(F.lit(1)).alias("considered_sessions"), F.count_if(many).alias("switched_sessions"), (F.count_if(many) / F.count(F.lit(1))).alias("switched_share"), F.coalesce(F.sum(F.when(many, F.col("t"))), F.lit(0)).alias("total_transitions"),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import order
 from .logs import latest_sessions
 
 # The raw model names of the adapter, by number.
@@ -50,21 +51,29 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of a user's events with gaps of at most six hours; every event is a snapshot."""
-    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    new = F.col("prev").isNull() | (F.col("ts") > F.col("prev") + F.expr("INTERVAL '6' HOUR"))
-    rows = _events(spark, sf_dir).withColumn("prev", F.lag("ts").over(by_user))
-    rows = rows.withColumn("sn", F.sum(new.cast("long")).over(by_user.rowsBetween(Window.unboundedPreceding, 0)))
-    so_far = Window.partitionBy("user_id", "sn").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    """Runs of a user's events with gaps of at most six hours; every event is a snapshot.
+
+    The events are one order by (user, time): a user with a third of all events, or a session that
+    never ends, goes over many tasks, and what a session has so far goes on from one to the next.
+    """
+    events = _events(spark, sf_dir).select("event_id", "ts", "user_id", "event_type")
+    o = order.with_previous(events, "user_id", "ts", "event_id")
+    same_user = F.col("prev.user_id").eqNullSafe(F.col("user_id")) & F.col("prev").isNotNull()
+    new = ~same_user | (F.col("ts") > F.col("prev.ts") + F.expr("INTERVAL '6' HOUR"))
+    o = order.running(o.withColumn("new", new.cast("long")).drop("prev"), ["user_id"], {"sn": F.col("new")})
     asked = F.col("event_type").isin("click", "purchase", "signup")
-    return rows.select(
+    o = order.running(
+        o, ["user_id", "sn"], {"user_messages": asked.cast("long"), "total_messages": F.lit(1).cast("long")},
+        {"source": F.col("event_type"), "started_at": F.col("ts")},
+    )
+    return o.select(
         F.concat_ws("-", F.col("user_id").cast("string"), F.col("sn").cast("string")).alias("session_key"),
-        F.first("event_type").over(so_far).alias("source"),
+        "source",
         F.when(F.col("user_id") % 3 == 0, "agent").otherwise("human").alias("kind"),
-        F.min("ts").over(Window.partitionBy("user_id", "sn")).alias("started_at"),
+        "started_at",
         F.col("ts").alias("last_message_at"),
-        F.sum(asked.cast("long")).over(so_far).alias("user_messages"),
-        F.count(F.lit(1)).over(so_far).alias("total_messages"),
+        "user_messages",
+        "total_messages",
         F.concat(F.lit("p"), (F.col("user_id") % 25).cast("string")).alias("project_ref"),
         _model().alias("model"),
         F.col("ts").alias("snapshot_at"),

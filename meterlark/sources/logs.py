@@ -6,7 +6,7 @@ import re
 from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,9 +73,18 @@ def read_runs(spark: SparkSession, path: str, since: str | None = None, limit: i
 
 
 def latest_sessions(snapshots: DataFrame) -> DataFrame:
-    """The snapshot of each key with the largest ``snapshot_at``; of equals, that with the fewest messages."""
-    order = Window.partitionBy("session_key").orderBy(F.desc("snapshot_at"), "total_messages", "last_message_at")
-    return snapshots.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """The snapshot of each key with the largest ``snapshot_at``; of equals, the first in the file.
+
+    The place in the file is the column ``_position`` of ``read_session_snapshots(..., position=True)``,
+    and is dropped; without it the snapshot with the fewest messages, then the earliest last message,
+    stands for the first. One partial aggregate: a key with a third of all snapshots is a row per task.
+    """
+    # The smallest place of the smallest negated time; a null time is the oldest.
+    age = F.coalesce(-F.unix_micros(F.col("snapshot_at").cast("timestamp")), F.lit((1 << 63) - 1)).alias("age")
+    placed = "_position" in snapshots.columns
+    tie = ["_position"] if placed else ["total_messages", "last_message_at"]
+    rows = snapshots.groupBy(F.col("session_key").alias("_key")).agg(F.min_by(F.struct(*snapshots.columns), F.struct(age, *tie)).alias("_row"))
+    return rows.select("_row.*").drop("_position")
 
 
 def since_of(spec: str, now: datetime) -> str | None:
