@@ -14,7 +14,9 @@ bitmap of 2^24 bits (false positives only cost work). A hot language, word or pa
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -29,7 +31,7 @@ DEPTH = 4
 #: Bits of the bitmaps that name frequent words and pairs.
 BITMAP = 24
 #: Tokens that a task counts before it hands on the automata of what it has.
-HELD = 4_000_000
+HELD = 2_000_000
 #: Tokens of one range, about; words with more than 1/HEAVY of all tokens are dealt by their second word too.
 RANGE, HEAVY = 1 << 19, 10_000
 #: Ranges whose phrases ask for their parts together.
@@ -38,6 +40,7 @@ GROUP = 16
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(ENDS))
 _BLANK, _BREAK = -2, -1
+_GAP = np.array([_BREAK], np.int32)
 
 
 def summed(grams: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,8 +256,9 @@ class _Deal:
         own = np.full(len(words) + 1, -1, np.int64)
         for part in np.split(order, heads[1:]) if len(order) else []:
             rows = grams[part]
-            used = np.unique(rows)
-            used = used[used >= 0]
+            seen = np.zeros(len(words) + 1, bool)
+            seen[rows] = True
+            used = np.flatnonzero(seen[:-1])
             own[used] = np.arange(len(used))
             yield int(ranges[part[0]]), Counts.build([words[i] for i in used.tolist()], own[rows], weights[part])
 
@@ -285,8 +289,9 @@ class _Words(dict):
 def numbers_of(text: str, words: dict[bytes, int]) -> np.ndarray:
     """A text's words as numbers, -1 between pieces and at both ends."""
     tokens = text.encode("utf-8", "surrogatepass").translate(_FOLD).replace(b"\n", b" \n ").split(b" ")
-    found = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-    return np.concatenate([[_BREAK], found[found != _BLANK], [_BREAK]])
+    # itemgetter looks all of them up at once; with one it gives no tuple.
+    found = np.frombuffer(array("i", itemgetter(*tokens, b"\n")(words)), np.int32)
+    return np.concatenate([_GAP, found[found != _BLANK]])
 
 
 def _shards(batches: Iterator[pd.DataFrame], bitmap: np.ndarray | None, most: int = HELD, bits: int = BITMAP) -> Iterator[list[tuple[bytes, _Words, np.ndarray]]]:
@@ -417,17 +422,23 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     def shard_grams(shard: list, length: int, pair_bits: np.ndarray | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Labels, sequences and counts of a shard: words and pairs (length 2), or triples (length 3)."""
         number: dict[bytes, int] = {}
+        for lang, known, _ in shard:
+            for w in (lang, *known.known):
+                number.setdefault(w, len(number))
+        labels, rank = _ranked(list(number))
         rows, weights = [], []
         for lang, known, numbers in shard:
-            own = np.array([number.setdefault(w, len(number)) for w in (lang, *known.known)], np.int64)
+            own = rank[[number[w] for w in known.known]] if known.known else np.zeros(0, np.int64)
             gap = numbers < 0
             pair = ~(gap[:-1] | gap[1:])
             if length == 2:
                 at = np.flatnonzero(pair)
-                single = np.full((len(known.known), DEPTH), -1, np.int64)
-                single[:, 0], single[:, 1] = own[0], own[1:]
-                rows.append(single)
-                weights.append(np.bincount(numbers[~gap], minlength=len(known.known)))
+                # One number for both words: sorting it is what a shard does most.
+                key, count = np.unique(own[numbers[at]] << 32 | own[numbers[at + 1]], return_counts=True)
+                found = np.full((len(key) + len(own), DEPTH), -1, np.int64)
+                found[: len(key), 1], found[: len(key), 2] = key >> 32, key & 0xFFFFFFFF
+                found[len(key) :, 1] = own
+                weights.append(np.concatenate([count, np.bincount(numbers[~gap], minlength=len(own))]))
             else:
                 where = np.flatnonzero(pair)
                 hashes = _hash([lang, *known.known])
@@ -436,14 +447,13 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
                 frequent = np.zeros(len(pair) + 1, bool)
                 frequent[where] = pair_bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
                 at = np.flatnonzero(frequent[:-1] & frequent[1:])
-            found = np.full((len(at), DEPTH), -1, np.int64)
-            found[:, 0] = own[0]
-            for k in range(length):
-                found[:, k + 1] = own[1 + numbers[at + k]]
+                found = np.full((len(at), DEPTH), -1, np.int64)
+                for k in range(length):
+                    found[:, k + 1] = own[numbers[at + k]]
+                weights.append(np.ones(len(at), np.int64))
+            found[:, 0] = rank[number[lang]]
             rows.append(found)
-            weights.append(np.ones(len(at), np.int64))
-        words, rank = _ranked(list(number))
-        return words, *summed(rank[np.concatenate(rows)], np.concatenate(weights))
+        return labels, *summed(np.concatenate(rows), np.concatenate(weights))
 
     def grams(length: int, pairs) -> DataFrame:
         def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
