@@ -8,28 +8,15 @@ third of all rows is one task's work.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 #: Bits of monotonically_increasing_id that number the rows of a partition.
 _ROW_BITS = 33
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there: parts must not move when a task runs again.
-
-    The folder is ``spark.checkpoint.dir``; only on a local master where it is unset is one chosen here.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def numbered(df: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
     """``df`` with ``_part`` and ``_at``: parts follow each other in the order, as do the places in a part.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import order
+from ..functions import dims, order, storage
 from .logs import latest_sessions
 
 # The raw model names of the adapter, by number.
@@ -99,3 +101,35 @@ def project_lookup(spark: SparkSession) -> DataFrame:
     return spark.range(20).select(
         F.concat(F.lit("p"), F.col("id").cast("string")).alias("project_ref"), F.concat(F.lit("name"), F.col("id").cast("string")).alias("basename")
     )
+
+
+def _log(rows: DataFrame, broken: F.Column, blank: F.Column, order: tuple[str, ...] = ()) -> str:
+    """``rows`` written as a JSONL log in the shared folder; after each ``broken`` row stands the start of
+    its line alone, after each ``blank`` one a line of spaces. Returns the folder."""
+    path = f"{storage.shared_folder(rows.sparkSession)}/log-{uuid.uuid4().hex}"
+    times = [f.name for f in rows.schema if f.dataType.typeName().startswith("timestamp")]
+    line = F.to_json(F.struct(*[dims.iso(c).alias(c) if c in times else F.col(c) for c in rows.columns]))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+    lines = F.array_compact(F.array(line, F.when(broken, F.substring(line, 1, 30)), F.when(blank, F.lit("  "))))
+    rows.select(F.explode(lines).alias("value")).write.text(path)
+    return path
+
+
+def usage_log(spark: SparkSession, sf_dir: str) -> str:
+    """The usage rows as a log with malformed and blank lines."""
+    return _log(usage(spark, sf_dir), F.col("output_tokens") % 50 == 0, F.col("output_tokens") % 70 == 0)
+
+
+def session_log(spark: SparkSession, sf_dir: str) -> str:
+    """The session snapshots as a log in the order of time, every tenth of which has no key, with malformed lines."""
+    s = session_snapshots(spark, sf_dir).withColumn("snapshot_at", F.date_trunc("hour", "snapshot_at"))
+    keyless = F.when(F.col("total_messages") % 10 == 9, F.lit("")).otherwise(F.col("session_key"))
+    return _log(s.withColumn("session_key", keyless), F.col("user_messages") % 20 == 3, F.lit(False), ("last_message_at", "total_messages", "session_key"))
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> str:
+    """The runs as a log of one line each; failed ones have a line without a run id besides."""
+    r = runs(spark, sf_dir)
+    lines = r.select(F.col("name").alias("runId"), "status", F.concat(F.col("day").cast("string"), F.lit("T00:00:00.000Z")).alias("startedAt"))
+    broken = lines.where("status = 'failed'").select(F.lit("").alias("runId"), "status", "startedAt")
+    return _log(lines.unionByName(broken), F.col("status") == "skipped", F.lit(False))

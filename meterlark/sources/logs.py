@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dims
+from . import scan
 
 _TOKENS = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
 
@@ -33,40 +33,36 @@ RUNS = T.StructType(
 )
 
 
-def _json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A scan with a fixed schema that skips malformed lines; a missing path is an empty log."""
-    try:
-        return spark.read.schema(schema).options(mode="DROPMALFORMED").json(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
+def scan_usage(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of a usage log, malformed ones marked (``scan.scan``)."""
+    return scan.scan(spark, path, _timed(USAGE, "hour_start"))
 
 
-def _times(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.try_to_timestamp(F.col(c)) for c in columns})
+def scan_session_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of a session log, malformed ones marked."""
+    return scan.scan(spark, path, _timed(SESSIONS, "started_at", "last_message_at", "snapshot_at"))
+
+
+def _timed(schema: T.StructType, *times: str) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.TimestampType()) if f.name in times else f for f in schema])
 
 
 def read_usage(spark: SparkSession, path: str) -> DataFrame:
-    """Usage rows of a JSONL log; blank and malformed lines are skipped."""
-    return _times(_json(spark, path, USAGE), "hour_start")
+    """Usage rows of a JSONL log; blank and malformed lines are skipped (``scan.counts`` counts them)."""
+    return scan.rows_of(scan_usage(spark, path))
 
 
-def read_session_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Every session snapshot of a JSONL log that has a key."""
-    rows = _json(spark, path, SESSIONS).where("session_key is not null and session_key <> ''")
-    return _times(rows, "started_at", "last_message_at", "snapshot_at")
+def read_session_snapshots(spark: SparkSession, path: str, position: bool = False) -> DataFrame:
+    """Every session snapshot of a JSONL log that has a key; ``position`` keeps the place of each, which decides ties."""
+    return scan.rows_of(scan_session_snapshots(spark, path), position).where("session_key is not null and session_key <> ''")
 
 
-def read_runs(spark: SparkSession, path: str, since: str | None = None, limit: int | None = None) -> DataFrame:
-    """One row per run file of a folder, in file-name order; ``limit`` keeps the latest names."""
-    try:
-        rows = spark.read.schema(RUNS).options(mode="DROPMALFORMED", multiLine=True).json(path).withColumn("name", F.col("_metadata.file_name"))
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], T.StructType([*RUNS.fields, T.StructField("name", T.StringType())]))
-    rows = rows.where("runId is not null")
+def read_runs(spark: SparkSession, path: str, since: str | None = None, limit: int | None = None, lines: bool = False) -> DataFrame:
+    """Runs with their name: one file each, named by the file, or with ``lines`` one line each, named by the run;
+    without a run id a file or line is skipped. ``limit`` keeps the latest names."""
+    rows = scan.rows_of(scan.scan(spark, path, RUNS, whole=not lines), position=True).where("runId is not null and runId <> ''")
+    name = F.col("runId") if lines else F.element_at(F.split("_position.file", "/"), -1)
+    rows = rows.withColumn("name", name).drop("_position")
     if since:
         rows = rows.where(F.col("name") >= since)
     return rows.orderBy(F.desc("name")).limit(limit) if limit else rows
