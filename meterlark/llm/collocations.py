@@ -31,7 +31,7 @@ DEPTH = 4
 #: Bits of the bitmaps that name frequent words and pairs.
 BITMAP = 24
 #: Tokens that a task counts before it hands on the automata of what it has.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Tokens of one range, about; words with more than 1/HEAVY of all tokens are dealt by their second word too.
 RANGE, HEAVY = 1 << 19, 10_000
 #: Ranges whose phrases ask for their parts together.
@@ -310,8 +310,8 @@ def _shards(batches: Iterator[pd.DataFrame], bitmap: np.ndarray | None, most: in
             parts.append(numbers_of(text, words))
             n += len(parts[-1])
             if n >= most:
-                yield taken()
-                held, n = {}, 0
+                shard, held, n = taken(), {}, 0
+                yield shard
     if held:
         yield taken()
 
