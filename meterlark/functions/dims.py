@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import storage
+
 # Names that stand for no model, and prefixes of which one is cut off.
 PLACEHOLDERS = ("<synthetic>", "opus", "big-pickle", "synthetic")
 PREFIXES = ("github_copilot/", "github.copilot-chat/", "copilot/", "openrouter/")
@@ -100,9 +102,9 @@ def rates(spark: SparkSession, table=DEFAULT_RATES) -> DataFrame:
 
 
 def with_cost(df: DataFrame, rate_table: DataFrame, model: str = "model") -> DataFrame:
-    """``df`` with the four costs and usd; a model without a rate costs 0. The rate table is a
-    parameter with one row per model, so it is broadcast."""
-    joined = df.join(F.broadcast(rate_table), F.col(model) == F.col("rate_model"), "left")
+    """``df`` with the four costs and usd; a model without a rate costs 0. The rate table has one row
+    per model; its size is checked before it is broadcast."""
+    joined = df.join(storage.if_small(rate_table), F.col(model) == F.col("rate_model"), "left")
     parts = {
         "input": ("input_tokens", "r_input"), "cached": ("cached_input_tokens", "r_cached"),
         "output": ("output_tokens", "r_output"), "reasoning": ("reasoning_output_tokens", "r_reasoning"),

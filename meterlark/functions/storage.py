@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +25,12 @@ def written(df: DataFrame) -> DataFrame:
     if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+#: Rows of a caller's table that is broadcast at most.
+SMALL = 100_000
+
+
+def if_small(table: DataFrame) -> DataFrame:
+    """``table`` with a broadcast hint if it has at most ``SMALL`` rows, which are counted; a larger one joins as Spark decides."""
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table

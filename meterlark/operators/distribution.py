@@ -178,17 +178,42 @@ def burstiness(usage: DataFrame, by: str = "model", min_tokens: int = 0, min_act
     return g.where((F.col("total_tokens") >= min_tokens) & (F.col("active_hours") >= min_active_hours) & (F.col("cv") >= min_cv))
 
 
-def rolling_bucket_cv(usage: DataFrame, window_size: int = 12, min_buckets: int = 0, min_window_cv: float = 0.0, **window) -> DataFrame:
-    """Variation of each ``window_size`` consecutive active buckets of a source."""
-    b = cells.buckets(usage, "source", **window)
+def _windows(b: DataFrame, window_size: int) -> DataFrame:
+    """Each ``window_size`` consecutive active buckets of a source, with their variation."""
     w = Window.partitionBy("source").orderBy("sec").rowsBetween(0, window_size - 1)
-    r = b.withColumns({"k": F.count(F.lit(1)).over(w), "cv": F.stddev_pop("tokens").over(w) / F.avg("tokens").over(w)}).where((F.col("k") == window_size) & (F.col("cv") >= min_window_cv))
+    r = b.withColumns({"k": F.count(F.lit(1)).over(w), "cv": F.stddev_pop("tokens").over(w) / F.avg("tokens").over(w)})
+    return r.where(F.col("k") == window_size)
+
+
+def _rolling(b: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per source its buckets, per source its windows ``r``)."""
     g = r.groupBy("source").agg(
-        F.count(F.lit(1)).alias("window_count"), F.min("cv").alias("min_cv"), stats.nearest("cv", 0.5).alias("p50_cv"), stats.nearest("cv", 0.9).alias("p90_cv"), F.max("cv").alias("max_cv"), F.avg("cv").alias("mean_cv"),
-        F.min(F.struct((-F.round("cv", 12)).alias("c"), "sec"))["sec"].alias("p"),
+        F.count(F.lit(1)).alias("window_count"), F.min("cv").alias("min_cv"), stats.nearest("cv", 0.5).alias("p50_cv"), stats.nearest("cv", 0.9).alias("p90_cv"),
+        F.max("cv").alias("max_cv"), F.avg("cv").alias("mean_cv"), F.min(F.struct((-F.round("cv", 12)).alias("c"), "sec"))["sec"].alias("p"),
     )
-    s = b.groupBy("source").agg(F.sum("tokens").alias("total_tokens"), F.count(F.lit(1)).alias("active_buckets"), (F.stddev_pop("tokens") / F.avg("tokens")).alias("global_cv")).where(F.col("active_buckets") >= min_buckets)
-    return s.join(g, "source").withColumn("peak_window_start", dims.iso_of(F.col("p")))
+    g = g.withColumn("peak_window_start", dims.iso_of(F.col("p")))
+    return b.groupBy("source").agg(F.sum("tokens").alias("total_tokens"), F.count(F.lit(1)).alias("active_buckets"), (F.stddev_pop("tokens") / F.avg("tokens")).alias("global_cv")), g
+
+
+def rolling_bucket_cv(usage: DataFrame, window_size: int = 12, min_buckets: int = 0, min_window_cv: float = 0.0, **window) -> DataFrame:
+    """Variation of each ``window_size`` consecutive active buckets of a source."""
+    b = cells.buckets(usage, "source", **window)
+    s, g = _rolling(b, _windows(b, window_size).where(F.col("cv") >= min_window_cv))
+    return s.where(F.col("active_buckets") >= min_buckets).join(g, "source")
+
+
+def rolling_bucket_cv_counted(usage: DataFrame, window_size: int = 12, min_buckets: int = 0, min_window_cv: float = 0.0, **window) -> DataFrame:
+    """``rolling_bucket_cv`` with what was dropped, from the same pass: rows by reason, sources with fewer buckets than
+    a window or the floor, windows below ``min_window_cv``, and sources none of whose windows is left."""
+    b, counters = cells.counted(usage, "source", **window)
+    r = _windows(b, window_size)
+    low = F.col("cv") < min_window_cv
+    s, g = _rolling(b, r.where(~low))
+    sparse, few = F.col("active_buckets") < window_size, F.col("active_buckets") < min_buckets
+    held = s.join(r.groupBy(F.col("source").alias("_s")).agg(F.count_if(low).alias("_low")), F.col("source") == F.col("_s"), "left").drop("_s")
+    lows = held.agg(F.coalesce(F.sum(F.when(~(sparse | few), F.col("_low"))), F.lit(0)).alias("dropped_low_cv_windows"))
+    full = held.drop("_low").join(g.withColumnRenamed("source", "_s"), F.col("source") == F.col("_s"), "left").drop("_s")
+    return cells.floors(full, counters.crossJoin(lows), min_buckets=few, sparse_sources=sparse, all_windows_floored=F.col("window_count").isNull())
 
 
 def model_mix_entropy(usage: DataFrame, min_tokens: int = 0, **window) -> DataFrame:

@@ -5,34 +5,72 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cells, dims, order, stats
+from ..functions import cells, dims, order, stats, storage
 
 HOUR = 3600
 # Edges of the gaps inside a session, in seconds.
 IDLE_EDGES = (60, 300, 1800, 3600, 14400, 86400)
 
 
+#: Names whose pairs give the first bound on a list of the largest counts.
+HEADS = 64
+
+
+def _paired(b: DataFrame, n: DataFrame, key: str, least: int, min_jaccard: float = 0.0, only: str | None = None) -> DataFrame:
+    """Pairs of names of one bucket, row by row of the join: (a, b, na, nb, ta, tb).
+
+    A pair's count is at most the smaller of its names' counts, and its Jaccard at most their ratio: names
+    below ``least`` buckets never reach the join, and pairs too unlike in their counts leave it uncounted.
+    ``only``: a name that all pairs hold.
+    """
+    held = b.join(n.where(F.col("n") >= least), key)
+    x = held.select(F.col(key).alias("a"), "sec", F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    y = held.select(F.col(key).alias("b"), "sec", F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    like = (F.least("na", "nb") >= min_jaccard * F.greatest("na", "nb")) if min_jaccard > 0 else F.lit(True)
+    if only is None:
+        return x.join(y, "sec").where((F.col("a") < F.col("b")) & like)
+    first = x.where(F.col("a") == only).join(y, "sec").where((F.col("b") > only) & like)
+    return first.unionByName(x.join(y.where(F.col("b") == only), "sec").where((F.col("a") < only) & like))
+
+
+def _least_of_top(b: DataFrame, n: DataFrame, key: str, top: int, min_count: int, min_jaccard: float) -> int:
+    """A count that the ``top`` pairs by count all reach: the last of the best pairs among the most frequent names."""
+    heads = n.orderBy(F.desc("n"), key).limit(max(HEADS, 2 * top))
+    counts = _jaccards(_paired(b, heads, key, min_count, min_jaccard)).where((F.col("count") >= min_count) & (F.col("jaccard") >= min_jaccard))
+    best = counts.select("count").orderBy(F.desc("count")).limit(top).agg(F.count(F.lit(1)).alias("k"), F.min("count").alias("c")).first()
+    return max(min_count, best["c"]) if best["k"] == top else min_count
+
+
+def _jaccards(pairs: DataFrame) -> DataFrame:
+    g = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("count"), F.sum(F.least("ta", "tb")).alias("co_tokens"))
+    return g.withColumn("jaccard", F.col("count") / (F.col("na") + F.col("nb") - F.col("count")))
+
+
 def source_pair_cooccurrence(usage: DataFrame, min_count: int = 1, min_jaccard: float = 0.0, top: int = 10, **window) -> DataFrame:
-    """Pairs of sources active in one bucket: count, Jaccard, share. Rows without a source go."""
-    b = cells.active(usage.where("source is not null and source <> ''"), **window).select("source", "sec").distinct()
+    """Pairs of sources active in one bucket: count, Jaccard, share of all pairs. Rows without a source go.
+
+    Only sources that the pairs of the most frequent ones don't exclude from the list are paired, so many rare
+    sources of one hour cost nothing; the number of all pairs comes from the buckets' sizes.
+    """
+    b = storage.written(cells.buckets(usage.where("source is not null and source <> ''"), "source", **window))
     n = b.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    x, y = b.select(F.col("source").alias("a"), "sec"), b.select(F.col("source").alias("b"), "sec")
-    p = x.join(y, "sec").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("count"))
-    p = p.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))
-    p = p.join(n.select(F.col("source").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("source").alias("b"), F.col("n").alias("nb")), "b")
-    p = p.withColumn("jaccard", F.col("count") / (F.col("na") + F.col("nb") - F.col("count"))).where((F.col("count") >= min_count) & (F.col("jaccard") >= min_jaccard))
+    least = _least_of_top(b, n, "source", top, max(1, min_count), min_jaccard)
+    every = b.groupBy("sec").agg(F.count(F.lit(1)).alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("every"))
+    p = _jaccards(_paired(b, n, "source", least, min_jaccard)).where((F.col("count") >= min_count) & (F.col("jaccard") >= min_jaccard))
+    p = p.crossJoin(F.broadcast(every)).withColumn("share", F.col("count") / F.col("every"))
     return p.select("a", "b", "count", "jaccard", "share").orderBy(F.desc("count"), F.desc("jaccard"), "a", "b").limit(top)
 
 
-def model_cohabitation(usage: DataFrame, min_co_buckets: int = 0, **window) -> DataFrame:
-    """Pairs of models active in one bucket, with the smaller of their tokens."""
+def model_cohabitation(usage: DataFrame, min_co_buckets: int = 0, by_model: str | None = None, **window) -> DataFrame:
+    """Pairs of models active in one bucket, with the smaller of their tokens; ``by_model`` keeps the pairs of one model."""
     b = cells.buckets(usage, "model", **window)
     n = b.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-    x, y = b.select(F.col("model").alias("model_a"), "sec", F.col("tokens").alias("ta")), b.select(F.col("model").alias("model_b"), "sec", F.col("tokens").alias("tb"))
-    p = x.join(y, "sec").where("model_a < model_b").groupBy("model_a", "model_b").agg(F.count(F.lit(1)).alias("co_buckets"), F.sum(F.least("ta", "tb")).alias("co_tokens"))
-    p = p.join(n.select(F.col("model").alias("model_a"), F.col("n").alias("na")), "model_a").join(n.select(F.col("model").alias("model_b"), F.col("n").alias("nb")), "model_b")
-    co = F.col("co_buckets")
-    return p.withColumns({"cohab_index": co / (F.col("na") + F.col("nb") - co), "co_share_a": co / F.col("na"), "co_share_b": co / F.col("nb")}).where(co >= min_co_buckets)
+    p = _jaccards(_paired(b, n, "model", min_co_buckets, only=by_model)).where(F.col("count") >= min_co_buckets)
+    co = F.col("count")
+    return p.select(
+        F.col("a").alias("model_a"), F.col("b").alias("model_b"), co.alias("co_buckets"), "co_tokens", F.col("jaccard").alias("cohab_index"),
+        (co / F.col("na")).alias("co_share_a"), (co / F.col("nb")).alias("co_share_b"),
+    )
 
 
 def model_cohabitation_models(usage: DataFrame, **window) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,20 +126,46 @@ def anomalies(usage: DataFrame, as_of_day: int, lookback: int = 30, baseline: in
     return d.withColumn("z", z).withColumn("status", F.when(F.col("z").isNull(), "flat").otherwise(_flag(F.col("z"), threshold)))
 
 
-def cache_ratio_drift(usage: DataFrame, as_of_day: int, lookback: int = 30, alpha: float = 0.3, baseline: int = 7, threshold: float = 2.0, eps: float = 1e-6) -> DataFrame:
-    """Daily cached / (input + cached), smoothed in logit space; days without tokens carry the smoothed value and are not scored.
+#: Days of one block of the smoothing: powers of 1 - alpha inside a block stay far from 0.
+_BLOCK = 64
+
+
+def smoothed(d: DataFrame, x: str, alpha: float) -> DataFrame:
+    """``d`` (a row a day) with ``logit``: x smoothed as alpha x + (1 - alpha) before, over the days that have x;
+    other days carry the value on.
 
-    The smoothed value has a closed form: with defined days numbered k = 0, 1, ... it is
-    (1 - alpha)^k x_0 + sum of alpha (1 - alpha)^(k - j) x_j over j = 1..k.
+    With defined days numbered k = 0, 1, ... the value is q^k x_0 + sum of alpha q^(k - j) x_j over
+    j = 1..k, q = 1 - alpha. Inside blocks of days it is a running sum of x_j q^-(j - first) times
+    q^(k - first), and what a block hands on is its last value: one row per block.
     """
+    day = Window.orderBy("dayno").rowsBetween(Window.unboundedPreceding, 0)
+    q = 1.0 - alpha
+    block = max(1, min(_BLOCK, int(600 / max(1e-9, -math.log2(max(q, 1e-300))))))
+    d = d.withColumn("_k", F.count(x).over(day) - 1).withColumn("_block", F.floor(F.col("_k") / block))
+    place = F.col("_k") - F.col("_block") * block
+    # x_0 has the weight 1, so that the value starts with it.
+    own = F.when(F.col(x).isNotNull(), F.when(F.col("_k") == 0, F.col(x)).otherwise(alpha * F.col(x)) * F.pow(F.lit(q), -place))
+    inside = Window.partitionBy("_block").orderBy("dayno").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_sum", F.sum(own).over(inside) * F.pow(F.lit(q), place)).withColumn("_left", F.pow(F.lit(q), place + 1))
+    ends = d.where(F.col(x).isNotNull()).groupBy("_block").agg(F.max_by("_sum", "_k").alias("_end"))
+    ends = ends.select(F.col("_block").alias("_of"), F.col("_end"))
+    # What earlier blocks hand on, each faded by the whole blocks between: a row per block of days.
+    before = ends.alias("a").join(ends.alias("b"), F.col("a._of") > F.col("b._of")).select(
+        F.col("a._of").alias("_of"), (F.col("b._end") * F.pow(F.lit(q), (F.col("a._of") - F.col("b._of") - 1) * block)).alias("v")
+    ).groupBy("_of").agg(F.sum("v").alias("_carry"))
+    d = d.join(F.broadcast(before), F.col("_block") == F.col("_of"), "left")
+    value = F.col("_sum") + F.col("_left") * F.coalesce("_carry", F.lit(0.0))
+    return d.withColumn("logit", F.when(F.col("_k") >= 0, value)).drop("_k", "_block", "_sum", "_left", "_of", "_carry")
+
+
+def cache_ratio_drift(usage: DataFrame, as_of_day: int, lookback: int = 30, alpha: float = 0.3, baseline: int = 7, threshold: float = 2.0, eps: float = 1e-6) -> DataFrame:
+    """Daily cached / (input + cached), smoothed in logit space; days without tokens carry the smoothed value and are not scored."""
     d = daily_series(usage, as_of_day, lookback)
     ratio = F.when(F.col("input_tokens") + F.col("cached_input_tokens") > 0, F.col("cached_input_tokens") / (F.col("input_tokens") + F.col("cached_input_tokens")))
     d = d.withColumn("ratio", ratio)
     clipped = F.least(F.greatest(F.col("ratio"), F.lit(eps)), F.lit(1 - eps))
-    up = Window.orderBy("dayno").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("x", F.when(F.col("ratio").isNotNull(), F.log(clipped / (1 - clipped)))).withColumn("xs", F.collect_list("x").over(up))
-    smooth = F.aggregate("xs", F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(alpha * x + (1 - alpha) * a))
-    d = d.withColumn("logit", F.when(F.size("xs") > 0, smooth)).withColumn("ewma", 1 / (1 + F.exp(-F.col("logit"))))
+    d = smoothed(d.withColumn("x", F.when(F.col("ratio").isNotNull(), F.log(clipped / (1 - clipped)))), "x", alpha)
+    d = d.withColumn("ewma", 1 / (1 + F.exp(-F.col("logit"))))
     before = Window.orderBy("dayno").rowsBetween(-baseline, -1)
     ready = F.col("ratio").isNotNull() & (F.count("logit").over(before) == baseline)
     d = d.withColumns({"baseline_logit_mean": F.when(ready, F.avg("logit").over(before)), "baseline_logit_std_dev": F.when(ready, F.coalesce(F.stddev_samp("logit").over(before), F.lit(0.0)))})
@@ -205,16 +233,27 @@ def _width(b: DataFrame) -> DataFrame:
     return b.select("sec").distinct().select(gap.alias("g")).agg(F.coalesce(F.min("g"), F.lit(HOUR)).alias("width"))
 
 
-def bucket_streak_length(usage: DataFrame, min_buckets: int = 0, **window) -> DataFrame:
-    """Maximal runs of a model's buckets that follow each other by exactly one bucket width."""
-    b = cells.buckets(usage, "model", **window)
+def _streaks(b: DataFrame) -> DataFrame:
     r = stats.islands(b.crossJoin(F.broadcast(_width(b))), ["model"], "sec", F.col("sec") - F.col("prev_sec") == F.col("width"))
     runs = r.groupBy("model", "run").agg(F.count(F.lit(1)).alias("n"), F.min("sec").alias("a"), F.max("sec").alias("b"), F.sum("tokens").alias("t"))
     best = F.max(F.struct("n", (-F.col("run")).alias("r"), "a", "b"))
-    g = runs.groupBy("model").agg(F.sum("n").alias("active_buckets"), F.count(F.lit(1)).alias("streak_count"), best.alias("x"), F.avg("n").alias("mean_streak_length"), F.sum("t").alias("tokens")).where(F.col("active_buckets") >= min_buckets)
+    g = runs.groupBy("model").agg(
+        F.sum("n").alias("active_buckets"), F.count(F.lit(1)).alias("streak_count"), best.alias("x"), F.avg("n").alias("mean_streak_length"), F.sum("t").alias("tokens")
+    )
     return g.withColumns({"longest_streak": F.col("x.n"), "longest_streak_start": dims.iso_of(F.col("x.a")), "longest_streak_end": dims.iso_of(F.col("x.b"))})
 
 
+def bucket_streak_length(usage: DataFrame, min_buckets: int = 0, **window) -> DataFrame:
+    """Maximal runs of a model's buckets that follow each other by exactly one bucket width."""
+    return _streaks(cells.buckets(usage, "model", **window)).where(F.col("active_buckets") >= min_buckets)
+
+
+def bucket_streak_length_counted(usage: DataFrame, min_buckets: int = 0, **window) -> DataFrame:
+    """``bucket_streak_length`` with the counts of rows and models that were dropped, from the same pass."""
+    b, counters = cells.counted(usage, "model", **window)
+    return cells.floors(_streaks(b), counters, below_min_buckets=F.col("active_buckets") < min_buckets)
+
+
 def bucket_gap_distribution(usage: DataFrame, min_gap: int = 0, min_gaps: int = 0, **window) -> DataFrame:
     """Gaps between a source's buckets in bucket widths (at least 1); sources with one bucket have zeros."""
     b = cells.buckets(usage, "source", **window).crossJoin(F.broadcast(_width(cells.buckets(usage, **window))))

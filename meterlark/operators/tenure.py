@@ -55,18 +55,29 @@ def source_decay_half_life(usage: DataFrame, min_buckets: int = 0, **window) ->
     return g.withColumns({"first_seen": dims.iso_of(F.col("a")), "last_seen": dims.iso_of(F.col("b")), "span_hours": span, "half_life_iso": dims.iso_of(F.col("h")), "half_life_hours": half, "half_life_fraction": part, "front_load_index": 0.5 - part})
 
 
-def cumulative_tokens_midpoint(usage: DataFrame, min_days: int = 1, low: float = 0.0, high: float = 1.0, **window) -> DataFrame:
-    """The day at which a source has spent half of its tokens, as a share of its tenure."""
+def _midpoints(d: DataFrame) -> DataFrame:
     w = Window.partitionBy("source")
-    d = cells.days(usage, "source", **window)
     d = d.withColumns({"all": F.sum("tokens").over(w), "run": F.sum("tokens").over(w.orderBy("dayno").rowsBetween(Window.unboundedPreceding, 0))})
-    g = d.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.min("dayno").alias("a"), F.max("dayno").alias("b"), F.count(F.lit(1)).alias("active_days"), F.min(F.when(F.col("run") * 2 >= F.col("all"), F.col("dayno"))).alias("m"))
+    half = F.min(F.when(F.col("run") * 2 >= F.col("all"), F.col("dayno")))
+    g = d.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.min("dayno").alias("a"), F.max("dayno").alias("b"), F.count(F.lit(1)).alias("active_days"), half.alias("m"))
     g = g.withColumns({"tenure_days": F.col("b") - F.col("a") + 1, "midpoint_day_index": F.col("m") - F.col("a")})
     g = g.withColumns({"midpoint_pct_tenure": stats.ratio(F.col("midpoint_day_index"), F.col("tenure_days") - 1), "single_day": F.col("tenure_days") == 1})
-    g = g.withColumns({"first_active_day": dims.day_of(F.col("a")), "last_active_day": dims.day_of(F.col("b")), "midpoint_day": dims.day_of(F.col("m"))})
+    return g.withColumns({"first_active_day": dims.day_of(F.col("a")), "last_active_day": dims.day_of(F.col("b")), "midpoint_day": dims.day_of(F.col("m"))})
+
+
+def cumulative_tokens_midpoint(usage: DataFrame, min_days: int = 1, low: float = 0.0, high: float = 1.0, **window) -> DataFrame:
+    """The day at which a source has spent half of its tokens, as a share of its tenure."""
+    g = _midpoints(cells.days(usage, "source", **window))
     return g.where((F.col("active_days") >= min_days) & F.col("midpoint_pct_tenure").between(low, high))
 
 
+def cumulative_tokens_midpoint_counted(usage: DataFrame, min_days: int = 1, low: float = 0.0, high: float = 1.0, **window) -> DataFrame:
+    """``cumulative_tokens_midpoint`` with the counts of rows and sources that were dropped, from the same pass."""
+    d, counters = cells.counted(usage, "source", time="dayno", **window)
+    x = F.col("midpoint_pct_tenure")
+    return cells.floors(_midpoints(d), counters, below_min_days=F.col("active_days") < min_days, below_midpoint_min=x < low, above_midpoint_max=x > high)
+
+
 def source_debut_recency(usage: DataFrame, fraction: float = 0.25, min_buckets: int = 0, min_share: float = 0.0, **window) -> DataFrame:
     """Days since a source's first and last bucket (to the latest bucket of all), tokens in the first part of its tenure."""
     w = Window.partitionBy("source")

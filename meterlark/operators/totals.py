@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cells, dims, stats
+from ..functions import cells, dims, stats, storage
 
 SUMS = {"total_tokens": "total", "input_tokens": "input", "output_tokens": "output", "reasoning_tokens": "reasoning", "cached_input_tokens": "cached"}
 
@@ -52,13 +52,13 @@ def sources_matrix(usage: DataFrame, models: list[str], **window) -> DataFrame:
 
 
 def _costs(usage: DataFrame, rates: DataFrame, **window) -> DataFrame:
-    return dims.with_cost(cells.rows(usage, **window), rates)
+    """Sums by model with their costs, which are linear in tokens: a row per model is priced, not a row of the log."""
+    return dims.with_cost(cells.by_model(usage, **window), rates)
 
 
 def cost_by_model(usage: DataFrame, rates: DataFrame, **window) -> DataFrame:
-    c = _costs(usage, rates, **window).where("rate_model is not null")
     costs = ("input_cost", "cached_cost", "output_cost", "reasoning_cost")
-    g = c.groupBy("model").agg(F.count(F.lit(1)).alias("events"), *[F.sum(v).alias(k) for k, v in SUMS.items() if k != "total_tokens"], *[F.sum(x).alias(x) for x in costs])
+    g = _costs(usage, rates, **window).where("rate_model is not null").withColumn("reasoning_tokens", F.col("reasoning_output_tokens"))
     g = g.withColumn("total_cost", sum((F.col(x) for x in costs), F.lit(0.0)))
     billable = F.col("input_tokens") + F.col("cached_input_tokens") + F.col("output_tokens") + F.col("reasoning_tokens")
     return g.withColumn("blended_rate_per_million", stats.ratio(F.col("total_cost") * 1e6, billable))
@@ -72,9 +72,9 @@ def cost_summary(usage: DataFrame, rates: DataFrame, **window) -> DataFrame:
 
 
 def cost_unknown_models(usage: DataFrame, rates: DataFrame, **window) -> DataFrame:
-    u = cells.rows(usage, **window)
-    left = u.join(F.broadcast(rates), u["model"] == rates["rate_model"], "left_anti")
-    return left.groupBy("model").agg(F.count(F.lit(1)).alias("events"), F.sum("total").alias("total_tokens"))
+    u = cells.by_model(usage, **window)
+    left = u.join(storage.if_small(rates), u["model"] == rates["rate_model"], "left_anti")
+    return left.select("model", "events", F.col("total").alias("total_tokens"))
 
 
 def _attributed(usage: DataFrame, sessions: DataFrame, since=None, until=None) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions import cells, dims, stats
 from ..operators import distribution as o
 from ..sources import adapter
-from .registry import Query
+from .registry import COUNTED, COUNTED_COLUMNS, COUNTED_SQL, Query
 
 usage, sessions = adapter.usage, adapter.sessions
 
@@ -116,6 +116,15 @@ w AS (SELECT *, count(*) OVER k AS n, stddev_pop(t) OVER k / avg(t) OVER k AS cv
 p AS (SELECT source, count(*) AS window_count, min(cv) AS min_cv, quantile_disc(cv, 0.5) AS p50_cv, quantile_disc(cv, 0.9) AS p90_cv, max(cv) AS max_cv, avg(cv) AS mean_cv, arg_min(sec, (-round(cv, 12), sec)) AS ps FROM w WHERE n = 12 GROUP BY source),
 q AS (SELECT source, sum(t) AS total_tokens, count(*) AS active_buckets, stddev_pop(t) / avg(t) AS global_cv FROM g GROUP BY source),
 out AS (SELECT *, """ + _ISO.format("ps") + " AS peak_window_start FROM q JOIN p USING (source))"),
+    Query("rolling_bucket_cv_counted", "source:s total_tokens:i active_buckets:i window_count:i global_cv:f min_cv:f max_cv:f mean_cv:f" + COUNTED_COLUMNS + "dropped_low_cv_windows:i dropped_min_buckets:i dropped_sparse_sources:i dropped_all_windows_floored:i",
+          lambda s, d: o.rolling_bucket_cv_counted(usage(s, d), window_size=6, min_buckets=10, min_window_cv=0.6, **COUNTED), COUNTED_SQL + """,
+g AS (SELECT source, sec, sum(total) AS t FROM v GROUP BY ALL),
+w AS (SELECT *, count(*) OVER k AS n, stddev_pop(t) OVER k / avg(t) OVER k AS cv FROM g WINDOW k AS (PARTITION BY source ORDER BY sec ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
+p AS (SELECT source, count(*) FILTER (cv >= 0.6) AS window_count, min(cv) FILTER (cv >= 0.6) AS min_cv, max(cv) FILTER (cv >= 0.6) AS max_cv, avg(cv) FILTER (cv >= 0.6) AS mean_cv, count(*) FILTER (cv < 0.6) AS low FROM w WHERE n = 6 GROUP BY source),
+q AS (SELECT source, sum(t) AS total_tokens, count(*) AS active_buckets, stddev_pop(t) / avg(t) AS global_cv FROM g GROUP BY source),
+f AS (SELECT *, CASE WHEN active_buckets < 10 THEN 1 WHEN active_buckets < 6 THEN 2 WHEN coalesce(window_count, 0) = 0 THEN 3 ELSE 0 END AS why FROM q LEFT JOIN p USING (source)),
+out AS (SELECT * FROM c0 CROSS JOIN (SELECT coalesce(sum(low) FILTER (why IN (0, 3)), 0) AS dropped_low_cv_windows, count(*) FILTER (why = 1) AS dropped_min_buckets, count(*) FILTER (why = 2) AS dropped_sparse_sources, count(*) FILTER (why = 3) AS dropped_all_windows_floored FROM f)
+  LEFT JOIN (SELECT * FROM f WHERE why = 0) ON true)"""),
     Query("model_mix_entropy", "source:s total_tokens:i rows:i parts:i entropy_bits:f max_entropy_bits:f normalized_entropy:f effective_parts:f top_share:f top_part:s", lambda s, d: o.model_mix_entropy(usage(s, d)), """
 x0 AS (SELECT source, model, sum(total) AS tokens, count(*) AS n FROM u GROUP BY ALL), x1 AS (SELECT *, tokens / sum(tokens) OVER (PARTITION BY source) AS p FROM x0),
 out AS (SELECT source, sum(tokens) AS total_tokens, sum(n) AS rows, count(*) AS parts, -sum(p * log2(p)) AS entropy_bits, log2(count(*)) AS max_entropy_bits, CASE WHEN count(*) > 1 THEN -sum(p * log2(p)) / log2(count(*)) ELSE 0 END AS normalized_entropy,

@@ -35,3 +35,12 @@ class Query:
     @property
     def sql(self) -> str | None:
         return oracle(self.columns, self.body) if self.body else None
+
+
+#: A window and a source, whose dropped rows the ``_counted`` reports count.
+COUNTED = {"since": "2024-01-05T00:00:00Z", "source": "click"}
+#: v: the rows left; c0: how many were dropped, and why.
+COUNTED_SQL = """
+w0 AS (SELECT * FROM su WHERE t >= TIMESTAMP '2024-01-05'), v AS (SELECT * FROM w0 WHERE total > 0 AND source = 'click'),
+c0 AS (SELECT 0 AS dropped_invalid_hour_start, count(*) FILTER (total <= 0) AS dropped_zero_tokens, count(*) FILTER (total > 0 AND source <> 'click') AS dropped_source_filter, 0 AS dropped_model_filter FROM w0)"""
+COUNTED_COLUMNS = " dropped_invalid_hour_start:i dropped_zero_tokens:i dropped_source_filter:i dropped_model_filter:i "

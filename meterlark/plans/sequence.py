@@ -43,6 +43,10 @@ kd AS (SELECT session_key, count(DISTINCT m) AS d, count(*) FILTER (pm IS NOT NU
 QUERIES = [
     Query("source_pair_cooccurrence", "a:s b:s count:i jaccard:f share:f", lambda s, d: o.source_pair_cooccurrence(usage(s, d)), _pairs("source") + ", out AS (SELECT a, b, c AS count, jac AS jaccard, c / sum(c) OVER () AS share FROM j ORDER BY c DESC, jac DESC, a, b LIMIT 10)"),
     Query("model_cohabitation", "model_a:s model_b:s co_buckets:i co_tokens:i cohab_index:f co_share_a:f co_share_b:f", lambda s, d: o.model_cohabitation(usage(s, d)), _pairs("model") + ", out AS (SELECT a AS model_a, b AS model_b, c AS co_buckets, w AS co_tokens, jac AS cohab_index, c / na AS co_share_a, c / nb AS co_share_b FROM j)"),
+    Query("model_cohabitation_of", "model_a:s model_b:s co_buckets:i co_tokens:i cohab_index:f co_share_a:f co_share_b:f", lambda s, d: o.model_cohabitation(usage(s, d), min_co_buckets=20, by_model="gpt-5.4"), _pairs("model") + """,
+out AS (SELECT a AS model_a, b AS model_b, c AS co_buckets, w AS co_tokens, jac AS cohab_index, c / na AS co_share_a, c / nb AS co_share_b FROM j WHERE c >= 20 AND (a = 'gpt-5.4' OR b = 'gpt-5.4'))"""),
+    Query("source_pair_floors", "a:s b:s count:i jaccard:f share:f", lambda s, d: o.source_pair_cooccurrence(usage(s, d), min_count=5, min_jaccard=0.2, top=5), _pairs("source") + """,
+out AS (SELECT * FROM (SELECT a, b, c AS count, jac AS jaccard, c / sum(c) OVER () AS share FROM j) WHERE count >= 5 AND jaccard >= 0.2 ORDER BY count DESC, jaccard DESC, a, b LIMIT 5)"""),
     Query("model_cohabitation_models", "model:s buckets_active:i tokens:i distinct_cohabitants:i", lambda s, d: o.model_cohabitation_models(usage(s, d)), _pairs("model") + ", out AS (SELECT k AS model, n AS buckets_active, t AS tokens, (SELECT count(*) FROM p WHERE a = k OR b = k) AS distinct_cohabitants FROM n)"),
     Query("bucket_handoff", "from:s to:s count:i", lambda s, d: o.bucket_handoff(usage(s, d)), _primary("model") + ", out AS (SELECT pk AS \"from\", k AS \"to\", count(*) AS count FROM h WHERE pk <> k GROUP BY ALL ORDER BY count DESC, pk, k LIMIT 10)"),
     Query("bucket_handoff_summary", "active_buckets:i considered_pairs:i handoff_pairs:i handoff_share:f contiguous_pairs:i gapped_pairs:i contiguous_handoffs:i gapped_handoffs:i stickiest_model:s stickiest_model_buckets:i", lambda s, d: o.bucket_handoff_summary(usage(s, d)), _primary("model") + """,

@@ -8,7 +8,7 @@ from ..functions import dims
 from ..operators import series as o
 from ..sources import adapter
 from .cyclic import sparse
-from .registry import AS_OF, Query
+from .registry import AS_OF, COUNTED, COUNTED_COLUMNS, COUNTED_SQL, Query
 from .tenure import DAY, ISO, V
 
 usage = adapter.usage
@@ -129,6 +129,12 @@ out AS (SELECT sum(hours) AS total_active_hours, count(*) AS stretch_count, sum(
 b AS (SELECT model, sec, sum(total) AS t FROM v GROUP BY ALL), g AS (SELECT *, sec // 3600 - row_number() OVER (PARTITION BY model ORDER BY sec) AS g FROM b),
 r AS (SELECT model, count(*) AS n, min(sec) AS a, max(sec) AS z, sum(t) AS t FROM g GROUP BY model, g),
 out AS (SELECT model, sum(n) AS active_buckets, count(*) AS streak_count, max(n) AS longest_streak, avg(n) AS mean_streak_length, {ISO.format('(arg_min(a, (-n, a)))')} AS longest_streak_start, {ISO.format('(arg_min(z, (-n, a)))')} AS longest_streak_end, sum(t) AS tokens FROM r GROUP BY model)"""),
+    Query("bucket_streak_length_counted", "model:s active_buckets:i streak_count:i longest_streak:i longest_streak_start:s tokens:i" + COUNTED_COLUMNS + "dropped_below_min_buckets:i",
+          lambda s, d: o.bucket_streak_length_counted(usage(s, d), min_buckets=220, **COUNTED), COUNTED_SQL + f""",
+b AS (SELECT model, sec, sum(total) AS t FROM v GROUP BY ALL), g AS (SELECT *, sec // 3600 - row_number() OVER (PARTITION BY model ORDER BY sec) AS g FROM b),
+r AS (SELECT model, count(*) AS n, min(sec) AS a, sum(t) AS t FROM g GROUP BY model, g),
+m AS (SELECT model, sum(n) AS active_buckets, count(*) AS streak_count, max(n) AS longest_streak, {ISO.format('(arg_min(a, (-n, a)))')} AS longest_streak_start, sum(t) AS tokens FROM r GROUP BY model),
+out AS (SELECT * FROM c0 CROSS JOIN (SELECT count(*) FILTER (active_buckets < 220) AS dropped_below_min_buckets FROM m) LEFT JOIN (SELECT * FROM m WHERE active_buckets >= 220) ON true)"""),
     Query("bucket_gap_distribution", "source:s active_buckets:i gap_count:i min_gap:i p50_gap:i p90_gap:i p99_gap:i max_gap:i mean_gap:f contiguous_gaps:i contiguous_share:f tokens:i", lambda s, d: o.bucket_gap_distribution(sparse(s, d)), _GAPS + """,
 out AS (SELECT source, count(*) AS active_buckets, count(g) AS gap_count, min(g) AS min_gap, quantile_disc(g, 0.5) AS p50_gap, quantile_disc(g, 0.9) AS p90_gap, quantile_disc(g, 0.99) AS p99_gap, max(g) AS max_gap, avg(g) AS mean_gap,
   count(*) FILTER (g = 1) AS contiguous_gaps, count(*) FILTER (g = 1) / count(g) AS contiguous_share, sum(t) AS tokens FROM gg GROUP BY source)"""),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import tenure as o
 from ..sources import adapter
 from .cyclic import sparse
-from .registry import AS_OF, Query
+from .registry import AS_OF, COUNTED, COUNTED_COLUMNS, Query
 
 usage = adapter.usage
 ISO = "strftime(make_timestamp({0} * 1000000), '%Y-%m-%dT%H:%M:%S.000Z')"
@@ -62,6 +62,14 @@ out AS (SELECT key AS model, span_hours, active_buckets, tokens, tokens_per_span
 out AS (SELECT source, {ISO.format('a')} AS first_seen, {ISO.format('b')} AS last_seen, (b - a) / 3600 AS span_hours, n AS active_buckets, tokens, {ISO.format('h')} AS half_life_iso, (h - a) / 3600 AS half_life_hours, (h - a) / (b - a) AS half_life_fraction, 0.5 - (h - a) / (b - a) AS front_load_index FROM b2)"""),
     Query("cumulative_tokens_midpoint", "source:s tokens:i first_active_day:s last_active_day:s active_days:i tenure_days:i midpoint_day_index:i midpoint_day:s midpoint_pct_tenure:f single_day:b", lambda s, d: o.cumulative_tokens_midpoint(sparse(s, d)), V + "," + _CUM.format(x="dayno") + f""",
 out AS (SELECT source, tokens, {DAY.format('a')} AS first_active_day, {DAY.format('b')} AS last_active_day, n AS active_days, b - a + 1 AS tenure_days, h - a AS midpoint_day_index, {DAY.format('h')} AS midpoint_day, (h - a) / (b - a) AS midpoint_pct_tenure, b = a AS single_day FROM b2)"""),
+    Query("cumulative_tokens_midpoint_counted", "source:s tokens:i active_days:i midpoint_day:s midpoint_pct_tenure:f" + COUNTED_COLUMNS + "dropped_below_min_days:i dropped_below_midpoint_min:i dropped_above_midpoint_max:i",
+          lambda s, d: o.cumulative_tokens_midpoint_counted(usage(s, d), min_days=20, low=0.45, high=0.52, since=COUNTED["since"]), """
+w0 AS (SELECT * FROM su WHERE t >= TIMESTAMP '2024-01-05'), v AS (SELECT * FROM w0 WHERE total > 0),
+c0 AS (SELECT 0 AS dropped_invalid_hour_start, count(*) FILTER (total <= 0) AS dropped_zero_tokens, 0 AS dropped_source_filter, 0 AS dropped_model_filter FROM w0),""" + _CUM.format(x="dayno") + f""",
+m AS (SELECT source, tokens, n AS active_days, {DAY.format('h')} AS midpoint_day, (h - a) / (b - a) AS x FROM b2),
+w AS (SELECT *, CASE WHEN active_days < 20 THEN 1 WHEN x < 0.45 THEN 2 WHEN x > 0.52 THEN 3 ELSE 0 END AS why FROM m),
+out AS (SELECT c0.*, k.*, y.* EXCLUDE (x), x AS midpoint_pct_tenure FROM c0 CROSS JOIN (SELECT count(*) FILTER (why = 1) AS dropped_below_min_days, count(*) FILTER (why = 2) AS dropped_below_midpoint_min, count(*) FILTER (why = 3) AS dropped_above_midpoint_max FROM w) k
+  LEFT JOIN (SELECT * FROM w WHERE why = 0) y ON true)"""),
     Query("source_debut_recency", "source:s first_seen:s last_seen:s tenure_hours:f active_buckets:i tokens:i days_since_debut:f days_since_last_seen:f debut_window_tokens:i debut_share:f", lambda s, d: o.source_debut_recency(sparse(s, d)), _DEBUT + f""",
 out AS (SELECT *, {ISO.format('a')} AS first_seen, {ISO.format('b')} AS last_seen, (b - a) / 3600 AS tenure_hours, (z - a) / 86400 AS days_since_debut, (z - b) / 86400 AS days_since_last_seen, debut_window_tokens / tokens AS debut_share FROM b3)"""),
     Query("newcomer_rollup", "newcomer_cutoff:s newcomer_sources:i newcomer_tokens:i newcomer_token_share:f", lambda s, d: o.newcomer_rollup(sparse(s, d), newcomer_days=29), _DEBUT + f""",
