@@ -15,7 +15,8 @@ bitmap of 2^24 bits (false positives only cost work). A hot language, word or pa
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from operator import itemgetter
 
 import numpy as np
@@ -31,9 +32,11 @@ DEPTH = 4
 #: Bits of the bitmaps that name frequent words and pairs.
 BITMAP = 24
 #: Tokens that a task counts before it hands on the automata of what it has.
-HELD = 1_000_000
+HELD = 2_000_000
 #: Tokens of one range, about; words with more than 1/HEAVY of all tokens are dealt by their second word too.
 RANGE, HEAVY = 1 << 19, 10_000
+#: Tokens whose pairs are looked up at once, and ranges whose automata a task hands on at once.
+SLICE, SENT = 250_000, 32
 #: Ranges whose phrases ask for their parts together.
 GROUP = 16
 # Bytes that end a piece, and the case of A to Z.
@@ -354,7 +357,7 @@ def _united(shards: DataFrame, least: int) -> DataFrame:
     return cut(shards.repartition("range").sortWithinPartitions("range").mapInPandas(unite, "range int, blob binary"))
 
 
-def _rows(found: Iterator[tuple[int, Counts]]) -> pd.DataFrame:
+def _rows(found: Iterable[tuple[int, Counts]]) -> pd.DataFrame:
     rows = [(k, c.dump()) for k, c in found]
     return pd.DataFrame(rows, columns=["range", "blob"])
 
@@ -440,12 +443,13 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
                 found[len(key) :, 1] = own
                 weights.append(np.concatenate([count, np.bincount(numbers[~gap], minlength=len(own))]))
             else:
-                where = np.flatnonzero(pair)
                 hashes = _hash([lang, *known.known])
-                labelled = np.stack([np.zeros(len(where), np.int64), numbers[where] + 1, numbers[where + 1] + 1], 1)
-                bit = _bit(_mixed(hashes, labelled), bits)
                 frequent = np.zeros(len(pair) + 1, bool)
-                frequent[where] = pair_bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
+                for low in range(0, len(pair), SLICE):  # a slice at a time, for memory
+                    where = low + np.flatnonzero(pair[low : low + SLICE])
+                    labelled = np.stack([np.zeros(len(where), np.int64), numbers[where] + 1, numbers[where + 1] + 1], 1)
+                    bit = _bit(_mixed(hashes, labelled), bits)
+                    frequent[where] = pair_bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
                 at = np.flatnonzero(frequent[:-1] & frequent[1:])
                 found = np.full((len(at), DEPTH), -1, np.int64)
                 for k in range(length):
@@ -457,9 +461,12 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
 
     def grams(length: int, pairs) -> DataFrame:
         def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for shard in _shards(batches, word_bits.value, held, bits):
+            # Triples are few: a shard of them may have more tokens, and so its automata more in common.
+            for shard in _shards(batches, word_bits.value, held * (length - 1), bits):
                 labels, rows, weights = shard_grams(shard, length, pairs.value if pairs else None)
-                yield _rows(deal.value.split(labels, rows, weights))
+                found = deal.value.split(labels, rows, weights)
+                while part := list(islice(found, SENT)):
+                    yield _rows(part)
 
         return _united(texts.mapInPandas(shards, "range int, blob binary"), least)
 
