@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells, dims, stats
+from ..functions.options import least, most, options
 
 _TURN = math.pi / 12
 
@@ -40,6 +41,7 @@ def heatmap_summary(usage: DataFrame, as_of_day: int, **opts) -> DataFrame:
     )
 
 
+@options(min_cell_tokens=least("tokens"))
 def hour_of_week(usage: DataFrame, **window) -> DataFrame:
     """All 168 cells (weekday 1 = Monday): tokens, distinct buckets, share."""
     g = cells.active(usage, **window).groupBy((F.col("dow") + 1).alias("d"), F.col("hour").alias("h")).agg(F.sum("total").alias("tokens"), F.countDistinct("sec").alias("buckets"))
@@ -100,14 +102,22 @@ def hod_token_skew(usage: DataFrame, min_days: int = 2, **window) -> DataFrame:
     return g.withColumn("skewness", F.when(F.col("stddev_daily_tokens") > 0, F.col("s")).otherwise(0.0)).drop("s")
 
 
-def time_of_day(sessions: DataFrame, offset_minutes: int = 0, collapse: int = 1, since=None, until=None) -> DataFrame:
-    """Sessions by (collapsed) local start hour, empty hours included."""
-    s = dims.within(sessions.where("started_at is not null"), "started_at", since, until)
+def time_of_day(sessions: DataFrame, offset_minutes: int = 0, collapse: int = 1, by_source: bool = False, since=None, until=None) -> DataFrame:
+    """Sessions by (collapsed) local start hour, empty hours included; with ``by_source`` also those of each source,
+    and source is null for all. Shares are those of the source, or of all."""
+    s = dims.within(sessions.where("started_at is not null"), "started_at", since, until).withColumn("source", dims.or_unknown("source"))
     local = F.pmod(dims.epoch_second("started_at") + 60 * offset_minutes, F.lit(86400))
-    g = s.groupBy((F.floor(local / (3600 * collapse)) * collapse).alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    full = cells.grid(sessions, "hour", 0, 23).where(F.col("hour") % collapse == 0)
-    out = full.join(g, F.col("hour") == F.col("h"), "left").select("hour", F.coalesce("n", F.lit(0)).alias("sessions"))
-    return out.withColumn("share", stats.ratio(F.col("sessions"), F.sum("sessions").over(Window.partitionBy())))
+    s = s.withColumn("h", F.floor(local / (3600 * collapse)) * collapse)
+    hours = cells.grid(sessions, "hour", 0, 23).where(F.col("hour") % collapse == 0)
+    if not by_source:
+        g = s.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+        out = hours.join(g, F.col("hour") == F.col("h"), "left").select("hour", F.coalesce("n", F.lit(0)).alias("sessions"))
+        return out.withColumn("share", stats.ratio(F.col("sessions"), F.sum("sessions").over(Window.partitionBy())))
+    g = s.groupingSets([["h"], ["h", "source"]], "h", "source").agg(F.count(F.lit(1)).alias("n"))
+    names = g.select(F.col("source").alias("of")).distinct()
+    met = names.crossJoin(F.broadcast(hours)).join(g, (F.col("hour") == F.col("h")) & F.col("of").eqNullSafe(F.col("source")), "left")
+    out = met.select("hour", F.col("of").alias("source"), F.coalesce("n", F.lit(0)).alias("sessions"))
+    return out.withColumn("share", stats.ratio(F.col("sessions"), F.sum("sessions").over(Window.partitionBy("source"))))
 
 
 def peak_hour_share(usage: DataFrame, by: str = "model", min_days: int = 0, min_active_hours: int = 1, peak_hours: int = 1, **window) -> DataFrame:
@@ -146,6 +156,7 @@ def source_dow_mass_share(usage: DataFrame, min_tokens: int = 1000, min_weekend_
     return g.where(F.col("weekend_share") >= min_weekend_share)
 
 
+@options(max_spread=most("spread_hours"), min_r=least("resultant_length"))
 def source_hour_centroid(usage: DataFrame, min_tokens: int = 1000, **window) -> DataFrame:
     """Circular mean hour, resultant length, circular deviation in hours, peak hour."""
     g = _masses(usage, min_tokens, **window)
@@ -162,6 +173,7 @@ def source_hour_centroid(usage: DataFrame, min_tokens: int = 1000, **window) ->
     )
 
 
+@options(min_share=least("top_k_share"))
 def source_hod_topk_share(usage: DataFrame, top_hours: int = 3, min_tokens: int = 1000, min_hours: int = 2, **window) -> DataFrame:
     g = _masses(usage, min_tokens, **window).where(F.col("active_hours") >= min_hours)
     ranked = F.array_sort(F.transform("m", lambda x, i: F.struct((-x).alias("n"), i.alias("h"))))
@@ -185,17 +197,20 @@ def _runs(flags: str, mark: str) -> dict[str, Column]:
     }
 
 
+@options(min_dead_hours=least("dead_hours"), min_longest_run=least("longest_dead_run"))
 def source_dead_hours(usage: DataFrame, min_tokens: int = 1000, **window) -> DataFrame:
     g, r = _masses(usage, min_tokens, **window), _runs("flags", "0")
     dead = 24 - F.col("active_hours")
     return g.withColumns({"dead_hours": dead, "live_hours": F.col("active_hours"), "dead_share": dead / 24, "longest_dead_run": r["longest"], "dead_run_count": r["count"]})
 
 
+@options(min_longest_run=least("longest_active_run"), min_active_hours=least("active_hours"))
 def source_active_hour_longest_run(usage: DataFrame, min_tokens: int = 1000, **window) -> DataFrame:
     g, r = _masses(usage, min_tokens, **window), _runs("flags", "1")
     return g.withColumns({"longest_active_run": r["longest"], "active_run_count": r["count"], "active_run_share": stats.ratio(r["longest"], F.col("active_hours")), "longest_run_start": r["start"]})
 
 
+@options(max_span=most("circular_span"), min_largest_quiet_gap=least("largest_quiet_gap"))
 def source_active_hour_span(usage: DataFrame, min_tokens: int = 1000, **window) -> DataFrame:
     """Shortest arc of the clock that holds all active hours; of equal quiet gaps the first, the one over midnight last."""
     g = _masses(usage, min_tokens, **window)
@@ -211,6 +226,7 @@ def source_active_hour_span(usage: DataFrame, min_tokens: int = 1000, **window)
     )
 
 
+@options(min_normalized=least("entropy_normalized"), min_effective_hours=least("effective_hours"))
 def source_hod_entropy(usage: DataFrame, min_tokens: int = 1000, **window) -> DataFrame:
     g = _masses(usage, min_tokens, **window)
     p = F.transform("m", lambda x: x / F.col("total_tokens"))

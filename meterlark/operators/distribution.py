@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells, dims, stats
+from ..functions.options import equal, least, options
 
 # Default edges of the reports.
 INTENSITY_EDGES = (1, 1_000, 10_000, 100_000, 1_000_000, 10_000_000)
@@ -271,6 +272,7 @@ def source_benford_digits(usage: DataFrame, min_rows: int = 30, **window) -> Dat
     return out.withColumns({"expected": F.col("expected_freq") * F.col("n_rows"), "observed_freq": F.col("observed") / F.col("n_rows")})
 
 
+@options(require_mode=equal("mode_digit"))
 def source_benford(usage: DataFrame, max_mad: float = 0.0, **opts) -> DataFrame:
     d = source_benford_digits(usage, **opts)
     gap = F.col("observed") - F.col("expected")

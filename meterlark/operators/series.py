@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import calendar
 import math
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells, dims, stats
+from ..functions.options import equal, least, options
 
 HOUR = 3600
 
@@ -88,9 +91,16 @@ def budget_daily(usage: DataFrame, rates: DataFrame, as_of: int, days: int = 7)
     return full.select(dims.day_of(F.col("dayno")).alias("day"), F.coalesce("u", F.lit(0.0)).alias("usd"))
 
 
-def budget_status(usage: DataFrame, rates: DataFrame, as_of: int, month_start_day: int, month_days: int, daily_usd: float, monthly_usd: float | None = None, days: int = 7) -> DataFrame:
-    """Month and day against the budget; burn is the window's mean, empty days included."""
+def month_of(day: int) -> tuple[int, int]:
+    """(first day, length) of the UTC month that holds a day, in days since 1970."""
+    at = date(1970, 1, 1) + timedelta(days=day)
+    return day - at.day + 1, calendar.monthrange(at.year, at.month)[1]
+
+
+def budget_status(usage: DataFrame, rates: DataFrame, as_of: int, daily_usd: float, monthly_usd: float | None = None, days: int = 7) -> DataFrame:
+    """The month of ``as_of`` (seconds since 1970) and its day against the budget; burn is the window's mean, empty days included."""
     today = as_of // 86400
+    month_start_day, month_days = month_of(today)
     month = monthly_usd if monthly_usd is not None else daily_usd * month_days
     u = dims.with_cost(cells.rows(usage).where(F.col("sec") < as_of), rates)
 
@@ -289,6 +299,7 @@ def _day_runs(usage: DataFrame, **window) -> DataFrame:
     return r.groupBy("source", "run").agg(F.count(F.lit(1)).alias("n"), F.min("dayno").alias("a"), F.max("dayno").alias("b"), F.sum("tokens").alias("t"))
 
 
+@options(min_longest_streak=least("longest_streak"))
 def source_active_day_streak(usage: DataFrame, min_days: int = 1, density_min: float = 0.0, **window) -> DataFrame:
     r = _day_runs(usage, **window)
     best, last = F.max(F.struct("n", (-F.col("run")).alias("r"), "a", "b")), F.max(F.struct("run", "n"))
@@ -299,6 +310,7 @@ def source_active_day_streak(usage: DataFrame, min_days: int = 1, density_min: f
     return g.where((F.col("active_days") >= min_days) & (F.col("density") >= density_min))
 
 
+@options(min_longest=least("longest_dry_spell"), min_fraction=least("dry_spell_fraction"))
 def source_dry_spell(usage: DataFrame, min_days: int = 1, **window) -> DataFrame:
     """Runs of days without tokens inside a source's tenure; the first of equal longest."""
     w = Window.partitionBy("source").orderBy("dayno")
@@ -313,6 +325,7 @@ def source_dry_spell(usage: DataFrame, min_days: int = 1, **window) -> DataFrame
     )
 
 
+@options(min_extreme=least("n_extreme"), direction=equal("max_abs_z_direction"))
 def daily_zscore_extremes(usage: DataFrame, min_days: int = 3, sigma: float = 2.0, **window) -> DataFrame:
     """Days of a source further than ``sigma`` population deviations from its mean; the first day of the largest."""
     w = Window.partitionBy("source")
@@ -363,6 +376,7 @@ def _pick(state: str, field: str):
     return F.max(F.when(F.col("sign") == state, F.struct("steps", (-F.col("run")).alias("r"), "a", "b")))[field]
 
 
+@options(min_longest_run=least("longest_monotone_run"), direction=equal("longest_direction"))
 def daily_monotone_runs(usage: DataFrame, min_days: int = 2, **window) -> DataFrame:
     """Longest strictly rising and falling runs of a source's active days, and the current run."""
     order = Window.partitionBy("source").orderBy("dayno")
@@ -382,6 +396,7 @@ def daily_monotone_runs(usage: DataFrame, min_days: int = 2, **window) -> DataFr
     )
 
 
+@options(min_current_run=least("current_run_length"))
 def daily_second_diff_runs(usage: DataFrame, min_days: int = 3, **window) -> DataFrame:
     """Runs of the sign of the second difference of a source's active days; a run covers the days from its first to its last point."""
     order = Window.partitionBy("source").orderBy("dayno")

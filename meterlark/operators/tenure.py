@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells, dims, stats
+from ..functions.options import equal, options
 
 HOUR = 3600
 
@@ -36,6 +37,7 @@ def device_tenure(usage: DataFrame, as_of: int, recent_hours: float = 24, **opts
     return t.withColumn("recently_active", F.col("hours_since_last_seen") < recent_hours)
 
 
+@options(quadrant=equal("quadrant"))
 def tenure_density_quadrant(usage: DataFrame, min_buckets: int = 0, **window) -> DataFrame:
     """Models parted at the median span and density; equals count as long and dense."""
     t = tenure(usage, "model", min_buckets, **window).select(F.col("key").alias("model"), "span_hours", "active_buckets", "tokens", F.col("tokens_per_span_hour").alias("density"))

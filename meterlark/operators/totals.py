@@ -185,10 +185,29 @@ def reasoning_share(usage: DataFrame, min_rows: int = 0, **window) -> DataFrame:
     return g.withColumn("reasoning_share", stats.ratio("reasoning_tokens", "generated_tokens"))
 
 
-def output_input_ratio(usage: DataFrame, min_rows: int = 0, **window) -> DataFrame:
+def _models(u: DataFrame, by_source: bool, *aggregates) -> DataFrame:
+    """Aggregates by model; ``by_source`` adds those of each (model, source) from the same pass, and source is null for the model's own."""
+    if not by_source:
+        return u.groupBy("model").agg(*aggregates)
+    return u.groupingSets([["model"], ["model", "source"]], "model", "source").agg(*aggregates)
+
+
+def _of_kept(g: DataFrame, by_source: bool, kept) -> DataFrame:
+    """Rows of the models that pass a floor; a model's sources stay or go with it."""
+    if not by_source:
+        return g.where(kept)
+    models = g.where(F.col("source").isNull() & kept).select("model")
+    return g.join(models, "model", "left_semi")
+
+
+def output_input_ratio(usage: DataFrame, min_rows: int = 0, by_source: bool = False, **window) -> DataFrame:
+    """Output over input tokens of each model, as sums and as the mean of its rows; with ``by_source`` also of its sources."""
     u = cells.rows(usage, **window).where("input > 0 and output >= 0")
-    g = u.groupBy("model").agg(F.count(F.lit(1)).alias("rows"), F.sum("input").alias("input_tokens"), F.sum("output").alias("output_tokens"), F.avg(F.col("output") / F.col("input")).alias("mean_row_ratio"))
-    return g.where(F.col("rows") >= min_rows).withColumn("ratio", stats.ratio("output_tokens", "input_tokens"))
+    g = _models(
+        u, by_source, F.count(F.lit(1)).alias("rows"), F.sum("input").alias("input_tokens"), F.sum("output").alias("output_tokens"),
+        F.avg(F.col("output") / F.col("input")).alias("mean_row_ratio"),
+    )
+    return _of_kept(g, by_source, F.col("rows") >= min_rows).withColumn("ratio", stats.ratio("output_tokens", "input_tokens"))
 
 
 def weekday_share(usage: DataFrame, by: str = "model", min_tokens: int = 0, min_active: int = 1, **window) -> DataFrame:
@@ -207,13 +226,17 @@ def weekday_share(usage: DataFrame, by: str = "model", min_tokens: int = 0, min_
     return g.where(F.col("group").isNull() | ((F.col("total_tokens") >= min_tokens) & (F.col("active_weekdays") >= min_active)))
 
 
-def weekend_vs_weekday(usage: DataFrame, min_rows: int = 0, **window) -> DataFrame:
+def weekend_vs_weekday(usage: DataFrame, min_rows: int = 0, by_source: bool = False, **window) -> DataFrame:
+    """Saturday and Sunday against the other days, of each model; with ``by_source`` also of its sources."""
     weekend = F.col("dow") >= 5
-    g = cells.active(usage, **window).groupBy("model").agg(
-        F.sum(F.when(weekend, F.col("total")).otherwise(0)).alias("weekend_tokens"), F.sum(F.when(~weekend, F.col("total")).otherwise(0)).alias("weekday_tokens"),
+    # Kept apart from the grouping column, which is null in the rows of whole models.
+    u = cells.active(usage, **window).withColumn("_source", F.col("source"))
+    g = _models(
+        u, by_source, F.sum(F.when(weekend, F.col("total")).otherwise(0)).alias("weekend_tokens"), F.sum(F.when(~weekend, F.col("total")).otherwise(0)).alias("weekday_tokens"),
         F.sum("total").alias("total_tokens"), F.count_if(weekend).alias("weekend_rows"), F.count_if(~weekend).alias("weekday_rows"),
-        F.countDistinct("source").alias("distinct_sources"), F.min("sec").alias("a"), F.max("sec").alias("b"),
-    ).where(F.col("weekend_rows") + F.col("weekday_rows") >= min_rows)
+        F.countDistinct("_source").alias("distinct_sources"), F.min("sec").alias("a"), F.max("sec").alias("b"),
+    )
+    g = _of_kept(g, by_source, F.col("weekend_rows") + F.col("weekday_rows") >= min_rows)
     both = F.when(F.col("weekday_tokens") > 0, F.col("weekend_tokens") / F.col("weekday_tokens")).when(F.col("weekend_tokens") > 0, F.lit(float("inf"))).otherwise(0.0)
     return g.withColumns(
         {

@@ -67,6 +67,9 @@ out AS (SELECT hour, count(*) AS observed_days, sum(t) AS total_tokens, avg(t) A
     Query("time_of_day", "hour:i sessions:i share:f", lambda s, d: c.time_of_day(sessions(s, d), offset_minutes=330, collapse=2), """
 g AS (SELECT ((start_s + 19800) % 86400) // 7200 * 2 AS h, count(*) AS n FROM s GROUP BY ALL),
 out AS (SELECT x * 2 AS hour, coalesce(n, 0) AS sessions, coalesce(n, 0) / sum(n) OVER () AS share FROM range(12) r(x) LEFT JOIN g ON h = x * 2)"""),
+    Query("time_of_day_by_source", "hour:i source:s sessions:i share:f", lambda s, d: c.time_of_day(sessions(s, d), collapse=6, by_source=True), """
+g AS (SELECT (start_s % 86400) // 21600 * 6 AS h, source, count(*) AS n FROM s GROUP BY GROUPING SETS ((h), (h, source))), k AS (SELECT DISTINCT source FROM g),
+out AS (SELECT x * 6 AS hour, k.source, coalesce(n, 0) AS sessions, coalesce(n, 0) / sum(n) OVER (PARTITION BY k.source) AS share FROM range(4) r(x) CROSS JOIN k LEFT JOIN g ON h = x * 6 AND g.source IS NOT DISTINCT FROM k.source)"""),
     Query("peak_hour_share", "group:s days:i total_tokens:i mean_peak_share:f p50_peak_share:f p95_peak_share:f max_peak_share:f modal_peak_hour:i modal_peak_hour_count:i", lambda s, d: c.peak_hour_share(usage(s, d)), """
 g AS (SELECT model AS "group", dayno, hour, sum(total) AS t FROM u GROUP BY ALL),
 dd AS (SELECT "group", dayno, sum(t) AS t, max(t) / sum(t) AS share, arg_min(hour, (-t, hour)) AS h FROM g GROUP BY ALL),

@@ -104,7 +104,7 @@ wo AS (SELECT sum(total) AS w FROM su WHERE dayno BETWEEN {DAY1 - (DAY1 + 3) % 7
 out AS (SELECT w AS week_observed, w + (SELECT sum(predicted) FROM pt WHERE dayno <= {_SUNDAY}) AS week_projected, w + (SELECT sum(greatest(0, predicted - half)) FROM pt WHERE dayno <= {_SUNDAY}) AS week_projected_lower, w + (SELECT sum(predicted + half) FROM pt WHERE dayno <= {_SUNDAY}) AS week_projected_upper FROM wo)"""),
     Query("budget_daily", "day:s usd:e", lambda s, d: o.budget_daily(usage(s, d), dims.rates(s), NOW), _USD + f""",
 out AS (SELECT {DAY.format('CAST(x AS BIGINT)')} AS day, coalesce(sum(usd), 0) AS usd FROM range({AS_OF - 6}, {AS_OF + 1}) r(x) LEFT JOIN cu ON dayno = x AND sec >= {NOW - 7 * 86400} AND sec < {NOW} GROUP BY x)"""),
-    Query("budget_status", "month_spend_usd:e today_spend_usd:e daily_burn_usd:f monthly_budget_usd:f percent_of_month_budget_used:f days_remaining_in_month:i eta_breach_day:s status:s", lambda s, d: o.budget_status(usage(s, d), dims.rates(s), NOW - 10 * 86400 + 43200, MONTH, 31, 31.0), _USD + f""",
+    Query("budget_status", "month_spend_usd:e today_spend_usd:e daily_burn_usd:f monthly_budget_usd:f percent_of_month_budget_used:f days_remaining_in_month:i eta_breach_day:s status:s", lambda s, d: o.budget_status(usage(s, d), dims.rates(s), NOW - 10 * 86400 + 43200, 31.0), _USD + f""",
 a AS (SELECT coalesce(sum(usd) FILTER (dayno >= {MONTH}), 0) AS month_spend_usd, coalesce(sum(usd) FILTER (dayno = {AS_OF - 10}), 0) AS today_spend_usd, coalesce(sum(usd) FILTER (sec >= {NOW - 17 * 86400 + 43200}), 0) / 7 AS daily_burn_usd FROM cu WHERE sec < {NOW - 10 * 86400 + 43200}),
 b AS (SELECT *, 31.0 * 31 AS monthly_budget_usd, ceil((961 - month_spend_usd) / daily_burn_usd) AS k, {AS_OF - 10 - MONTH + 1} AS td, today_spend_usd / 31.0 AS r FROM a),
 out AS (SELECT *, month_spend_usd / 961 AS percent_of_month_budget_used, 31 - td + 1 AS days_remaining_in_month, CASE WHEN month_spend_usd < 961 AND k <= 31 - td THEN {DAY.format(f'CAST({AS_OF - 10} + k AS BIGINT)')} END AS eta_breach_day,

@@ -105,6 +105,9 @@ out AS (SELECT model, count(*) AS rows, sum(output) AS output_tokens, sum(reason
   FROM su WHERE output + reasoning > 0 GROUP BY ALL)"""),
     Query("output_input_ratio", "model:s rows:i input_tokens:i output_tokens:i ratio:f mean_row_ratio:f", lambda s, d: t.output_input_ratio(usage(s, d)), """
 out AS (SELECT model, count(*) AS rows, sum(input) AS input_tokens, sum(output) AS output_tokens, sum(output) / sum(input) AS ratio, avg(output / input) AS mean_row_ratio FROM su WHERE input > 0 GROUP BY ALL)"""),
+    Query("output_input_ratio_by_source", "model:s source:s rows:i input_tokens:i output_tokens:i ratio:f mean_row_ratio:f", lambda s, d: t.output_input_ratio(usage(s, d), min_rows=100, by_source=True), """
+g AS (SELECT model, source, count(*) AS rows, sum(input) AS input_tokens, sum(output) AS output_tokens, sum(output) / sum(input) AS ratio, avg(output / input) AS mean_row_ratio FROM su WHERE input > 0 GROUP BY GROUPING SETS ((model), (model, source))),
+out AS (SELECT * FROM g WHERE model IN (SELECT model FROM g WHERE source IS NULL AND rows >= 100))"""),
     Query("weekday_share", "group:s total_tokens:i " + " ".join(f"tokens_{i}:i" for i in range(7)) + " peak_weekday:i peak_share:f active_weekdays:i hhi:f", lambda s, d: t.weekday_share(usage(s, d)), f"""
 g AS (SELECT model AS "group", sum(total) AS total_tokens{_WEEK} FROM u GROUP BY GROUPING SETS ((model), ())),
 out AS (SELECT *, list_position({_LIST}, list_max({_LIST})) - 1 AS peak_weekday, list_max({_LIST}) / total_tokens AS peak_share, len(list_filter({_LIST}, lambda x: x > 0)) AS active_weekdays,
@@ -114,6 +117,11 @@ out AS (SELECT *, list_position({_LIST}, list_max({_LIST})) - 1 AS peak_weekday,
 g AS (SELECT model, coalesce(sum(total) FILTER (dow >= 5), 0) AS weekend_tokens, coalesce(sum(total) FILTER (dow < 5), 0) AS weekday_tokens, sum(total) AS total_tokens, count(*) FILTER (dow >= 5) AS weekend_rows,
   count(*) FILTER (dow < 5) AS weekday_rows, count(DISTINCT source) AS distinct_sources, min(iso) AS first_seen, max(iso) AS last_seen FROM u GROUP BY ALL),
 out AS (SELECT *, weekend_tokens / total_tokens AS weekend_share, weekday_tokens / total_tokens AS weekday_share, weekend_tokens / weekday_tokens AS weekend_to_weekday_ratio FROM g)"""),
+    Query("weekend_vs_weekday_by_source", "model:s source:s weekend_tokens:i weekday_tokens:i total_tokens:i weekend_share:f weekend_to_weekday_ratio:f weekend_rows:i weekday_rows:i distinct_sources:i",
+          lambda s, d: t.weekend_vs_weekday(usage(s, d), by_source=True), """
+g AS (SELECT model, source, coalesce(sum(total) FILTER (dow >= 5), 0) AS weekend_tokens, coalesce(sum(total) FILTER (dow < 5), 0) AS weekday_tokens, sum(total) AS total_tokens, count(*) FILTER (dow >= 5) AS weekend_rows,
+  count(*) FILTER (dow < 5) AS weekday_rows, count(DISTINCT u.source) AS distinct_sources FROM u GROUP BY GROUPING SETS ((model), (model, source))),
+out AS (SELECT *, weekend_tokens / total_tokens AS weekend_share, weekend_tokens / weekday_tokens AS weekend_to_weekday_ratio FROM g)"""),
     _compare("compare_wow", "wow", "source"), _compare("compare_dod", "dod", "model"), _compare("compare_rolling_week", "rolling-week", "model"),
     Query("provider_share", "provider:s sessions:i session_share:f messages:i message_share:f distinct_models:i top_models:s", lambda s, d: t.provider_share(sessions(s, d)), """
 m AS (SELECT CASE WHEN model LIKE 'claude-%' THEN 'anthropic' WHEN model LIKE 'gpt-%' THEN 'openai' WHEN model LIKE 'gemini-%' THEN 'google' ELSE 'unknown' END AS provider, model, count(*) AS n, sum(total_messages) AS m FROM s GROUP BY ALL),
