@@ -13,6 +13,9 @@ components are then paired.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,17 +26,56 @@ from .components import components, key_links
 PAIRED = 32
 #: Columns after which the edit distance of a pair is given up if no bit is left.
 HEAD = 16
-_WIDE = "decimal(38,0)"
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line, line_key, place) of all lines but blank ones. line_key is 96 bits of
-    hashes; place numbers lines by (id, line number)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line_no", "line"))
+@dataclass(frozen=True)
+class Places:
+    """How a line's place packs its document's id, its row and its line number into one decimal.
+
+    place = id * 10^19 + row * lines + line number; a null id is 2^63, so it comes last. Rows are numbered
+    by their partition and place in the input, which must be read the same way each time (a table or a
+    written frame), so rows with equal or null ids have places of their own.
+    """
+
+    rows: int  # rows of a partition at most
+    lines: int  # lines of a text at most
+
+    @classmethod
+    def of(cls, docs: DataFrame, text_col: str) -> Places:
+        row = docs.select(F.monotonically_increasing_id().alias("r"), F.octet_length(text_or_empty(text_col)).alias("b"))
+        found = row.agg(F.max(F.col("r").bitwiseAND(F.lit(_IN_PART))).alias("r"), F.max("b").alias("b"), F.max(F.shiftright("r", 33)).alias("p")).first()
+        out = cls((found["r"] or 0) + 1, (found["b"] or 0) + 2)
+        if ((found["p"] or 0) + 1) * out.rows * out.lines >= 10**19:
+            raise ValueError("places of the lines of so many rows and so long texts need more than 19 digits")
+        return out
+
+    def pack(self, doc_id: Column, row: Column, line_no: Column) -> Column:
+        dense = _wide(F.shiftright(row, 33) * F.lit(self.rows) + row.bitwiseAND(F.lit(_IN_PART)))
+        return (F.coalesce(_wide(doc_id), _wide(F.lit(_NULL_ID))) * F.lit(_ID) + dense * F.lit(Decimal(self.lines)) + _wide(line_no)).cast(_WIDE)
+
+    def doc_id(self, place: Column) -> Column:
+        rest = F.pmod(place, F.lit(_ID))
+        number = ((place - rest) / F.lit(_ID)).cast(_WIDE)
+        return F.when(number < F.lit(_NULL_ID), number).cast("long")
+
+    def line_no(self, place: Column) -> Column:
+        return F.pmod(F.pmod(place, F.lit(_ID)), F.lit(Decimal(self.lines))).cast("int")
+
+
+_WIDE, _ID, _NULL_ID, _IN_PART = "decimal(38,0)", Decimal(10**19), Decimal(1 << 63), (1 << 33) - 1
+
+
+def _wide(c: Column) -> Column:
+    return c.cast(_WIDE)
+
+
+def _lines(docs: DataFrame, places: Places, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, row, line_no, line, line_key, place) of all lines but blank ones. line_key is 96 bits of hashes."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
+    rows = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     rows = rows.where(F.length(F.trim("line")) > 0)
     key = F.xxhash64("line").cast(_WIDE) * F.lit(4294967296).cast("decimal(10,0)") + F.hash("line").cast("decimal(10,0)")
-    place = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast(_WIDE) * F.lit(10**10).cast("decimal(11,0)") + F.col("line_no").cast("decimal(10,0)")
-    return rows.withColumns({"line_key": key.cast(_WIDE), "place": place.cast(_WIDE)})
+    return rows.withColumns({"line_key": key.cast(_WIDE), "place": places.pack(F.col("doc_id"), F.col("row"), F.col("line_no"))})
 
 
 def edits(n: Column, per: int, most: int) -> Column:
@@ -162,19 +204,21 @@ def near_links(lines: DataFrame, classes: DataFrame, per: int, most: int) -> Dat
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per: int = 24, most: int = 2) -> DataFrame:
-    """One row per line that is not blank: ``id_col``, line_no, first_id, first_line, copies, kept.
+    """One row per line that is not blank: ``id_col``, row, line_no, first_id, first_line, copies, kept.
 
     Lines are parted by line feeds and taken as they stand. Equal lines, and lines within
     one edit for every ``per`` characters of the shorter (up to ``most`` edits), form a class
-    (chains included); its first line by (id, line number) is kept. ``copies`` counts the
-    equal lines. Null texts have no lines; a null id comes last; rows with equal ids share
-    their places, so equal lines of repeated rows are all kept or all not. An empty table
-    gives no rows; other columns are ignored. A line of less than ``most`` + 1 characters
-    can allow none.
+    (chains included); its first line by (id, row, line number) is kept. ``row`` numbers the
+    rows of the input, so rows with equal or null ids, repeated rows too, are documents of
+    their own, of whose lines one is kept. ``copies`` counts the equal lines. Null texts
+    have no lines; a null id comes last, and is null as first_id too. An empty table gives
+    no rows; other columns are ignored. A line of less than ``most`` + 1 characters can
+    allow none.
     """
     if per <= most:
         raise ValueError("a line must have more characters than edits")
-    lines = _lines(docs, id_col, text_col)
+    places = Places.of(docs, text_col)
+    lines = _lines(docs, places, id_col, text_col)
     classes = cut(_classes(lines, per, most))
     found = components(near_links(lines, classes, per, most))
     linked = found.join(classes, F.col("node") == F.col("line_key")).select("line_key", "root", "place", "n")
@@ -182,40 +226,42 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = linked.join(first, "root").select("line_key", "first_place", "n")
     alone = classes.where("n > 1").join(named.select("line_key"), "line_key", "left_anti").select("line_key", F.col("place").alias("first_place"), "n")
     table = cut(named.unionByName(alone))
-    slim = lines.select("doc_id", "line_no", "place", "line_key")
+    slim = lines.select("doc_id", "row", "line_no", "place", "line_key")
     total = classes.agg(F.sum("n")).first()[0] or 0
     joined = lookup(slim, table, "line_key", "n", total, "place")
     first_place = F.coalesce("first_place", "place")
-    lead = F.floor(first_place / F.lit(10**10).cast("decimal(11,0)")).cast(_WIDE)
     return joined.select(
-        F.col("doc_id").alias(id_col), "line_no", lead.cast("long").alias("first_id"), (first_place - lead * F.lit(10**10).cast("decimal(11,0)")).cast("int").alias("first_line"),
+        F.col("doc_id").alias(id_col), "row", "line_no", places.doc_id(first_place).alias("first_id"), places.line_no(first_place).alias("first_line"),
         F.coalesce("n", F.lit(1)).alias("copies"), (first_place == F.col("place")).alias("kept"),
     )
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opts) -> DataFrame:
-    """(id_col, text) without the lines that ``line_classes`` does not keep. Ids must differ."""
-    gone = line_classes(docs, id_col, text_col, **opts).where("not kept").groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line_no").alias("gone"))
-    both = docs.select(id_col, text_or_empty(text_col).alias("t")).join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    """(id_col, text) of each row without the lines that ``line_classes`` does not keep."""
+    gone = line_classes(docs, id_col, text_col, **opts).where("not kept").groupBy(F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("gone"))
+    rows = docs.select(id_col, F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("t"))
+    both = rows.join(gone, F.col("row") == F.col("_row"), "left")
     kept = F.filter(F.split("t", "\n"), lambda _, i: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), i))
     return both.select(id_col, F.array_join(kept, "\n").alias("text"))
 
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opts) -> DataFrame:
-    """One row per document: ``id_col``, n_lines, n_dropped, n_near (dropped without an equal line), and
+    """One row per row of ``docs``: ``id_col``, n_lines, n_dropped, n_near (dropped without an equal line), and
     ``dropped``: each line that is not kept, by line number, as (line_no, first_id, first_line, copies).
 
     (first_id, first_line) names the class: its first line. Documents without lines have
-    a row of zeros; rows with equal ids share one. A null id equals a null id.
+    a row of zeros; rows with equal or null ids have rows of their own.
     """
     lines = line_classes(docs, id_col, text_col, **opts)
     gone = F.when(~F.col("kept"), F.struct("line_no", "first_id", "first_line", "copies"))
-    found = lines.groupBy(F.col(id_col).alias("_id")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("kept")).alias("n_dropped"), F.count_if(~F.col("kept") & (F.col("copies") == 1)).alias("n_near"), F.array_sort(F.collect_list(gone)).alias("dropped"),
+    found = lines.groupBy(F.col("row").alias("_row")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("kept")).alias("n_dropped"),
+        F.count_if(~F.col("kept") & (F.col("copies") == 1)).alias("n_near"), F.array_sort(F.collect_list(gone)).alias("dropped"),
     )
-    every = docs.select(F.col(id_col).cast("long").alias(id_col)).distinct()
+    every = docs.select(F.col(id_col).cast("long").alias(id_col), F.monotonically_increasing_id().alias("row"))
     zeros = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_dropped", "n_near")]
-    return every.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left").select(id_col, *zeros, F.coalesce("dropped", F.array().cast(found.schema["dropped"].dataType)).alias("dropped"))
+    dropped = F.coalesce("dropped", F.array().cast(found.schema["dropped"].dataType)).alias("dropped")
+    return every.join(found, F.col("row") == F.col("_row"), "left").select(id_col, *zeros, dropped)
 
 
 def op5_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

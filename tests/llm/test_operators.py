@@ -10,7 +10,7 @@ import string
 import time
 import uuid
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -570,7 +570,7 @@ def _line_classes(rows, per, most):
 
 
 def _got_lines(df):
-    return sorted((r.doc_id if r.doc_id is not None else 2**63, r.line_no, r.first_id if r.first_id != 2**63 - 1 else 2**63, r.first_line) for r in df.collect())
+    return sorted((r.doc_id if r.doc_id is not None else 2**63, r.line_no, r.first_id if r.first_id is not None else 2**63, r.first_line) for r in df.collect())
 
 
 def test_banded_distance(spark):
@@ -641,6 +641,23 @@ def test_every_document_names_all_its_dropped_lines(spark):
     assert got == {1: (2, 0, 0, []), 2: (1, 0, 0, []), 3: (3, 2, 1, [(1, 1, 0, 2), (2, 2, 0, 1)]), 4: none, 5: none, 6: none, None: (1, 1, 0, [(0, 1, 1, 2)])}
 
 
+def test_lines_of_null_and_equal_ids(spark, tmp_path):
+    """Rows without an id, and rows with one id, are documents of their own: no line is lost, and none is kept twice."""
+    rows = [(1, "first line\nsecond line"), (None, "own a\nsecond line"), (None, "own b\nonly here"), (None, "own a\nonly here"), (7, "x\ny"), (7, "x\ny"), (7, "y\nz"), (2**63 - 1, "own a\nlast"), (-5, "z\nminus")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = Counter(line for r in line_dedup.without_repeated_lines(table).collect() for line in r.text.split("\n") if line)
+    assert kept == Counter({line: 1 for _, t in rows for line in t.split("\n")})
+    lines = line_dedup.line_classes(table).collect()
+    assert len({(r.row, r.line_no) for r in lines}) == len(lines) == 18 and sum(r.kept for r in lines) == len(kept)
+    first = {(r.doc_id, r.line_no): (r.first_id, r.first_line) for r in lines}
+    assert first[2**63 - 1, 0] == (2**63 - 1, 0) and first[7, 0] in ((7, 0), (7, 1)) and first[-5, 0] == (-5, 0) and first[1, 1] == (1, 1)
+    assert {(r.first_id, r.first_line) for r in lines if r.doc_id is None and r.kept} == {(None, 0), (None, 1)}
+    got = line_dedup.op5_segment_lines(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sum(r.n_lines for r in got) == 18 and sum(r.n_dropped for r in got) == 18 - len(kept)
+    assert sorted(r.n_dropped for r in got if r.doc_id == 7) == [0, 2, 2]
+
+
 def test_the_query_of_lines_has_a_row_per_document(spark, tmp_path):
     spark.createDataFrame([(1, "one"), (2, None), (3, "one\none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_lines, [d.line_no for d in r.dropped]) for r in line_dedup.op5_segment_lines(spark, str(tmp_path)).collect()}
