@@ -49,9 +49,10 @@ class Places:
             raise ValueError("places of the lines of so many rows and so long texts need more than 19 digits")
         return out
 
-    def pack(self, doc_id: Column, row: Column, line_no: Column) -> Column:
+    def of_row(self, doc_id: Column, row: Column) -> Column:
+        """The place of a row's line 0, to which a line's number is added: decimals are multiplied once a row."""
         dense = _wide(F.shiftright(row, 33) * F.lit(self.rows) + row.bitwiseAND(F.lit(_IN_PART)))
-        return (F.coalesce(_wide(doc_id), _wide(F.lit(_NULL_ID))) * F.lit(_ID) + dense * F.lit(Decimal(self.lines)) + _wide(line_no)).cast(_WIDE)
+        return (F.coalesce(_wide(doc_id), _wide(F.lit(_NULL_ID))) * F.lit(_ID) + dense * F.lit(Decimal(self.lines))).cast(_WIDE)
 
     def doc_id(self, place: Column) -> Column:
         rest = F.pmod(place, F.lit(_ID))
@@ -72,10 +73,11 @@ def _wide(c: Column) -> Column:
 def _lines(docs: DataFrame, places: Places, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, row, line_no, line, line_key, place) of all lines but blank ones. line_key is 96 bits of hashes."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
-    rows = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.withColumn("base", places.of_row(F.col("doc_id"), F.col("row")))
+    rows = rows.select("doc_id", "row", "base", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     rows = rows.where(F.length(F.trim("line")) > 0)
     key = F.xxhash64("line").cast(_WIDE) * F.lit(4294967296).cast("decimal(10,0)") + F.hash("line").cast("decimal(10,0)")
-    return rows.withColumns({"line_key": key.cast(_WIDE), "place": places.pack(F.col("doc_id"), F.col("row"), F.col("line_no"))})
+    return rows.withColumns({"line_key": key.cast(_WIDE), "place": (F.col("base") + F.col("line_no").cast("decimal(10,0)")).cast(_WIDE)}).drop("base")
 
 
 def edits(n: Column, per: int, most: int) -> Column:
