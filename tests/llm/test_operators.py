@@ -132,6 +132,58 @@ def test_a_batch_run_again_decides_the_same(spark):
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(index.table)]
 
 
+def test_a_better_row_is_a_new_version(spark):
+    index = exact_dedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=4)
+    try:
+        index.add(docs(spark, [(5, "a b"), (6, "c"), (None, "d")]), batch="one", replace=True)
+        rows = [(9, "a  b"), (7, "c"), (8, "c"), (3, "d"), (1, "e")]
+        want = [(1, 1, True), (3, 3, True), (7, 6, False), (8, 6, False), (9, 9, True)]
+        for _ in range(2):  # the second run appends nothing
+            got = index.add(docs(spark, rows), batch="two", replace=True)
+            assert sorted((r.doc_id, r.keep_id, r.kept) for r in got.collect()) == want
+            assert index.entries().count() == 6 and index.current().count() == 4
+        # A row as good as the one that is kept does not replace it, nor does a worse one.
+        later = index.add(docs(spark, [(9, "a  b"), (1, "ab")]), batch="three", replace=True).collect()
+        assert [(r.keep_id, r.kept) for r in later] == [(9, False)] * 2 and index.entries().count() == 6
+        index.compact()
+        assert index.entries().count() == 4 and {r.keep_id for r in index.current().collect()} == {9, 6, 3, 1}
+    finally:
+        index.drop()
+
+
+def test_the_index_is_not_exchanged(spark):
+    index = exact_dedup.DigestIndex(spark, f"t_{uuid.uuid4().hex}", buckets=3)
+    try:
+        index.add(docs(spark, [(i, f"t {i}") for i in range(50)]), batch="one")
+        groups = index.reduced(exact_dedup.digested(docs(spark, [(i, f"t {i}") for i in range(40, 60)]), "doc_id", "text"))
+        for joined, rows in ((index.unknown(groups), 10), (index.better(groups), 0)):
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            # The batch's digests are dealt as the buckets are; nothing else is.
+            assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+            assert re.findall(r"Exchange hashpartitioning\(text_sha256#\d+, (\d+)\)", plan) == ["3"] and plan.count("Exchange") == 1, plan
+            assert joined.count() == rows
+    finally:
+        index.drop()
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_batches_do_not_change_what_stays(spark, batches):
+    rng = random.Random(batches)
+    rows = [(rng.choice([None, *range(30)]), rng.choice([None, "", "a b", "ab", "a  b", "b", "b ", "c d e", "cd e"])) for _ in range(150)]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[ \t-\r]", "", t or "")].append((-len(t or ""), i is None, i or 0))
+    got = defaultdict(list)
+    for r in exact_dedup.deduplicated(docs(spark, rows).repartition(4), batches=batches).collect():
+        got[r.text_sha256].append(r)
+    assert len(got) == len(groups)
+    for key, members in groups.items():
+        found, best = got[hashlib.sha256(key.encode()).hexdigest()], min(members)
+        keep = None if best[1] else best[2]
+        assert len(found) == len(members) and {(r.keep_id, r.group_size) for r in found} == {(keep, len(members))}
+        assert [r.doc_id for r in found if r.kept] == [keep]
+
+
 def test_the_dedup_query_leaves_no_table(spark, sf):
     before = {t.name for t in spark.catalog.listTables()}
     assert exact_dedup.op2_digest_index(spark, sf).where("kept").count() == exact_dedup.op2_digest_index(spark, sf).select("text_sha256").distinct().count()
