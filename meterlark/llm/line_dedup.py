@@ -70,14 +70,23 @@ def _wide(c: Column) -> Column:
     return c.cast(_WIDE)
 
 
+def _not_blank(line: Column) -> Column:
+    return F.length(F.trim(line)) > 0
+
+
+def _line_key() -> Column:
+    """96 bits of hashes of the column line."""
+    key = F.xxhash64("line").cast(_WIDE) * F.lit(4294967296).cast("decimal(10,0)") + F.hash("line").cast("decimal(10,0)")
+    return key.cast(_WIDE)
+
+
 def _lines(docs: DataFrame, places: Places, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, row, line_no, line, line_key, place) of all lines but blank ones. line_key is 96 bits of hashes."""
+    """(doc_id, row, line_no, line, line_key, place) of all lines but blank ones."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("base", places.of_row(F.col("doc_id"), F.col("row")))
     rows = rows.select("doc_id", "row", "base", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.where(F.length(F.trim("line")) > 0)
-    key = F.xxhash64("line").cast(_WIDE) * F.lit(4294967296).cast("decimal(10,0)") + F.hash("line").cast("decimal(10,0)")
-    return rows.withColumns({"line_key": key.cast(_WIDE), "place": (F.col("base") + F.col("line_no").cast("decimal(10,0)")).cast(_WIDE)}).drop("base")
+    rows = rows.where(_not_blank(F.col("line")))
+    return rows.withColumns({"line_key": _line_key(), "place": (F.col("base") + F.col("line_no").cast("decimal(10,0)")).cast(_WIDE)}).drop("base")
 
 
 def edits(n: Column, per: int, most: int) -> Column:
@@ -170,7 +179,7 @@ def _classes(lines: DataFrame, per: int, most: int) -> DataFrame:
 def _texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, line) of the first line of each of ``nodes`` (node, place)."""
     wanted = cut(nodes.select("node", F.col("place").alias("_place")).distinct())
-    met = among(lines.select("place", "line_key", "line"), "place", wanted, "_place").join(wanted, (F.col("place") == F.col("_place")) & (F.col("line_key") == F.col("node")))
+    met = among(lines.select("place", "line"), "place", wanted, "_place").withColumn("line_key", _line_key()).join(wanted, (F.col("place") == F.col("_place")) & (F.col("line_key") == F.col("node")))
     return met.select("node", "line").dropDuplicates(["node"])
 
 
@@ -205,6 +214,22 @@ def near_links(lines: DataFrame, classes: DataFrame, per: int, most: int) -> Dat
     return key_links(met, possible, apart, verify, ~F.col("own"), PAIRED)
 
 
+def _found(docs: DataFrame, id_col: str, text_col: str, per: int, most: int) -> tuple[Places, DataFrame, DataFrame, int]:
+    """The places, the lines, the different lines that are not alone (line_key, first_place of the class, n), and the number of all lines."""
+    if per <= most:
+        raise ValueError("a line must have more characters than edits")
+    places = Places.of(docs, text_col)
+    lines = _lines(docs, places, id_col, text_col)
+    classes = cut(_classes(lines, per, most))
+    found = components(near_links(lines, classes, per, most))
+    linked = found.join(classes, F.col("node") == F.col("line_key")).select("line_key", "root", "place", "n")
+    first = linked.groupBy("root").agg(F.min("place").alias("first_place"))
+    named = linked.join(first, "root").select("line_key", "first_place", "n")
+    alone = classes.where("n > 1").join(named.select("line_key"), "line_key", "left_anti").select("line_key", F.col("place").alias("first_place"), "n")
+    table = cut(named.unionByName(alone))
+    return places, lines, table, classes.agg(F.sum("n")).first()[0] or 0
+
+
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per: int = 24, most: int = 2) -> DataFrame:
     """One row per line that is not blank: ``id_col``, row, line_no, first_id, first_line, copies, kept.
 
@@ -217,20 +242,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     no rows; other columns are ignored. A line of less than ``most`` + 1 characters can
     allow none.
     """
-    if per <= most:
-        raise ValueError("a line must have more characters than edits")
-    places = Places.of(docs, text_col)
-    lines = _lines(docs, places, id_col, text_col)
-    classes = cut(_classes(lines, per, most))
-    found = components(near_links(lines, classes, per, most))
-    linked = found.join(classes, F.col("node") == F.col("line_key")).select("line_key", "root", "place", "n")
-    first = linked.groupBy("root").agg(F.min("place").alias("first_place"))
-    named = linked.join(first, "root").select("line_key", "first_place", "n")
-    alone = classes.where("n > 1").join(named.select("line_key"), "line_key", "left_anti").select("line_key", F.col("place").alias("first_place"), "n")
-    table = cut(named.unionByName(alone))
-    slim = lines.select("doc_id", "row", "line_no", "place", "line_key")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    joined = lookup(slim, table, "line_key", "n", total, "place")
+    places, lines, table, total = _found(docs, id_col, text_col, per, most)
+    joined = lookup(lines.select("doc_id", "row", "line_no", "place", "line_key"), table, "line_key", "n", total, "place")
     first_place = F.coalesce("first_place", "place")
     return joined.select(
         F.col("doc_id").alias(id_col), "row", "line_no", places.doc_id(first_place).alias("first_id"), places.line_no(first_place).alias("first_line"),
@@ -247,23 +260,26 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return both.select(id_col, F.array_join(kept, "\n").alias("text"))
 
 
-def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opts) -> DataFrame:
+def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per: int = 24, most: int = 2) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, n_lines, n_dropped, n_near (dropped without an equal line), and
     ``dropped``: each line that is not kept, by line number, as (line_no, first_id, first_line, copies).
 
     (first_id, first_line) names the class: its first line. Documents without lines have
     a row of zeros; rows with equal or null ids have rows of their own.
     """
-    lines = line_classes(docs, id_col, text_col, **opts)
-    gone = F.when(~F.col("kept"), F.struct("line_no", "first_id", "first_line", "copies"))
-    found = lines.groupBy(F.col("row").alias("_row")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.col("kept")).alias("n_dropped"),
-        F.count_if(~F.col("kept") & (F.col("copies") == 1)).alias("n_near"), F.array_sort(F.collect_list(gone)).alias("dropped"),
+    places, lines, table, _ = _found(docs, id_col, text_col, per, most)
+    # Lines that are alone in their class stay where they are: only those that the table may name are dealt.
+    named = among(lines.select("row", "line_no", "place", "line_key"), "line_key", table, "line_key")
+    met = lookup(named, table, "line_key", "n", table.agg(F.sum("n")).first()[0] or 0, "place").where(F.col("first_place") < F.col("place"))
+    gone = F.struct("line_no", places.doc_id(F.col("first_place")).alias("first_id"), places.line_no(F.col("first_place")).alias("first_line"), F.col("n").alias("copies"))
+    found = met.groupBy(F.col("row").alias("_row")).agg(
+        F.count(F.lit(1)).alias("n_dropped"), F.count_if(F.col("n") == 1).alias("n_near"), F.array_sort(F.collect_list(gone)).alias("dropped"),
     )
-    every = docs.select(F.col(id_col).cast("long").alias(id_col), F.monotonically_increasing_id().alias("row"))
-    zeros = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_dropped", "n_near")]
+    n_lines = F.size(F.filter(F.split(text_or_empty(text_col), "\n"), _not_blank)).cast("long")
+    every = docs.select(F.col(id_col).cast("long").alias(id_col), F.monotonically_increasing_id().alias("row"), n_lines.alias("n_lines"))
+    zeros = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_dropped", "n_near")]
     dropped = F.coalesce("dropped", F.array().cast(found.schema["dropped"].dataType)).alias("dropped")
-    return every.join(found, F.col("row") == F.col("_row"), "left").select(id_col, *zeros, dropped)
+    return every.join(found, F.col("row") == F.col("_row"), "left").select(id_col, "n_lines", *zeros, dropped)
 
 
 def op5_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
