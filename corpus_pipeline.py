@@ -45,8 +45,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies: five-word shingles, similarity
-    0.8. Texts without words are one group; one of repeated rows stays; null ids are last."""
+    """One document, that of the smallest id, of each group of near copies: SimHash of five-word shingles and
+    pivots, verified by a similarity of 0.8, and sketches for those more than two bits apart. Texts without
+    words are one group; one of repeated rows stays; null ids are last."""
     found = near_duplicates(docs, words=5, similarity=(4, 5))
     # Texts of one id in one group: the one of the smallest digest.
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "group").agg(F.min("digest").alias("digest"))

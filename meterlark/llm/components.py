@@ -57,7 +57,7 @@ def _other(rows: DataFrame) -> DataFrame:
     return rows.select("key", *[F.col(c).alias(f"{c}2") for c in rows.columns if c != "key"])
 
 
-def key_links(met: DataFrame, possible: Column, apart: Column, verify: Callable[[DataFrame], DataFrame], first: Column, paired: int, leads: int = 2) -> DataFrame:
+def key_links(met: DataFrame, possible: Column, apart: Column, verify: Callable[[DataFrame], DataFrame], first: Column, paired: int, leads: int = 2, known: DataFrame | None = None) -> DataFrame:
     """(u, v): enough verified pairs of nodes that share a key to join exactly those that all such pairs join.
 
     ``met``: key, node, members (rows of the key) and what ``possible`` and ``apart`` need, also
@@ -65,7 +65,8 @@ def key_links(met: DataFrame, possible: Column, apart: Column, verify: Callable[
     ``verify`` would; ``apart`` says how likely a pair is. Nodes of a key with more than
     ``paired`` rows are compared with the nearest few of those chosen under their keys
     (smallest ``first``, then by hash); then only nodes outside the largest component of a
-    key meet those of other components there.
+    key meet those of other components there. ``known`` are verified pairs that count as
+    found; ``possible`` may discard what chains of them join.
     """
 
     def ordered(pairs: DataFrame) -> DataFrame:
@@ -83,6 +84,8 @@ def key_links(met: DataFrame, possible: Column, apart: Column, verify: Callable[
     stars = stars.select("node", "node2", apart.alias("apart")).distinct()
     stars = stars.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= leads).select("node", "node2")
     found = verify(ordered(pairs.unionByName(stars)))
+    if known is not None:
+        found = found.unionByName(known)
     if lead.isEmpty():
         return found
 

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents, lookup, text_or_empty
 from .components import components
-from .similar import similar_documents
 
 SEED, BITS, BLOCKS, RADIUS = 42, 64, 4, 2
 PIVOTS_PER_BLOCK = 8
@@ -49,6 +48,21 @@ def pivots() -> tuple[int, list[list[int]]]:
     return base, out
 
 
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+
+
+def majority(sums: np.ndarray, n: int) -> int:
+    """The unsigned fingerprint of ``n`` hashes: the bits that over half of them have."""
+    return int(np.packbits(2 * sums > n, bitorder="little").view("<u8")[0])
+
+
+def set_fingerprint(own: np.ndarray, step: int = 1 << 16) -> int:
+    """The SimHash, as a long, of a set of shingle hashes; zero of an empty one."""
+    return _signed(majority(sum((ones(own[at : at + step]) for at in range(0, len(own), step)), np.zeros(BITS, np.int64)), len(own)))
+
+
 def fingerprint(text: str, words: int = 3, step: int = 1 << 16) -> int:
     """The unsigned SimHash of a text's word shingles, ``step`` shingles at a time."""
     ws = text.encode().lower().split()
@@ -59,9 +73,8 @@ def fingerprint(text: str, words: int = 3, step: int = 1 << 16) -> int:
     for at in range(0, n, step):
         part = ws[at : at + step + words - 1]
         shingles = map(b" ".join, zip(*(part[i:] for i in range(words)), strict=False)) if len(ws) >= words else [b" ".join(ws)]
-        hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], "<u8")
-        sums += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * sums > n, bitorder="little").view("<u8")[0])
+        sums += ones(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], "<u8"))
+    return majority(sums, n)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -131,10 +144,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no rows; other columns are ignored.
 
     With a ``similarity`` (a fraction) rows link where the sets of their shingles are that
-    similar, which no radius of these fingerprints can tell: see ``similar_documents``,
-    whose columns come back.
+    similar: sets whose fingerprints are within the radius are found by these pivots and
+    verified, those further apart by sketches. See ``similar_documents``, whose columns
+    come back.
     """
     if similarity:
+        from .similar import similar_documents  # which is built on this module
+
         return similar_documents(docs, id_col, text_col, words, similarity)
     rows = cut(fingerprints(docs, id_col, text_col, words).select(F.col(id_col).alias("_id"), "fp"))
     classes = cut(rows.groupBy("fp").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n")))

@@ -1,14 +1,19 @@
-"""Near copies by the exact similarity of their word shingles.
+"""Near copies by SimHash and the exact similarity of their word shingles.
 
-Fingerprints of 64 bits cannot tell texts of a similarity of 0.8 (they lie up to fifteen
-bits apart), so the wide form of near-dedup finds candidates another way. A text is the
-set of its shingles' hashes; the smallest of these, a bit over (1 - p / q) of them, are
-its sketch. Two sets of a similarity of p / q share a fixed number of sketch hashes, so
+A text is the set of its shingles' hashes, which has a SimHash. Sets whose fingerprints are
+at most two bits apart are found by the pivots' distance tables (``simhash.links``) and
+verified by their whole sets; what is verified is one class and is not compared again.
+
+Not all texts of a similarity of 0.8 lie so near (some are fifteen bits apart, further than
+pivots can index), so links between classes are found another way. The smallest of a
+set's hashes, a bit over (1 - p / q) of them, are its sketch. Two sets of a similarity of
+p / q share a fixed number of sketch hashes, so
 
 1. sketch hashes are counted once; texts with too few shared ones go;
 2. the whole sets of the few that are left are counted; texts whose shared shingles are
    not at least p / q of their own go;
-3. what is left meets under its rarest shared sketch hashes (a prefix filter).
+3. what is left meets under its rarest shared sketch hashes (a prefix filter), if its
+   classes differ.
 
 Each set has a fingerprint of 1,024 bits, a bit for the parity of the shingles that fall
 on it. Two fingerprints never differ in more bits than their sets differ in shingles, so
@@ -30,6 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import among, cut, lookup, text_or_empty
 from .components import components, key_links
+from .simhash import links as fingerprint_links
+from .simhash import set_fingerprint
 
 SEED = 42
 #: A hash with more sets is handled by components; chosen sets that each is compared with.
@@ -70,7 +77,7 @@ def _sketch_size(n: int, p: int, q: int) -> int:
 
 
 def _sketches(rows: DataFrame, words: int, p: int, q: int) -> DataFrame:
-    """(_id, digest, node, size, mask, first) of each of ``rows`` (_id, digest, t)."""
+    """(_id, digest, node, size, fp, mask, first) of each of ``rows`` (_id, digest, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,12 +85,13 @@ def _sketches(rows: DataFrame, words: int, p: int, q: int) -> DataFrame:
             made = [
                 pa.array([_node(s) for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([set_fingerprint(s) for s in sets], pa.int64()),
                 pa.array([parity(s) for s in sets], pa.list_(pa.int64())),
                 pa.array([s[: _sketch_size(len(s), p, q)] for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("digest"), *made], ["_id", "digest", "node", "size", "mask", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("digest"), *made], ["_id", "digest", "node", "size", "fp", "mask", "first"])
 
-    return rows.mapInArrow(run, "_id long, digest long, node long, size long, mask array<long>, first array<long>")
+    return rows.mapInArrow(run, "_id long, digest long, node long, size long, fp long, mask array<long>, first array<long>")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -155,19 +163,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return cut(both.where((p + q) * F.size(F.array_intersect("x", "y")) >= p * (F.size("x") + F.size("y"))).select("u", "v"))
 
 
+def near_fingerprints(nodes: DataFrame, p: int, q: int) -> DataFrame:
+    """(u, v) with u < v: sets of ``nodes`` (node, size, fp, mask) whose fingerprints are at most two bits
+    apart, without those that cannot be similar. Sets of one fingerprint are compared with the
+    smallest of them, which also stands for them among others."""
+    classes = cut(nodes.groupBy("fp").agg(F.min_by(F.struct("node", "size", "mask"), "node").alias("o"), F.count(F.lit(1)).alias("c")))
+    heads = classes.select("fp", "c", *[F.col("o")[c].alias(f"{c}2") for c in ("node", "size", "mask")])
+    equal = lookup(nodes.select("fp", "node", "size", "mask"), heads, "fp", "c", nodes.count(), "node").where("node <> node2")
+    x = heads.select(F.col("fp").alias("u"), F.col("node2").alias("node"), F.col("size2").alias("size"), F.col("mask2").alias("mask"))
+    y = heads.withColumnRenamed("fp", "v")
+    close = fingerprint_links(classes.select("fp")).join(x, "u").join(y, "v")
+    columns = ("node", "size", "mask", "node2", "size2", "mask2")
+    both = equal.select(*columns).unionByName(close.select(*columns)).where(_possible(p, q))
+    return both.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v"))
+
+
 def links(nodes: DataFrame, firsts: DataFrame, texts: DataFrame, words: int, p: int, q: int) -> DataFrame:
     """(u, v): enough pairs of similar sets to join exactly those that chains of similar pairs join.
 
-    ``nodes``: (node, size, digest, mask) once each; ``firsts``: (node, size, first);
+    ``nodes``: (node, size, digest, fp, mask) once each; ``firsts``: (node, size, first);
     ``texts``: (digest, t).
     """
     keyed, sets = _candidates(nodes, firsts, texts, words, p, q)
+    # A set that is not among ``sets`` has no similar one.
+    known = _verified(near_fingerprints(nodes, p, q), sets, p, q)
+    classes = components(known).withColumnRenamed("root", "class")
     counts = _shared(keyed)
     total = counts.agg(F.sum("members")).first()[0] or 0
     met = lookup(keyed, counts, "key", "members", total, "node").where("members is not null")
-    met = cut(met.join(nodes.select("node", "size", "mask"), "node"))
+    met = met.join(nodes.select("node", "size", "mask"), "node").join(classes, "node", "left")
+    met = cut(met.withColumn("class", F.coalesce("class", "node")))
 
-    return key_links(met, _possible(p, q), _apart("mask", "mask2"), lambda pairs: _verified(pairs, sets, p, q), F.lit(0), PAIRED, LEADS)
+    possible = (F.col("class") != F.col("class2")) & _possible(p, q)
+    return key_links(met, possible, _apart("mask", "mask2"), lambda pairs: _verified(pairs, sets, p, q), F.lit(0), PAIRED, LEADS, known)
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -175,7 +203,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the component: differs between components that have equal ids).
 
     Rows link where the Jaccard similarity of their sets of ``words``-word shingles is
-    at least ``similarity`` (a fraction); chains count. Words are lower case in ASCII and
+    at least ``similarity`` (a fraction); chains count. Those whose SimHash differs in at most
+    two bits are found by pivots, the others by sketches; all are verified. Words are lower case in ASCII and
     parted by ASCII white space. Texts without words link to each other; null texts
     count as empty. A null id is never smallest unless all are null. An empty table
     gives no rows; other columns are ignored.
@@ -183,7 +212,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     p, q = similarity
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("t")).withColumn("digest", F.xxhash64("t"))
     rows = cut(_sketches(texts.select("_id", "digest", "t"), words, p, q))
-    nodes = cut(rows.groupBy("node").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("digest").alias("digest"), F.first("size").alias("size"), F.first("mask").alias("mask")))
+    nodes = cut(rows.groupBy("node").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("digest").alias("digest"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("mask").alias("mask")))
     found = components(links(nodes, rows.select("node", "size", "first"), texts.select("digest", "t"), words, p, q))
     linked = found.join(nodes.select("node", "least"), "node")
     roots = linked.groupBy("root").agg(F.min("least").alias("component"))

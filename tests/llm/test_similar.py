@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from meterlark.llm import similar
+from meterlark.llm import components, simhash, similar
 
 
 def _components(sets):
@@ -94,3 +94,67 @@ def test_quality_decides_on_each_text_of_an_id(spark, sf):
     twins = spark.createDataFrame([(min(good), b.text, b.lang, b.source, b.n_chars) for b in bad], docs.schema)
     left = corpus_pipeline.quality(spark, docs.unionByName(twins), sf).where(f"doc_id = {min(good)}").collect()
     assert len(left) == 1 and left[0].text not in {b.text for b in bad}
+
+
+def _bits(a, b):
+    return ((a ^ b) & ((1 << 64) - 1)).bit_count()
+
+
+def _long_copies(families, copies):
+    """Long texts, and copies with one word changed: most are at most two bits apart, some are not."""
+    rng = random.Random(5)
+    out = []
+    for _ in range(families):
+        ws = [f"w{rng.randrange(3000)}" for _ in range(600)]
+        for _ in range(copies):
+            own = list(ws)
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(own))
+    return out
+
+
+def test_near_fingerprints_join_what_two_bits_join(spark):
+    sets = [similar.shingles(t) for t in _long_copies(12, 6)]
+    rows = [(similar._node(s), len(s), simhash.set_fingerprint(s), similar.parity(s).tolist()) for s in sets]
+    # Sets of one fingerprint.
+    rows += [(n + 1, size, fp, mask) for n, size, fp, mask in rows[:5]]
+    found = similar.near_fingerprints(spark.createDataFrame(rows, "node long, size long, fp long, mask array<long>"), 4, 5).collect()
+    fp = {r[0]: r[2] for r in rows}
+    assert found and all(r.u < r.v and _bits(fp[r.u], fp[r.v]) <= 2 for r in found)
+    nodes = [r[0] for r in rows]
+    want = {n: n for n in nodes}
+    got = dict(want)
+    for of, pairs in ((want, [(a, b) for a in nodes for b in nodes if _bits(fp[a], fp[b]) <= 2]), (got, [(r.u, r.v) for r in found] * 9)):
+        for _ in range(9):
+            for a, b in pairs:
+                of[a] = of[b] = min(of[a], of[b])
+    assert got == want and 12 <= len(set(got.values())) < len(nodes)
+
+
+def test_set_fingerprint_is_the_simhash_of_the_text():
+    for text in ("", "one", "A b c d e f g h", " ".join(f"word{i}" for i in range(700))):
+        assert simhash.set_fingerprint(similar.shingles(text)) == simhash._signed(simhash.fingerprint(text, 5))
+    own = similar.shingles(" ".join(f"word{i}" for i in range(700)))
+    assert simhash.set_fingerprint(own, 100) == simhash.set_fingerprint(own)
+
+
+def test_the_stage_links_by_fingerprints_and_compares_no_class_again(spark, sf, monkeypatch):
+    """Copies within two bits are linked through pivots; only other pairs meet under sketch hashes."""
+    texts = [*_long_copies(6, 5), *_near_copies(6, 4)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    verified, plain = [], similar._verified
+
+    def watched(pairs, *more):
+        out = plain(pairs, *more)
+        verified.append(([(r.u, r.v) for r in pairs.collect()], out))
+        return out
+
+    monkeypatch.setattr(similar, "_verified", watched)
+    want = _components([_shingles(t) for t in texts])
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, sf).collect()) == sorted(set(want))
+    fp = {similar._node(s): simhash.set_fingerprint(s) for s in map(similar.shingles, texts)}
+    by_pivots, links = verified[0]
+    assert links.count() > 6 and all(_bits(fp[u], fp[v]) <= 2 for u, v in by_pivots)
+    classes = {r.node: r.root for r in components.components(links).collect()}
+    rest = [p for pairs, _ in verified[1:] for p in pairs]
+    assert rest and all(classes.get(u, u) != classes.get(v, v) for u, v in rest)
