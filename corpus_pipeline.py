@@ -15,6 +15,9 @@ from meterlark.llm.packing import pack
 from meterlark.llm.quality import accepted
 from meterlark.llm.simhash import near_duplicates
 
+#: Chunks that a worker remembers in packing: the stages before have left an executor less memory than it has for packing alone.
+KNOWN = 100_000
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -56,7 +59,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their ids and places in sequences; null texts have the end id alone."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), known=KNOWN)
 
 
 STAGES = [("quality", quality), ("exact dedup", exact), ("near dedup", near), ("packing", packed)]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import library_table, slices
+from .chunks import KNOWN, library_table, slices
 from .common import cut, documents, text_or_empty
 
 CAPACITY, PIECE, WINDOWS = 1024, 256, 1024
@@ -74,15 +74,16 @@ def _cuts(n: int, capacity: int, piece: int) -> list[int]:
     return [capacity * (i + 1) for i in range(full)] + [capacity * full + left * (i + 1) // parts for i in range(parts)]
 
 
-def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, piece: int = PIECE, keep_ids: bool = True) -> DataFrame:
-    """Pieces of each row's ids and an end id: (id_col, row, start, length, ids_crc32, doc_tokens[, ids])."""
+def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, piece: int = PIECE, keep_ids: bool = True, known: int = KNOWN) -> DataFrame:
+    """Pieces of each row's ids and an end id: (id_col, row, start, length, ids_crc32, doc_tokens[, ids]).
+    A worker remembers some ``known`` chunks; fewer take less memory and more time."""
     names = ["i", "row", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = library_table(vocabulary)
+        table = library_table(vocabulary, known)
         for batch in batches:
             texts = batch.column("t").to_pylist()
-            for part in slices(texts, [len(t) for t in texts]):
+            for part in slices(texts, [len(t) for t in texts], min(8 << 20, 10 * known)):
                 out: list[list] = [[] for _ in range(7)]
                 for k, ids in enumerate(table.ids(texts[part]), part.start):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -105,14 +106,14 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, schema).withColumnRenamed("i", id_col)
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = True, windows: int = WINDOWS) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = True, windows: int = WINDOWS, known: int = KNOWN) -> DataFrame:
     """Pieces with their places: + sequence_id, offset (gapless from 0 in each sequence).
 
     Every id of every row lies in one piece and no sequence exceeds the capacity. Null and
     empty texts give the end id alone. Repeated rows are packed each. An empty table
     gives no rows; other columns are ignored.
     """
-    every = cut(pieces(docs, vocabulary, id_col, text_col, capacity=capacity, keep_ids=keep_ids))
+    every = cut(pieces(docs, vocabulary, id_col, text_col, capacity=capacity, keep_ids=keep_ids, known=known))
     whole = every.where(F.col("length") == capacity).withColumn("sequence_id", 2 * F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     rest = every.where(F.col("length") < capacity)
     total = rest.agg(F.sum("length")).first()[0] or 0

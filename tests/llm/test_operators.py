@@ -352,6 +352,22 @@ def test_chunk_table_matches_the_library(library):
     assert [x.tolist() for x in table.ids(many[:50])] == want[:50]
 
 
+def test_a_workers_table_is_bounded(library):
+    table = chunks.library_table(JSON, 300)
+    assert chunks.library_table(JSON, 300) is table is not chunks.library_table(JSON)
+    texts = [" ".join(f"word{i}x{k}" for k in range(100)) for i in range(50)]
+    for text in texts:
+        assert [x.tolist() for x in table.ids([text])] == [library.encode(text, add_special_tokens=False).ids]
+        # What one call adds is not forgotten before the next.
+        assert sum(len(numbers) for numbers, _, _ in table.kinds) <= 300 + 100
+
+
+def test_pack_with_few_known_chunks(spark, table, texts):
+    rows = table.select("doc_id", "text").limit(60)
+    few, many = (sorted(map(str, packing.pack(rows, JSON, **known).collect())) for known in ({"known": 50}, {}))
+    assert few == many and len(few) >= 60
+
+
 def test_parts_of_long_texts(library):
     text = "ab c  d\n e " * 5000
     assert "".join(chunks.parts(text, 1000)) == text

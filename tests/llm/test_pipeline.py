@@ -44,6 +44,14 @@ def test_stages_return_the_columns_of_documents(spark, sf):
         assert stage(spark, docs, sf).columns == docs.columns, name
 
 
+def test_packing_remembers_fewer_chunks_than_alone(spark, sf, monkeypatch):
+    """Stages before it have left less memory: with 900,000 chunks an executor passed its 3,000 MB."""
+    seen, plain = [], corpus_pipeline.pack
+    monkeypatch.setattr(corpus_pipeline, "pack", lambda *args, **options: (seen.append(options), plain(*args, **options))[1])
+    assert corpus_pipeline.packed(spark, spark.read.parquet(f"{sf}/documents.parquet").limit(5), sf).count() >= 5
+    assert seen[0]["known"] <= 100_000
+
+
 def test_empty_documents(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
