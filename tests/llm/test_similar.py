@@ -101,7 +101,7 @@ def _bits(a, b):
 
 
 def _long_copies(families, copies):
-    """Long texts, and copies with one word changed: most are at most two bits apart, some are not."""
+    """Long texts, and copies with one word changed: some are at most two bits apart, some are not."""
     rng = random.Random(5)
     out = []
     for _ in range(families):
