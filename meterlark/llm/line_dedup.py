@@ -133,24 +133,45 @@ def _probes(t: int, shorter: int) -> list[tuple[int, int]]:
     return own + [(i, s) for i in range(t + 1) for s in range(max(-i, shorter - t + i), min(i, shorter + t - i) + 1) if (i, s) not in own]
 
 
-def _segment_keys(n: Column, line: Column, per: int, most: int) -> list[tuple[Column, bool]]:
-    """(key, own) of a line: its own segments (index and probe), then what it probes shorter lines with; null if not used."""
+def _keys(most: int) -> list[tuple[int, int, int, list[int], bool]]:
+    """(shorter, segment, shift, the t that use it, own) of each key of a line: its own segments
+    (index and probe), and what it probes lines of its length and ``shorter`` characters less with."""
     out = []
     for shorter in range(most + 1):
-        length = n - shorter
-        t = edits(length, per, most)
         allowed = {k: _probes(k, shorter) for k in range(max(1, shorter), most + 1)}
-        size = F.floor(length / (t + 1)).cast("int")
-        longer = length - size * (t + 1)  # so many of the last segments have one character more
         for i, shift in dict.fromkeys(p for probes in allowed.values() for p in probes):
-            used = [k for k, probes in allowed.items() if (i, shift) in probes]
-            at = size * i + F.greatest(F.lit(0), longer - (t + 1 - i))
-            width = size + (longer >= t + 1 - i).cast("int")
-            made = F.xxhash64(length, F.lit(i), F.substring(line, at + (shift + 1), width))
-            out.append((F.when(t.isin(used) if len(used) > 1 else t == used[0], made), not shorter and not shift))
+            out.append((shorter, i, shift, [k for k, probes in allowed.items() if (i, shift) in probes], not shorter and not shift))
     return out
 
 
+def _segment_keys(lines: DataFrame, per: int, most: int) -> DataFrame:
+    """``lines`` with k0, k1, ... for ``line``: the keys of ``_keys``, null where not used.
+
+    Lengths, edits and bounds of segments are columns of steps of their own, used more than once and so
+    not put into each key again: the keys of two edits then fit into a method that the JVM compiles (of
+    8,000 bytes at most; those of three and more do not, and are slower).
+    """
+
+    def div(x: Column, y: Column) -> Column:
+        return F.call_function("div", x, y)
+
+    shorters = range(most + 1)
+    steps = lines.withColumn("_n", F.char_length("line"))
+    steps = steps.withColumns({f"_t{d}": F.least(F.lit(most), div(F.col("_n") - d, F.lit(per)).cast("int")) for d in shorters})
+    # Segment i begins after i / (t + 1) of the characters; the last one that is used ends with the line.
+    steps = steps.withColumns({f"_b{d}_{i}": div((F.col("_n") - d).cast("long") * i, F.col(f"_t{d}") + 1).cast("int") for d in shorters for i in range(1, most + 1)})
+
+    def bound(d: int, i: int) -> Column:
+        return F.lit(0) if not i else F.col(f"_b{d}_{i}") if i <= most else F.col("_n") - d
+
+    made = {}
+    for at, (d, i, shift, used, _) in enumerate(_keys(most)):
+        t, start = F.col(f"_t{d}"), bound(d, i)
+        key = F.xxhash64(F.col("_n") - d, F.lit(i), F.substring("line", start + (shift + 1), bound(d, i + 1) - start))
+        made[f"k{at}"] = F.when(t >= used[0] if used == list(range(used[0], most + 1)) else t.isin(used), key)
+    return steps.select(*lines.columns, *[k.alias(c) for c, k in made.items()])
+
+
 def _trimmed(x: Column, y: Column) -> Column:
     """Struct (x, y) of two strings without the start, then the end, that both have in common.
 
@@ -172,8 +193,8 @@ def _trimmed(x: Column, y: Column) -> Column:
 
 def _classes(lines: DataFrame, per: int, most: int) -> DataFrame:
     """One row per different line: line_key, place of the first, n, and its keys."""
-    keys = {f"k{i}": k for i, (k, _) in enumerate(_segment_keys(F.char_length("line"), F.col("line"), per, most))}
-    return lines.select("line_key", "place", *[k.alias(c) for c, k in keys.items()]).groupBy("line_key").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in keys])
+    keys = [F.max(f"k{i}").alias(f"k{i}") for i in range(len(_keys(most)))]
+    return _segment_keys(lines.select("line_key", "place", "line"), per, most).groupBy("line_key").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), *keys)
 
 
 def _texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -185,10 +206,9 @@ def _texts(lines: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near_links(lines: DataFrame, classes: DataFrame, per: int, most: int) -> DataFrame:
     """(u, v): pairs of line_keys within their edits, enough to join all that chains of such pairs join."""
-    own = [o for _, o in _segment_keys(F.lit(0), F.lit(""), per, most)]
-    entries = F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(o).alias("own")) for i, o in enumerate(own)])
-    used = classes.where(F.coalesce(*[F.col(f"k{i}") for i in range(len(own))]).isNotNull())
-    keyed = used.select(F.col("line_key").alias("node"), "place", F.explode(F.filter(entries, lambda e: e["key"].isNotNull())).alias("e")).select("node", "place", "e.key", "e.own")
+    own = [at for at, (*_, mine) in enumerate(_keys(most)) if mine]
+    entries = F.array(*[F.col(f"k{i}") for i in range(len(_keys(most)))])
+    keyed = classes.select(F.col("line_key").alias("node"), "place", F.posexplode(entries).alias("at", "key")).where("key is not null").select("node", "place", "key", F.col("at").isin(own).alias("own"))
     counts = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.count_if("own").alias("owners")).where("members > 1 and owners > 0").drop("owners"))
     total = counts.agg(F.sum("members")).first()[0] or 0
     met = cut(lookup(among(keyed, "key", counts, "key"), counts, "key", "members", total, "node").where("members is not null"))

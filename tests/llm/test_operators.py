@@ -730,3 +730,19 @@ def test_the_query_of_lines_has_a_row_per_document(spark, tmp_path):
     spark.createDataFrame([(1, "one"), (2, None), (3, "one\none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_lines, [d.line_no for d in r.dropped]) for r in line_dedup.op5_segment_lines(spark, str(tmp_path)).collect()}
     assert got == {1: (1, []), 2: (0, []), 3: (2, [0, 1])}
+
+
+def test_the_keys_of_lines_are_compiled(spark):
+    """The JVM only interprets methods of over 8,000 bytes, such as one that holds all keys with their arithmetic (23,474)."""
+    table = docs(spark, [(1, "a line of some length, with an end\nshort")])
+    lines = line_dedup._lines(table, line_dedup.Places.of(table, "text"), "doc_id", "text")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that the plan holds its code before it runs
+    try:
+        plan = line_dedup._classes(lines, 24, 2)._jdf.queryExecution().executedPlan()
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        code = debug.codegenStringSeq(plan)
+        sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sizes and 0 < max(sizes) < 8000
